@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidewell.llm import license_scan, mixing, quality, sharding, url_filter
+from tidewell.llm import html_extract, license_scan, mixing, packing, quality, sharding, simhash, topk, url_filter
 from tidewell.llm.common import read_table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read_table(spark, sf_dir, "documents"))
@@ -17,6 +19,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, url_filter.rule_frame(spark, url_filter.RULES))
@@ -26,9 +36,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(read_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", F.col("target"), "taken", "passes", "block")
+    return mixing.Mix(read_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "passes", "block")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op6_url_filter, op7_sharding, op9_mixing)}
-ORACLE_SQL = {"op6_url_filter": url_filter.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_quality_rules, op3_license_scan, op4_exact_topk, op5_html_extraction, op6_url_filter, op7_sharding, op8_best_fit_packing, op9_mixing, op10_simhash)
+}
+ORACLE_SQL = {"op4_exact_topk": topk.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
