@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import html_extract, license_scan, mixing, packing, quality, sharding, simhash, topk, url_filter
+from tidewell.llm import html_extract, license_scan, mixing, packing, quality, sharding, simhash, suffix_dedup, topk, url_filter
 from tidewell.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_license_scan, op4_exact_topk, op5_html_extraction, op6_url_filter, op7_sharding, op8_best_fit_packing, op9_mixing, op10_simhash)
+    for f in (
+        op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_exact_topk, op5_html_extraction,
+        op6_url_filter, op7_sharding, op8_best_fit_packing, op9_mixing, op10_simhash,
+    )
 }
 ORACLE_SQL = {"op4_exact_topk": topk.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
