@@ -82,8 +82,10 @@ def containing(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase:
     inner = lambda c: F.array_join(F.slice(F.split(c, " "), 2, words), " ")
     long = F.size(F.split(phrase, " ")) >= words + 2
     keyed = phrases.filter(long).withColumn("_key", F.xxhash64(inner(F.col(phrase))))
+    # shifted copies of the words, zipped: a slice inside the lambda would split the text for each word
     parts = F.split(text, " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(words)), " ")))
+    shifted = [F.slice(parts, k + 1, F.greatest(F.size(parts) - words + 1, F.lit(0))) for k in range(words)]
+    grams = F.transform(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)]), lambda z: F.xxhash64(F.concat_ws(" ", *[z[f"w{k}"] for k in range(words)])))
     placed = texts.withColumn("_key", F.explode(F.array_distinct(grams)))
     found = placed.join(keyed, "_key").drop("_key").filter(F.contains(F.col(text), F.col(phrase)))
     short = texts.join(phrases.filter(~long), F.contains(texts[text], phrases[phrase]))

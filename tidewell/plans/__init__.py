@@ -1 +1,4 @@
+"""The query catalogue."""
 
+from tidewell.plans import extensions, lifecycle, logs, metrics, retrieval, store, streams, text, traces  # noqa: F401
+from tidewell.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
