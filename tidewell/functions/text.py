@@ -177,7 +177,7 @@ def content_sha256(content) -> Column:
 
 def first_line(text, most: int = 90) -> Column:
     """The first line, trimmed; over `most` bytes it is cut and gets an ellipsis."""
-    line = F.trim(F.substring_index(F.trim(_text(text)), "\n", 1))
+    line = F.rtrim(F.substring_index(F.regexp_replace(_text(text), r"^\s+|\s+$", ""), "\n", 1))
     return F.when(F.octet_length(line) <= most, line).otherwise(F.concat(byte_prefix(line, most), F.lit(ELLIPSIS)))
 
 

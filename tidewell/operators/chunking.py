@@ -113,7 +113,7 @@ def _pack(units: Column, path: Column, target: Column) -> Column:
 def chunks(sections: DataFrame, key: str, target: int = TARGET) -> DataFrame:
     """key, chunk_index, heading_path, content, tokens: sections merged with siblings, kept, or packed by unit."""
     goal = F.lit(target)
-    s = sections.withColumn("body", T.join_units("units")).withColumn("depth", F.size("path"))
+    s = sections.filter(F.size("units") > 0).withColumn("body", T.join_units("units")).withColumn("depth", F.size("path"))
     s = s.withColumn("own", F.array_join("path", T.PATH_SEPARATOR)).withColumn("parent", F.when(F.col("depth") > 0, F.array_join(F.slice("path", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0))), T.PATH_SEPARATOR)))
     s = s.withColumn("whole", F.when(F.col("title") == "", F.col("body")).otherwise(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("title"), F.lit("\n\n"), F.col("body"))))
     per = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "depth", "own", "parent", "units", "body", "whole"))).alias("s"))

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from tidewell.operators import lifecycle
 from tidewell.plans.registry import query, table
 
-_AT = F.lit("1998-06-01 00:00:00").cast("timestamp")
+
+def _at():
+    return F.lit("1998-06-01 00:00:00").cast("timestamp")
+
 _STATUS = "CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'O' THEN 'PROCESSING' ELSE CASE WHEN o_orderpriority = '1-URGENT' THEN 'READY' ELSE 'FAILED' END END"
 _ROWS = f"""r AS (SELECT o_orderkey AS id, {_STATUS} AS status, CAST(o_orderkey % 4 AS INTEGER) AS attempts, o_orderdate AS updated_at,
   CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS started_at FROM orders)"""
@@ -26,7 +29,7 @@ _DUE = """CASE WHEN status = 'PENDING' AND updated_at < TIMESTAMP '1998-06-01' -
 
 @query(f"WITH {_ROWS} SELECT id, status, {_DUE} AS category FROM r WHERE {_DUE} IS NOT NULL")
 def lease_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities(spark, sf_dir).withColumn("category", lifecycle.document_category(_AT)).filter("category is not null").select("id", "status", "category")
+    return entities(spark, sf_dir).withColumn("category", lifecycle.document_category(_at())).filter("category is not null").select("id", "status", "category")
 
 
 @query("SELECT CAST(n AS INTEGER) AS attempts, CAST(CASE WHEN n <= 1 THEN 60 ELSE 300 END AS INTEGER) AS wait, count(o_orderkey) AS rows FROM orders, LATERAL (SELECT o_orderkey % 5 AS n) GROUP BY 1, 2")
@@ -38,14 +41,14 @@ def backoff_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_ROWS}, due AS (SELECT id, {_DUE} AS category FROM r), n AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS rank FROM due WHERE category IS NOT NULL)
 SELECT category, count(*) AS candidates, count(*) FILTER (WHERE id % 10 <> 0) AS enqueued, count(*) FILTER (WHERE id % 10 = 0) AS failed FROM n WHERE rank <= 100 GROUP BY 1""")
 def reconcile_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    swept = lifecycle.sweep(entities(spark, sf_dir), lifecycle.document_category(_AT))
+    swept = lifecycle.sweep(entities(spark, sf_dir), lifecycle.document_category(_at()))
     return lifecycle.sweep_stats(swept, F.col("id") % 10 == 0)
 
 
 @query(f"""WITH {_ROWS}, c AS (SELECT *, status IN ('PENDING', 'FAILED') OR coalesce(status = 'PROCESSING' AND started_at < TIMESTAMP '1998-06-01' - INTERVAL 600 SECOND, false) AS changed FROM r)
 SELECT id, CASE WHEN changed THEN 'PROCESSING' ELSE status END AS status, CAST(attempts + CASE WHEN changed THEN 1 ELSE 0 END AS INTEGER) AS attempts, changed FROM c""")
 def claim_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.claim_documents(entities(spark, sf_dir), _AT).select("id", "status", "attempts", "changed")
+    return lifecycle.claim_documents(entities(spark, sf_dir), _at()).select("id", "status", "attempts", "changed")
 
 
 @query("""WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderdate AS started_at, CAST(o_orderkey % 4 AS INTEGER) AS attempts FROM orders),
@@ -57,7 +60,7 @@ def run_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "P", "PENDING").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
     runs = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
-    claimed = lifecycle.claim_runs(runs, _AT)
+    claimed = lifecycle.claim_runs(runs, _at())
     left = lifecycle.drop_claimed_children(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id")), claimed)
     n = left.groupBy("run_id").agg(F.count("*").alias("children"))
     return claimed.join(n, claimed["id"] == n["run_id"], "left").select("id", "status", "attempts", F.coalesce("children", F.lit(0)).cast("long").alias("children"))
