@@ -26,7 +26,7 @@ class Lifecycle(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("document", "status STRING, attempts INT, started LONG")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, attempts, started = self.state.get() if self.state.exists() else ("", 0, 0)
         events = pd.concat(rows).sort_values("ts", kind="stable")
         out = []
@@ -54,3 +54,28 @@ class Lifecycle(StatefulProcessor):
 def lifecycle(events: DataFrame, lease_seconds: int = 600, max_attempts: int = 3) -> DataFrame:
     """Transitions of the streaming rows id, ts, action; needs the RocksDB state store."""
     return events.groupBy("id").transformWithStateInPandas(Lifecycle(lease_seconds, max_attempts), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+
+
+class Leases(Lifecycle):
+    """The same, on event time: a timer ends a claim whose lease runs out without a result, and the document is pending again."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from super().handleInputRows(key, rows, timerValues)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if self.state.exists() and self.state.get()[0] == "PROCESSING":
+            self.handle.registerTimer(self.state.get()[2] + self.lease_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, attempts, started = self.state.get() if self.state.exists() else ("", 0, 0)
+        if status == "PROCESSING":
+            self.state.update(("PENDING", attempts, 0))
+            at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+            yield pd.DataFrame([(key[0], at, "lease_expired", status, "PENDING", attempts, True)], columns=["id", "ts", "action", "before", "after", "attempts", "accepted"])
+
+
+def leases(events: DataFrame, lease_seconds: int = 600, max_attempts: int = 3) -> DataFrame:
+    """Transitions, with leases ended by timers; events need a watermark on ts."""
+    return events.groupBy("id").transformWithStateInPandas(
+        Leases(lease_seconds, max_attempts), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"
+    )
