@@ -1,0 +1,426 @@
+"""Each operator against a brute-force version and on odd rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidewell.llm import html_extract, license_scan, mixing, packing, quality, sharding, simhash, suffix_dedup, topk, url_filter
+
+SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, size STRING, block INT, kept STRING, h STRING, fp INT, node INT, i INT, row STRING, rank INT, part INT, shard INT, length INT"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SHARED = "the shared passage runs on for well over fifty bytes in every document that quotes it, word for word. "
+
+
+def texts():
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(rng.choice(list("aeioustrnl"), rng.integers(2, 8))) for _ in range(n))
+    out = [prose(int(rng.integers(1, 120))) for _ in range(60)]
+    base = prose(200)
+    out += [base, base, base + " tail", "Head " + base, base.replace("a", "A", 3), None, "", " \n\t", None, "word " * 400, "x" * 5000, prose(9000)]
+    out += [prose(30) + " " + SHARED + prose(25) for _ in range(8)] + ["Zwölf Boxkämpfer jagen é　 " + prose(60), "under the MIT license\n" * 3, "a\x00b c"]
+    return out
+
+
+def frame(spark, rows=None):
+    rows = list(enumerate(texts())) if rows is None else rows
+    full = [(i, t, ["en", "de", None][k % 3], ["s1", "s1", "s1", "s2", None][k % 5], 0, "x", 1, "k", "h", 2, 3, 4, "r", 5, 6, 7, 8) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = list(enumerate(texts()))
+    return frame(spark, rows + rows[:5])  # five rows come twice
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# 1
+
+
+def brute_repeats(rows):
+    first, out = {}, []
+    data = [(i, (t or "").encode()) for i, t in rows]
+    for i, t in data:
+        for j in range(len(t) - 49):
+            first[t[j : j + 50]] = min(i, first.get(t[j : j + 50], i))
+    for i, t in data:
+        gone = bytearray(len(t))
+        for j in range(len(t) - 49):
+            if first[t[j : j + 50]] < i:
+                gone[j : j + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        s = rng.integers(1, rng.integers(2, 9), rng.integers(0, 40)).tolist() + [0]
+        assert suffix_dedup.suffix_array(s) == sorted(range(len(s)), key=lambda k: s[k:])
+
+
+@pytest.mark.parametrize("block,hot", [(1 << 21, 20_000), (9_000, 20_000), (9_000, 1)])
+def test_repeats(docs, monkeypatch, block, hot):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCUMENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 20_000)
+    want = brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(rows_of(suffix_dedup.deduplicate(docs))) == sorted(want)
+    assert sum(w[2] for w in want) > 1000
+
+
+def test_repeats_null_ids_and_empty(spark, empty):
+    got = rows_of(suffix_dedup.deduplicate(frame(spark, [(None, SHARED), (7, SHARED), (9, SHARED[:49])])))
+    assert {(r[0], r[2]) for r in got} == {(None, len(SHARED)), (7, 0), (9, 0)}
+    assert rows_of(suffix_dedup.deduplicate(empty)) == []
+
+
+def test_repeats_leave_other_columns(docs):
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    kept = {r["doc_id"]: r for r in out.collect()}
+    for i, n, gone, _, sha in brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()]):
+        text = kept[i]["text"]
+        if n and (text or "").isascii():
+            assert hashlib.sha256(text.encode()).hexdigest() == sha
+        assert kept[i]["size"] == "x" and (text is None or kept[i]["n_chars"] == len(text))
+
+
+# 2
+
+
+def brute_quality(text):
+    words = WORDS.findall(text or "")
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for x in lines:
+        if WORDS.search(x):
+            dup += x in seen
+            seen.add(x)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    n = Counter(windows)
+    covered = {k + d for k, w in enumerate(windows) if n[w] > 1 for d in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)
+
+
+def test_quality(docs, empty):
+    for r, d in zip(rows_of(quality.assess(docs).orderBy("doc_id")), docs.orderBy("doc_id").collect()):
+        assert r[1:7] == brute_quality(d["text"])
+        assert not (r[6] and r[7])
+    assert rows_of(quality.assess(empty)) == []
+
+
+def test_compression_bands(spark):
+    rng = np.random.default_rng(5)
+    prose = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400))
+    noise = " ".join(rng.bytes(60).hex() + "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 60))) for _ in range(80))
+    spam = "\n".join(f"buy number {k % 17} now" for k in range(300))
+    got = {r["doc_id"]: r["kept"] for r in quality.assess(frame(spark, [(1, prose), (2, spam), (3, noise)])).collect()}
+    assert got == {1: True, 2: False, 3: got[3]}
+    assert [r["doc_id"] for r in quality.keep_good(frame(spark, [(1, prose), (2, spam)])).collect()] == [1]
+
+
+# 3
+
+
+def test_license_base(docs, empty):
+    want = {}
+    for d in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (d["text"] or "").translate(LOW))
+        found = [(k, label) for p, label in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        at = [k for k, _ in found]
+        want[d["doc_id"]] = (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found})))
+    for r in rows_of(license_scan.scan_licenses(docs)):
+        assert r[1:6] == want[r[0]]
+        assert set(filter(None, r[5].split(","))) <= set(filter(None, r[6].split(","))) and 0 <= r[7] <= 1
+    assert rows_of(license_scan.scan_licenses(empty)) == []
+
+
+@pytest.mark.parametrize(
+    "template,text,accepted",
+    [
+        ("a [[b]] c", "a c", True), ("a [[b]] c", "a b c", True), ("a [[b]] c", "a x c", False), ("a {{2}} c", "a x y c", True), ("a {{2}} c", "a c", True),
+        ("a {{2}} c", "a x y z c", False), ("a [[b {{1}}]] c", "a b q c", True), ("a [[b [[d]]]] c", "a b d c", True), ("[[x]] a b", "a b", True), ("a b", "a", False),
+    ],
+)
+def test_automaton(template, text, accepted):
+    a, words = license_scan.compile_template(template), [w.encode() for w in text.split()]
+    assert (a.ends(words, 0) is not None) == accepted
+
+
+def test_templates_match(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    got = license_scan.scan_licenses(frame(spark, [(1, mit), (2, mit.replace("hereby", "not")), (3, "Licensed under the Apache License, Version 2.0 (CC BY-NC 4.0)")])).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == ["mit", "", "apache-2,cc-by-nc"]
+
+
+# 4
+
+
+def test_top_k(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = [(k, [float(x) if rng.random() < 0.6 else 0.0 for x in rng.normal(size=6).round(2)]) for k in range(120)]
+    vectors += [(200, vectors[3][1]), (250, None), (300, [1.0, None]), (350, [float("nan")] * 6), (None, [1.0] * 6), (400, []), (3, vectors[3][1])]
+    monkeypatch.setattr(topk, "BLOCK", 17)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    good = {i: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q in (x for x in good if x % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id LONG, embedding ARRAY<FLOAT>, rank INT, score INT").repartition(5)
+    assert sorted(rows_of(topk.top_k(df))) == sorted(want)
+    assert rows_of(topk.top_k(df.limit(0))) == []
+
+
+# 5
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (None, ""), ("", ""), ("just text", "just text"), ("<nav>a</nav>", ""),
+        ("<body><nav>Menu</nav><article><h1>T&amp;t</h1><p>One <b>b</b>old,\n two.<p>Three<br>four.<script>x<p></script></article><footer>f", "T&t One bold, two. Three four."),
+        ("<header>Site</header><div><h2>Tea</h2><p>A cup, hot &lt;and&gt; good.</p><div class='ad'>Buy, now!</div><p>Second one, longer than that.</p></div><div id=comments><p>I like it, a lot, really.</p></div>", "Tea A cup, hot <and> good. Second one, longer than that."),
+        ("<article><header><h1>Head</h1></header><p>Body, of it.</p><form>f</form><aside>s</aside><!-- <p>no</p> --></article>", "Head Body, of it."),
+        ("<article><p>" + "word, " * 30000 + "</p></article>", ("word, " * 30000).strip()),
+    ],
+)
+def test_main_text(page, text):
+    assert html_extract.main_text(page or "") == text
+
+
+def test_extract_frame(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>x, y.</p></article>", "t", 9), (2, None, None, None, None)], "page_id LONG, url STRING, html STRING, text STRING, n_chars INT")
+    assert rows_of(html_extract.extract(df).orderBy("page_id")) == [(1, "u", "x, y.", 5), (2, None, "", 0)]
+    assert rows_of(html_extract.extract(df.limit(0))) == []
+
+
+# 6
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate(LOW)
+    fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best[1] if best else None, best[2] if best else "allow"
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "http://com", "http://com/", "HTTP://WWW.Example.COM/en/1?x#y", "http://example.com/en/", "http://example.com/en", "http://a.b.c.net/es/fr/", "x://net/fr/1", "http://xnet/es/",
+            "http://example.net/es/1://b.com/", "http://a..com/q", "http://www.example.com/fr/2", "http://com./", "a://b\n.com/en/", "http://Ünet.com/é"]
+    df = spark.createDataFrame([(k, u, "h", "v") for k, u in enumerate(urls + urls[:6])], "page_id LONG, url STRING, host STRING, verdict STRING")
+    got = rows_of(url_filter.filter_urls(df, url_filter.rule_frame(spark, url_filter.RULES)).orderBy("page_id"))
+    assert got == [(k, *brute_url(u)) for k, u in enumerate(urls + urls[:6])]
+    assert rows_of(url_filter.filter_urls(df.limit(0), url_filter.rule_frame(spark, url_filter.RULES))) == []
+    assert {r[4] for r in rows_of(url_filter.filter_urls(df, url_filter.rule_frame(spark, [])))} == {"allow"}
+
+
+def test_urls_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
+    df = spark.createDataFrame([(1, "http://a.com/ab/c"), (2, "http://a.com/x")], "page_id LONG, url STRING")
+    got = rows_of(url_filter.filter_urls(df, url_filter.rule_frame(spark, [("com", "/a", "block"), ("a.com", "/", "allow")])).orderBy("page_id"))
+    assert [r[3:] for r in got] == [("a.com/", "allow"), ("a.com/", "allow")]
+
+
+# 7
+
+
+def test_sharding(docs, empty):
+    got = sharding.shard(docs)
+    rows = got.collect()
+    want = sorted((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    slots = defaultdict(list)
+    for r in rows:
+        assert 0 <= r["shard"] < 24 and r["law"] == "bytes" and r["grown_shard"] is None
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert rows_of(sharding.shard(empty)) == []
+
+
+def test_shards_are_even(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, "x" * int(n)) for k, n in enumerate(rng.integers(10, 400, 3000))] + [(k, "same text") for k in range(5000, 6500)]
+    sizes = [r["b"] for r in sharding.shard(frame(spark, rows)).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 24
+
+
+# 8
+
+
+def test_words_encode_as_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    w = packing.WordTokenizer(path, 2)
+    some = [t or "" for t in texts()] + ["a  b", "a\n\nb", " lead", "trail ", "it's 'so' don't", "tab\tx", "a\x1cb c", "<|endoftext|> x", "\n", "x \n y", "　a b"]
+    assert [x[:-4] for x in w.encode(some)] == w._encode(some)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_covers_the_histogram(seed):
+    rng = np.random.default_rng(seed)
+    histogram = {int(k): int(v) for k, v in zip(rng.choice(np.arange(1, 65), 30, replace=False), rng.integers(1, 500, 30))}
+    got, n = Counter(), 0
+    for pattern, times in packing.plan(histogram, 64):
+        assert sum(pattern) <= 64 and times > 0
+        n += times
+        for length in pattern:
+            got[length] += times
+    assert got == histogram
+    alone = sum(t for _, t in packing.best_fit(np.array([histogram.get(k, 0) for k in range(65)]), 64))
+    assert n <= 1.02 * alone + 2
+
+
+def test_packing(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    w = packing.WordTokenizer(path, 2)
+    rows = packing.pack(docs, path, sequence=128).collect()
+    ids = {r["doc_id"]: w.encode([r["text"] or ""])[0] for r in docs.collect()}
+    by, seen = defaultdict(list), defaultdict(list)
+    for r in rows:
+        part = ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]
+        assert zlib.crc32(part) == r["ids_crc32"] and len(part) == 4 * r["length"]
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+        seen[r["doc_id"]].append((r["piece"], r["start"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 128
+    copies = Counter(r["doc_id"] for r in docs.collect())
+    for i, parts in seen.items():
+        n = len(ids[i]) // 4
+        lengths = [n % 128 or 128] + [128] * ((n - 1) // 128)
+        assert sorted(parts) == sorted([(k, sum(lengths[:k]), x) for k, x in enumerate(lengths)] * copies[i])
+    assert rows_of(packing.pack(empty, path)) == []
+
+
+# 9
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
+    assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([30, 120, 60])
+    assert mixing.targets([0, 0], [5, 2]) == [0, 0]
+
+
+def test_tree_keeps_quotas():
+    tree = mixing.splitting_tree(np.array([50, 7, 0, 300]), 16, 1)
+    assert tree.sum(axis=0).tolist() == [50, 7, 0, 300] and tree.min() >= 0
+    sums = tree.sum(axis=1)
+    assert sums.max() - sums.min() <= 4
+
+
+def test_mixing(docs, empty):
+    m = mixing.Mix(docs)
+    rows = m.taken().collect()
+    size = lambda t: len(WORDS.findall(t or ""))
+    all_ = docs.collect()
+    assert sorted((r["doc_id"], r["size"]) for r in rows) == sorted((r["doc_id"], size(r["text"])) for r in all_)
+    by = defaultdict(list)
+    for r in rows:
+        assert r["taken"] <= 3 * r["size"]
+        by[r["source"]].append(r)
+    largest = max(r["size"] for r in rows)
+    for source, some in by.items():
+        assert some[0]["source_size"] == sum(size(r["text"]) for r in all_ if r["source"] == source)
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= largest
+    copies = m.copies(docs)
+    assert copies.columns[:-2] == docs.columns
+    n = Counter(r["doc_id"] for r in copies.collect())
+    want = Counter()
+    for r in rows:
+        want[r["doc_id"]] += r["passes"]
+    assert n == +want
+    assert sorted(map(repr, mixing.Mix(docs).taken().collect())) == sorted(map(repr, rows))
+    assert rows_of(mixing.Mix(empty).taken()) == []
+
+
+# 10
+
+
+def brute_fingerprint(text):
+    words = WORDS.findall((text or "").translate(LOW))
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    n = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            n[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * n[b] > len(shingles))
+
+
+def brute_components(fps):
+    parent = {i: i for i in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(fps)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(docs, empty):
+    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in docs.collect()}
+    root = brute_components(fps)
+    got = rows_of(simhash.near_duplicates(docs))
+    assert sorted(got) == sorted((r["doc_id"], f"{fps[r['doc_id']]:016x}", root[r["doc_id"]]) for r in docs.collect())
+    assert len(set(root.values())) < len(root)
+    assert rows_of(simhash.near_duplicates(empty)) == []
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(root.values()))
+
+
+@pytest.mark.parametrize("dense", [1024, 3])
+def test_links_between_close_fingerprints(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = np.random.default_rng(6)
+    fps = set()
+    for _ in range(30):
+        x = int(rng.integers(0, 1 << 63)) * 2
+        for _ in range(12):
+            fps.add(x)
+            x ^= 1 << int(rng.integers(0, 64))
+            if rng.random() < 0.5:
+                x ^= 1 << int(rng.integers(0, 64))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = simhash.connected_components(simhash.candidate_links(spark.createDataFrame([(f,) for f in signed], "fp LONG")))
+    parts = defaultdict(set)
+    for r in got.collect():
+        parts[r["root"]].add(r["node"] & (1 << 64) - 1)
+    want = defaultdict(set)
+    for i, r in brute_components({f: f for f in fps}).items():
+        want[r].add(i)
+    assert sorted(map(sorted, parts.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)

@@ -37,6 +37,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, at_least: int) -> DataFrame:
+    """df written to the shared folder in buckets of `key`, so that joins on the key leave it where it is."""
+    spark = df.sparkSession
+    n = min(100_000, max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    name = f"tidewell_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -5,8 +5,8 @@ doc_id. The corpus is cut into blocks of documents. Each window is represented b
 K-byte string with the least hash in it (leftmost if tied), so equal windows have equal anchors at
 equal places.
 
-1. Blocks send their anchors' hashes to buckets, once each; buckets answer which of them occur in
-   other blocks too, and which in so many that they are hot.
+1. Blocks send their anchors' hashes to buckets, once each, with the number of documents; buckets
+   answer which of them occur in other blocks too, and which in so many documents that they are hot.
 2. Blocks send the stretches of text around shared anchors to the anchor's bucket, one for each
    distinct stretch, with the smallest doc_id that has it. Windows around a hot anchor are sent one
    by one to the window's own bucket, so that no bucket receives an unbounded group.
@@ -25,6 +25,7 @@ length is read whole, and one larger than a block is a block of its own; an empt
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import saved
+from tidewell.llm.common import bucketed
 
 WINDOW = 50
 K = 20
 SPAN = WINDOW - K + 1  # places of an anchor in a window
+HALF = (SPAN - 1) // 2
 WIDE = SPAN + WINDOW - 1  # bytes of the longest stretch
 BLOCK_BYTES = 2 << 20
+STRIP = 1 << 15
+_LOW = np.uint64(17)  # bits that hold a place in a strip; the hash above them decides, the same everywhere
 BUCKET_ANCHORS = 400_000
 BUCKET_BYTES = 4 << 20
-HOT_BLOCKS = 256
+HOT_DOCUMENTS = 20_000
 SYMBOLS = 150_000
 NO_ID = np.iinfo(np.int64).max
 
@@ -56,45 +60,64 @@ def suffix_array(text: list[int]) -> list[int]:
     pass in ascending order fills every group from its first place on.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place, group, size = [0] * n, [0] * n, [0] * n
-    start = 0
-    for i, s in enumerate(order):
-        if text[s] != text[order[start]]:
-            start = i
-        place[s], group[s] = i, start
-        size[start] += 1
+    symbols = np.asarray(text)
+    by_symbol = np.argsort(symbols, kind="stable")
+    ends = np.flatnonzero(np.diff(symbols[by_symbol])) + 1
+    starts = np.concatenate([[0], ends]).astype(np.int64)
+    sizes = np.diff(np.append(starts, n))
+    order = by_symbol.tolist()
+    place, group, size = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    place[by_symbol], group[by_symbol], size[starts] = np.arange(n), np.repeat(starts, sizes), sizes
+    place, group, size = place.tolist(), group.tolist(), size.tolist()
     before = list(range(-1, n - 1))
     end = n - 1
     while end >= 0:
         first = group[order[end]]
-        times: dict[int, int] = {}
-        for s in order[first : end + 1]:
+        if first == end:  # a group of one points to one place at most
+            s = order[end]
             j = before[s]
             while j >= 0 and group[j] >= first:
                 j = before[j]
             before[s] = j
             if j >= 0:
-                times[j] = times.get(j, 0) + 1
-        by: dict[int, list[int]] = {}
-        for j, l in times.items():
-            by.setdefault(l, []).append(j)
+                g = group[j]
+                left = size[g] - 1
+                if left:  # j goes to the end of its group and is a group of its own there
+                    last = g + left
+                    other, at = order[last], place[j]
+                    order[last], order[at] = j, other
+                    place[j], place[other] = last, at
+                    size[g], group[j], size[last] = left, last, 1
+            end -= 1
+            continue
+        pointed = []
+        for s in order[first : end + 1]:
+            j = before[s]
+            while j >= 0 and group[j] >= first:
+                j = before[j]
+            before[s] = j
+            if j >= 0 and size[group[j]] > 1:
+                pointed.append(j)
+        if len(set(pointed)) == len(pointed):  # each place once, which is usual
+            by = {1: pointed} if pointed else {}
+        else:
+            by = {}
+            for j, l in Counter(pointed).items():
+                by.setdefault(l, []).append(j)
         for l in sorted(by, reverse=True):
             moved = by[l]
             for j in moved:  # to the end of its group
                 g = group[j]
-                size[g] -= 1
-                last = g + size[g]
+                left = size[g] = size[g] - 1
+                last = g + left
                 other, at = order[last], place[j]
                 order[last], order[at] = j, other
                 place[j], place[other] = last, at
             for j in moved:
                 g = group[j]
-                g += size[g]
-                group[j] = -1 - g
+                group[j] = -1 - g - size[g]
             for j in moved:
-                g = -1 - group[j]
-                group[j] = g
+                g = group[j] = -1 - group[j]
                 size[g] += 1
         end = first - 1
     out, free, done = [0] * n, list(range(n)), [False] * n
@@ -172,42 +195,47 @@ class Block:
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(anchor, first window, number of windows, document, hash) of each anchor, in text order."""
         n = len(self.data)
-        if n < WINDOW:
+        windows = n - WINDOW + 1
+        if windows <= 0:
             return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
-        padded = self.data.tobytes() + b"\0" * 16
-        load = np.empty(n + 8, np.uint64)
-        for o in range(8):
-            part = np.frombuffer(padded, "<u8", (n + 16 - o) // 8, o)
-            load[o::8] = part[: len(load[o::8])]
-        m = n - K + 1
-        h = load[:m] * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(32)
-        h += load[8 : 8 + m]
-        h *= np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(29)
-        h += load[12 : 12 + m] >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        bits = np.uint64(max(24, int(n).bit_length()))
-        low = (h >> bits << bits) | np.arange(m, dtype=np.uint64)
-        width = 1
-        while 2 * width <= SPAN:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < SPAN:
-            low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-        anchor = (low & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-        inside = np.zeros(n + 1, np.int32)
-        has = self.lengths >= WINDOW
-        np.add.at(inside, self.starts[has], 1)
-        np.add.at(inside, self.ends[has] - WINDOW + 1, -1)
-        window = np.flatnonzero(np.cumsum(inside[: len(anchor)]) > 0)
+        anchor, hashes = np.empty(windows, np.int64), np.empty(windows, np.uint64)
+        padded = self.data.tobytes() + b"\0" * 40
+        for at in range(0, windows, STRIP):  # strips that stay in the processor's cache
+            to = min(windows, at + STRIP)
+            h = anchor_hashes(padded, at, to - at + SPAN - 1)
+            low = (h >> _LOW << _LOW) | np.arange(len(h), dtype=np.uint64)
+            width = 1
+            while 2 * width <= SPAN:
+                low = np.minimum(low[:-width], low[width:])
+                width *= 2
+            if width < SPAN:
+                low = np.minimum(low[: to - at], low[SPAN - width :])
+            place = (low & np.uint64((1 << int(_LOW)) - 1)).astype(np.int64)
+            anchor[at:to] = place + at
+            hashes[at:to] = h[place]
+        count = np.maximum(self.lengths - WINDOW + 1, 0)
+        doc = np.repeat(np.arange(len(count)), count)
+        window = np.arange(len(doc)) + np.repeat(self.starts - (np.cumsum(count) - count), count)
         a = anchor[window]
-        doc = np.searchsorted(self.ends, window, side="right")
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]) if len(a) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(a)))
-        return a[first], window[first], count, doc[first], _mix(h[a[first]])
+        return a[first], window[first], np.diff(np.append(first, len(a))), doc[first], _mix(hashes[window[first]])
+
+
+def anchor_hashes(padded: bytes, at: int, n: int) -> np.ndarray:
+    """Hashes of the K bytes from each of n positions on."""
+    load = np.empty(n + 12, np.uint64)
+    for o in range(8):
+        load[o::8] = np.frombuffer(padded, "<u8", len(range(o, n + 12, 8)), at + o)
+    h = load[:n] * np.uint64(0x9FB21C651E98DF25)
+    h ^= h >> np.uint64(32)
+    h += load[8 : 8 + n]
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h += load[12 : 12 + n] >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -256,10 +284,9 @@ def _by_bucket(bucket: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))]
 
 
-def _sent_hashes(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (bucket, 32-bit value), ascending."""
-    both = np.unique((h >> np.uint64(33)) % np.uint64(buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
-    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's bucket, and 32 bits more."""
+    return (h >> np.uint64(33)) % np.uint64(buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
 def _batch(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -274,8 +301,9 @@ def _ask_anchors(buckets: int):
     def rows(batches):
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
-                at, value = _sent_hashes(_open(blob)[1].runs()[4], buckets)
-                out = [(block, b, value[s].tobytes()) for b, s in _by_bucket(at)]
+                keys, n = np.unique(_keys(_open(blob)[1].runs()[4], buckets), return_counts=True)
+                at, value, n = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
+                out = [(block, b, _pack(value[s], n[s])) for b, s in _by_bucket(at)]
                 if out:
                     yield _batch(*_MESSAGE, out)
 
@@ -284,11 +312,14 @@ def _ask_anchors(buckets: int):
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
     """For each value that a block sent: 0 if no other block has it, 1 if one has, 2 if it is hot."""
-    values = [np.frombuffer(x, np.uint32) for x in table.column("body").to_pylist()]
-    _, which, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    flag = ((n > 1).astype(np.uint8) + (n > HOT_BLOCKS))[which]
-    ends = np.cumsum([len(v) for v in values])
-    body = [flag[e - len(v) : e].tobytes() for v, e in zip(values, ends)]
+    parts = [_unpack(x, "<u4", "u1") for x in table.column("body").to_pylist()]
+    _, which, blocks = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True, return_counts=True)
+    docs = np.bincount(which, weights=np.concatenate([n for _, n in parts]))
+    flag = (blocks > 1).astype(np.uint8)
+    flag[docs > HOT_DOCUMENTS] = 2
+    flag = flag[which]
+    ends = np.cumsum([len(v) for v, _ in parts])
+    body = [flag[e - len(v) : e].tobytes() for (v, _), e in zip(parts, ends)]
     return pa.table([table.column("block"), table.column("bucket"), pa.array(body, pa.binary())], names=_MESSAGE[0])
 
 
@@ -312,9 +343,7 @@ def stretches(block: int, docs: Block, flags: np.ndarray, buckets: int, stretch_
     anchor, first, count, doc, h = docs.runs()
     if not len(h):
         return []
-    at, value = _sent_hashes(h, buckets)
-    key = (h >> np.uint64(33)) % np.uint64(buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
-    flag = flags[np.searchsorted((at.astype(np.uint64) << np.uint64(32)) | value, key)]
+    flag = flags[np.unique(_keys(h, buckets), return_inverse=True)[1]]
     order = np.argsort(h, kind="stable")
     hs, ds = h[order], docs.ids[doc[order]]
     new = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
@@ -379,42 +408,65 @@ def seen_earlier(text: np.ndarray, left: np.ndarray, n: np.ndarray, doc: np.ndar
     members = np.diff(np.append(begin, len(shown)))
     first = np.repeat(least[:, None], SPAN, axis=1)  # of each window, its smallest document
     hard = np.flatnonzero(members[symbol] > 1)
-    hard = hard[np.argsort(symbol[hard], kind="stable")]
-    symbols = np.cumsum(n[shown[hard]] + SPAN)  # with a separator each
+    skip, count = _may_share(text, left, n, shown[hard], symbol[hard])
+    order = np.flatnonzero(count > 0)
+    order = order[np.argsort(symbol[hard[order]], kind="stable")]
+    hard, skip, count = hard[order], skip[order], count[order]
+    symbols = np.cumsum(count + SPAN)  # with a separator each
     at = 0
     while at < len(hard):  # whole anchors at a time
         base = symbols[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(symbols, base + SYMBOLS, side="right")))
         while to < len(hard) and symbol[hard[to]] == symbol[hard[to - 1]]:
             to += 1
-        some = hard[at:to]
-        _first_documents(text, left, n, shown, least, symbol, some, first)
+        _first_documents(text, left, shown, least, symbol, hard[at:to], skip[at:to], count[at:to], first)
         at = to
     seen = first[which] < doc[:, None]
     seen &= np.arange(SPAN)[None, :] < n[:, None]
     return (seen.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def _first_documents(text, left, n, shown, least, symbol, some, first) -> None:
+def _may_share(text: np.ndarray, left: np.ndarray, n: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of the windows of each stretch that another stretch of its anchor may have.
+
+    A window holds SPAN - 1 bytes of context, so HALF of them are on one side of the anchor, next to
+    it: with nothing in common there on the left, only windows with less on that side can be shared.
+    """
+    l, right = left[rows], n[rows] + WINDOW - 1 - left[rows] - K
+    width = -(-HALF // 8) * 8
+    flat = text[rows].reshape(-1)
+    same = []
+    for begin, has in ((l - HALF, l >= HALF), (l + K, right >= HALF)):
+        out, some = np.zeros(len(rows), bool), np.flatnonzero(has)
+        if len(some):
+            half = gathered(flat, some * WIDE + begin[some], np.full(len(some), HALF), width)
+            order, first, which = _classes(*row_hashes(half, symbol[some]))
+            out[some] = np.diff(np.append(first, len(some)))[which] > 1
+        same.append(out)
+    skip = np.where(same[0], 0, np.maximum(l - HALF + 1, 0))
+    end = np.where(same[1], n[rows], np.minimum(n[rows], l - (SPAN - 1 - HALF)))
+    return skip, np.where(same[0] | same[1], np.maximum(end - skip, 0), 0)
+
+
+def _first_documents(text, left, shown, least, symbol, some, skip, count, first) -> None:
     """Sort the suffixes of these stretches, an anchor being one symbol, and spread each window's smallest document."""
     rows = shown[some]
-    wide = WIDE - K + 1
-    columns = np.arange(wide)[None, :]
-    l = left[rows][:, None]
-    source = np.where(columns <= l, columns, columns + K - 1)
+    columns = np.arange(WIDE - K + 1)[None, :]
+    l = (left[rows] - skip)[:, None]
+    source = np.where(columns <= l, columns, columns + K - 1) + skip[:, None]
     flat = np.take_along_axis(text[rows], np.minimum(source, WIDE - 1), axis=1).astype(np.int64) + 2
     own = np.unique(symbol[some], return_inverse=True)[1]
     flat = np.where(columns == l, 258 + own[:, None], flat)
-    used = columns < (n[rows] + SPAN - 1)[:, None]
+    used = columns < (count + SPAN - 1)[:, None]
     flat = np.concatenate([np.where(used, flat, 0), np.ones((len(rows), 1), np.int64)], axis=1)
     keep = np.concatenate([used, np.ones((len(rows), 1), bool)], axis=1)
     string = flat[keep]
     order = np.array(suffix_array([*string.tolist(), 0]))[1:]
-    sizes = n[rows] + SPAN
+    sizes = count + SPAN
     begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(rows)), sizes)[order]
     offset = order - begin[owner]
-    window = offset < n[rows][owner]
+    window = offset < count[owner]
     order, owner, offset = order[window], owner[window], offset[window]
     content = np.lib.stride_tricks.sliding_window_view(np.concatenate([string, np.zeros(SPAN, np.int64)]), SPAN)
     new = np.ones(len(order), bool)
@@ -423,7 +475,7 @@ def _first_documents(text, left, n, shown, least, symbol, some, first) -> None:
         new[part] = (content[order[part]] != content[order[part.start - 1 : part.stop - 1]]).any(axis=1)
     starts = np.flatnonzero(new)
     smallest = np.minimum.reduceat(least[some][owner], starts)
-    first[some[owner], offset] = np.repeat(smallest, np.diff(np.append(starts, len(order))))
+    first[some[owner], offset + skip[owner]] = np.repeat(smallest, np.diff(np.append(starts, len(order))))
 
 
 def removed_bytes(docs: Block, told: list[dict] | None) -> np.ndarray:
@@ -444,7 +496,7 @@ def removed_bytes(docs: Block, told: list[dict] | None) -> np.ndarray:
 
 def _spread_out(docs: DataFrame, finish, schema: str) -> DataFrame:
     """Run the four steps; finish(table, block, gone) gives a block's result."""
-    blocks = saved(blocks_of(docs), "blocks")
+    blocks = bucketed(blocks_of(docs), "block", 2 * docs.rdd.getNumPartitions())
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, total * 2 // (SPAN + 1) // BUCKET_ANCHORS)
     stretch_buckets = max(1, total // BUCKET_BYTES)
