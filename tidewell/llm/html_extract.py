@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\s+[^\s\"'>=/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|[\s/]+)*)[^<>]*>", re.S
+_TOKEN = re.compile(  # possessive throughout: an unclosed tag fails at once
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*+)"
+    r"(?P<attrs>(?:[\s/]++|[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>]++))?+)*+)[^<>]*+>", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：·¿¡]")
