@@ -200,6 +200,8 @@ def test_top_k(spark, monkeypatch):
         ("<body><nav>Menu</nav><article><h1>T&amp;t</h1><p>One <b>b</b>old,\n two.<p>Three<br>four.<script>x<p></script></article><footer>f", "T&t One bold, two. Three four."),
         ("<header>Site</header><div><h2>Tea</h2><p>A cup, hot &lt;and&gt; good.</p><div class='ad'>Buy, now!</div><p>Second one, longer than that.</p></div><div id=comments><p>I like it, a lot, really.</p></div>", "Tea A cup, hot <and> good. Second one, longer than that."),
         ("<article><header><h1>Head</h1></header><p>Body, of it.</p><form>f</form><aside>s</aside><!-- <p>no</p> --></article>", "Head Body, of it."),
+        ("<article><p>One, two.</p><p>a <b " + "x   " * 20000 + "</article>", "One, two. a <b " + ("x " * 20000).strip()),
+        ("<article><p title='a > b' class=c>In, it.</p><img alt='x>y'/></article>", "In, it."),
         ("<article><p>" + "word, " * 30000 + "</p></article>", ("word, " * 30000).strip()),
     ],
 )
@@ -274,9 +276,11 @@ def test_shards_are_even(spark):
 
 def test_words_encode_as_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    w = packing.WordTokenizer(path, 2)
+    w, fast = packing.WordTokenizer(path, 2), packing.WordTokenizer(path, 2, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     some = [t or "" for t in texts()] + ["a  b", "a\n\nb", " lead", "trail ", "it's 'so' don't", "tab\tx", "a\x1cb c", "<|endoftext|> x", "\n", "x \n y", "　a b"]
+    some += ["½, ½. 3, x². e̊, a'.", "... a ,b c,, d%%%.", "n'. 's, 's", "don't we'll I'm 12th №5 日本 語、 ok"]
     assert [x[:-4] for x in w.encode(some)] == w._encode(some)
+    assert fast.encode(some) == w.encode(some)
 
 
 @pytest.mark.parametrize("seed", range(4))

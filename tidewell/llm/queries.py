@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm import html_extract, license_scan, mixing, packing, quality, sharding, simhash, suffix_dedup, topk, url_filter
 from tidewell.llm.common import read_table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ranks=public_tokenizers.path(RANKS))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
