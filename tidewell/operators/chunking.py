@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 
 TARGET, MOST_CHUNKS = 400, 2000
-UNIT = "struct<text:string,tight:boolean>"
 
 
 def weight(text: Column) -> Column:
@@ -27,10 +26,6 @@ def weight(text: Column) -> Column:
 _BREAK, _FEED = 6, 3  # a blank line, a line feed
 
 
-def _with_path(path: Column, body: Column) -> Column:
-    return body + F.when(path == "", 0).otherwise(weight(path) + _BREAK)
-
-
 def text_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One section per document: its paragraphs, split at lines of white space."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.rtrim(F.regexp_replace(x, r"[ \t]+$", "")))
@@ -94,44 +89,59 @@ def markdown_sections(docs: DataFrame, key: str, text: str = "text") -> DataFram
     )
 
 
-def _pack(units: Column, path: Column, target: Column) -> Column:
-    """Bodies of the chunks that hold the units in order, greedily; a unit over budget stands alone."""
-    start = F.struct(F.lit(-1).alias("id"), F.lit(0).alias("w"), F.lit(False).alias("tight"), F.array().cast("array<int>").alias("ids"))
+def _pack(units: Column, path: Column, path_weight: Column, target: Column) -> Column:
+    """Bodies of the chunks that hold the units in order, greedily; a unit over budget stands alone. One fold."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(-1).alias("w"), F.lit(False).alias("tight"))
 
     def step(a, u):
-        joined = a["w"] + F.when(a["tight"] & u["tight"], _FEED).otherwise(_BREAK) + weight(u["text"])
-        fits = (a["id"] >= 0) & (_with_path(path, joined) <= 12 * target)
-        new = a["id"] + F.when(fits, 0).otherwise(1)
-        return F.struct(new.alias("id"), F.when(fits, joined).otherwise(weight(u["text"])).alias("w"), u["tight"].alias("tight"), F.concat(a["ids"], F.array(new)).alias("ids"))
+        tight = a["tight"] & u["tight"]
+        joined = a["w"] + F.when(tight, _FEED).otherwise(_BREAK) + u["w"]
+        fits = (a["w"] >= 0) & (joined + path_weight <= 12 * target)
+        return F.struct(
+            F.when(fits | (a["w"] < 0), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))).alias("done"),
+            F.when(fits, F.concat(a["cur"], F.when(tight, F.lit("\n")).otherwise(F.lit("\n\n")), u["text"])).otherwise(u["text"]).alias("cur"),
+            F.when(fits, joined).otherwise(u["w"]).alias("w"), u["tight"].alias("tight"),
+        )
+
+    return F.aggregate(units, start, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
 
-    ids = F.aggregate(units, start, step, lambda a: a["ids"])
-    placed = F.arrays_zip(units.alias("u"), ids.alias("i"))
-    part = lambda k: F.transform(F.filter(placed, lambda x: x["i"] == k), lambda x: x["u"])
-    return F.transform(F.sequence(F.lit(0), F.array_max(ids)), lambda k: T.join_units(part(k)))
+
+_SECTION = "struct<section:long,depth:int,own:string,ow:int,parent:string,pw:int,units:array<struct<text:string,tight:boolean,w:int>>,body:string,bw:int,whole:string,w:int>"
+
+
+def _runs(sections: Column, target: Column) -> Column:
+    """Sections in runs: a run of siblings that fit together under their parent is one chunk. One fold."""
+    start = F.struct(F.array().cast(f"array<array<{_SECTION}>>").alias("done"), F.array().cast(f"array<{_SECTION}>").alias("cur"), F.lit(0).alias("w"))
+
+    def step(a, x):
+        first = a["cur"][0]
+        joined = a["w"] + _BREAK + x["w"]
+        goes = (F.size(a["cur"]) > 0) & (first["depth"] > 0) & (first["depth"] == x["depth"]) & (first["parent"] == x["parent"]) & (a["w"] + x["pw"] <= 12 * target) & (joined + x["pw"] <= 12 * target)
+        goes = F.coalesce(goes, F.lit(False))
+        return F.struct(
+            F.when(goes | (F.size(a["cur"]) == 0), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))).alias("done"),
+            F.when(goes, F.concat(a["cur"], F.array(x))).otherwise(F.array(x)).alias("cur"), F.when(goes, joined).otherwise(x["w"]).alias("w"),
+        )
+
+    return F.aggregate(sections, start, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
 
 
 def chunks(sections: DataFrame, key: str, target: int = TARGET) -> DataFrame:
     """key, chunk_index, heading_path, content, tokens: sections merged with siblings, kept, or packed by unit."""
     goal = F.lit(target)
+    path_weight = lambda p: F.when(p == "", 0).otherwise(weight(p) + _BREAK)
     s = sections.filter(F.size("units") > 0).withColumn("body", T.join_units("units")).withColumn("depth", F.size("path"))
+    s = s.withColumn("units", F.transform("units", lambda u: F.struct(u["text"].alias("text"), u["tight"].alias("tight"), weight(u["text"]).alias("w"))))
     s = s.withColumn("own", F.array_join("path", T.PATH_SEPARATOR)).withColumn("parent", F.when(F.col("depth") > 0, F.array_join(F.slice("path", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0))), T.PATH_SEPARATOR)))
     s = s.withColumn("whole", F.when(F.col("title") == "", F.col("body")).otherwise(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("title"), F.lit("\n\n"), F.col("body"))))
-    per = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "depth", "own", "parent", "units", "body", "whole"))).alias("s"))
-    start = F.struct(F.lit(-1).alias("run"), F.lit(0).alias("w"), F.lit(-1).alias("depth"), F.lit("").alias("parent"), F.array().cast("array<int>").alias("runs"))
-
-    def step(a, x):
-        joined = a["w"] + _BREAK + weight(x["whole"])
-        goes = (a["depth"] > 0) & (a["depth"] == x["depth"]) & (a["parent"] == x["parent"]) & (_with_path(a["parent"], a["w"]) <= 12 * goal) & (_with_path(a["parent"], joined) <= 12 * goal)
-        run = a["run"] + F.when(goes, 0).otherwise(1)
-        return F.struct(run.alias("run"), F.when(goes, joined).otherwise(weight(x["whole"])).alias("w"), x["depth"].alias("depth"), F.coalesce(x["parent"], F.lit("")).alias("parent"), F.concat(a["runs"], F.array(run)).alias("runs"))
-
-    per = per.withColumn("runs", F.aggregate("s", start, step, lambda a: a["runs"])).withColumn("z", F.arrays_zip(F.col("s").alias("s"), F.col("runs").alias("r")))
-    runs = F.transform(F.sequence(F.lit(0), F.array_max("runs")), lambda k: F.transform(F.filter("z", lambda x: x["r"] == k), lambda x: x["s"]))
-    run = per.select(key, F.posexplode(runs).alias("run", "m"))
+    s = s.withColumn("w", weight(F.col("whole"))).withColumn("bw", weight(F.col("body"))).withColumn("ow", path_weight(F.col("own"))).withColumn("pw", path_weight(F.coalesce("parent", F.lit(""))))
+    fields = ("section", "depth", "own", "ow", "parent", "pw", "units", "body", "bw", "whole", "w")
+    per = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(f"array<{_SECTION}>").alias("s"))
+    run = per.select(key, F.posexplode(_runs(F.col("s"), goal)).alias("run", "m"))
     one, several = F.col("m")[0], F.size("m") > 1
     path = F.when(several, one["parent"]).otherwise(one["own"])
-    fits = _with_path(one["own"], weight(one["body"])) <= 12 * goal
-    bodies = F.when(several, F.array(F.array_join(F.transform("m", lambda x: x["whole"]), "\n\n"))).when(fits, F.array(one["body"])).otherwise(_pack(one["units"], one["own"], goal))
+    fits = one["bw"] + one["ow"] <= 12 * goal
+    bodies = F.when(several, F.array(F.array_join(F.transform("m", lambda x: x["whole"]), "\n\n"))).when(fits, F.array(one["body"])).otherwise(_pack(one["units"], one["own"], one["ow"], goal))
     each = run.withColumn("heading_path", path).select(key, "run", "heading_path", F.posexplode(bodies).alias("pos", "text"))
     content = T.embedded_text("heading_path", F.regexp_replace("text", r"^\n+|\n+$", ""))
     index = (F.row_number().over(Window.partitionBy(key).orderBy("run", "pos")) - 1).cast("int")
