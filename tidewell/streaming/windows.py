@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def event_time(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """ts as TIMESTAMP (a TIMESTAMP_NTZ has no watermark), with a watermark if the frame streams."""
     out = events.withColumn(ts, F.col(ts).cast("timestamp"))
