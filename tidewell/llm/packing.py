@@ -26,7 +26,7 @@ from tidewell.llm.common import saved
 
 SEQUENCE = 1024
 END_ID = 2
-PART_ROWS = 30_000
+PART_ROWS = 1_000
 #: A tokenizing task remembers so many words at most.
 REMEMBERED = 300_000
 #: Marks that are neither white space, letters nor numbers, and that no contraction holds.
@@ -280,8 +280,8 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end: int = E
     cut = saved(pieces(docs, tokenizer, sequence, end, ranks), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     keys, bases, offsets = _slots(plan(histogram, sequence))
-    parts = max(1, sum(histogram.values()) // PART_ROWS)
-    placed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    parts = F.array(*[F.lit(max(1, histogram.get(length, 0) // PART_ROWS)) for length in range(1, sequence + 1)])
+    placed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts, F.col("length").cast("int"))))
     counts = placed.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
