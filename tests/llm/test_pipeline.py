@@ -7,7 +7,7 @@ import public_tokenizers
 
 import __spark_entry__
 import corpus_pipeline
-from test_operators import WORDS, brute_components, brute_fingerprint, brute_quality, brute_repeats
+from test_llm_operators import WORDS, brute_components, brute_fingerprint, brute_quality, brute_repeats
 from tidewell.llm import packing
 
 
