@@ -57,3 +57,35 @@ def test_stages(spark, tmp_path):
     run = __spark_entry__.queries()["pipeline"](spark, sf)
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, run.collect())) == sorted(map(key, packed))
+
+
+def brute_similar(texts):
+    """Each text's smallest linked position, by the Jaccard similarity of all pairs' sets of five words."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(sets)):
+            for j in range(i):
+                if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                    root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_near_duplicates_are_texts_of_similarity_0_8(spark):
+    rng = np.random.default_rng(4)
+    prose = lambda n: ["".join(rng.choice(list("aeioustrnlmpc"), 6)) for _ in range(n)]
+    texts = [None, "", "one two", "one two"]
+    for n in (30, 90, 200, 400):
+        base = prose(n)
+        for edits in (0, 1, 2, 4, 8, 16):
+            own = list(base)
+            for k in rng.choice(n, edits * n // 200, replace=False):
+                own[k] = "changed%d" % rng.integers(10**6)
+            texts.append(" ".join(own))
+        texts += [" ".join(base[: n * 85 // 100]), " ".join(base[: n * 60 // 100])]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(set(brute_similar(texts))) and 8 < len(kept) < 25

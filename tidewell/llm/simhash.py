@@ -9,6 +9,11 @@ survivors are verified. A bucket holds 2^22 fingerprints at most, those that agr
 with over DENSE members looks up each member's neighbours instead, at most 253 each, which finds
 the same links. Only a spanning forest of a batch's links leaves the task.
 
+The pipeline's stage has another rule, links between texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more (keep_similar_one). Their fingerprints differ in 10 bits on
+average, for which blocks of bits and pivots discard next to nothing; so buckets are bands of least
+hashes there, and candidates are verified by their sets.
+
 Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked
 like any other; repeated rows share their fingerprint; component_id is the smallest doc_id that can
 be reached; a null doc_id doesn't count for it, and a component with no other id has a null one; an
@@ -35,24 +40,37 @@ DENSE = 1024
 #: Bits of the six blocks, from the lowest.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 BATCH_HASHES = 200_000
+#: Of similar_links: BANDS keys of ROWS least hashes each. Sets of similarity 0.8 share no key with a chance of (1 - 0.8^4)^20 = 0.00003.
+BANDS, ROWS = 20, 4
+#: Fingerprints of sets with similarity 0.8 differ in 10 bits on average, deviation 3.
+WIDE_BITS = 24
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     lows, highs = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(flat[a:b], seed) for a, b in zip(lows, highs)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, BATCH_HASHES):
-        part = np.array([digest(flat[a:b], seed) for a, b in zip(lows[at : at + BATCH_HASHES], highs[at : at + BATCH_HASHES])], dtype="<u8")
+        part = hashes[at : at + BATCH_HASHES].astype("<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp), fp as a signed long."""
 
@@ -125,6 +143,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
+def whole_runs(batches, names: tuple[str, ...], keys: int):
+    """The batches' columns cut anew, so that no run of equal values in the first `keys` columns is parted."""
+    left = None
+    for batch in batches:
+        have = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if left is not None:
+            have = [np.concatenate(x) for x in zip(left, have)]
+        if not len(have[0]):
+            continue
+        ends = np.flatnonzero(np.any([x[1:] != x[:-1] for x in have[:keys]], axis=0))
+        cut = int(ends[-1]) + 1 if len(ends) else 0  # the last run may go on in the next batch
+        left = [x[cut:] for x in have]
+        if cut:
+            yield [x[:cut] for x in have]
+    if left is not None and len(left[0]):
+        yield left
+
+
 def candidate_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of classes (fp), a spanning forest of each batch's."""
     masks = bucket_masks()
@@ -134,20 +170,8 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     references, by_k = pivots(), np.array(masks, dtype=np.uint64)
 
     def rows(batches):
-        left = None
-        for batch in batches:
-            k, bits, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "bits", "fp"))
-            if left is not None:
-                k, bits, fp = (np.concatenate(x) for x in zip(left, (k, bits, fp)))
-            if not len(k):
-                continue
-            ends = np.flatnonzero((k[1:] != k[:-1]) | (bits[1:] != bits[:-1]))
-            cut = int(ends[-1]) + 1 if len(ends) else 0  # the last run may go on in the next batch
-            left = (k[cut:], bits[cut:], fp[cut:])
-            if cut:
-                yield from found(k[:cut], bits[:cut], fp[:cut])
-        if left is not None and len(left[0]):
-            yield from found(*left)
+        for k, bits, fp in whole_runs(batches, ("k", "bits", "fp"), 2):
+            yield from found(k, bits, fp)
 
     def found(k, bits, fp):
         u = np.ascontiguousarray(fp).view(np.uint64)
@@ -173,6 +197,111 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    rng = np.random.default_rng([SEED, 1])
+    mask, factor = (rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[None, at : at + 4096] ^ mask) * factor).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.astype("<u8").reshape(BANDS, ROWS))], dtype=np.uint64)
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with two hashes of the whole row, _k1 and _k2."""
+    columns = [docs[c] for c in docs.columns] + [docs[c].isNull() for c in docs.columns]
+    return docs.withColumns({"_k1": F.xxhash64(*columns), "_k2": F.xxhash64(F.lit(SEED), *columns)})
+
+
+def set_marks(keyed: DataFrame, shingle: int) -> DataFrame:
+    """Per row its keys, doc_id, and of its set of shingles: an id, the size, the fingerprint and the band keys."""
+
+    def rows(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in batch.column("text").to_pylist()]
+            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64())
+            bands = [band_keys(x).view(np.int64) for x in sets]
+            columns = [signed([_set_id(x) for x in sets]), pa.array(map(len, sets), pa.int64()), signed([majority(x) for x in sets]), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), batch.column("doc_id"), *columns], names=["_k1", "_k2", "doc_id", "node", "n", "fp", "bands"])
+
+    return keyed.select("_k1", "_k2", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "_k1 long, _k2 long, doc_id long, node long, n long, fp long, bands array<long>")
+
+
+def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
+    """(node, members) of each distinct set of shingles."""
+
+    def rows(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in batch.column("text").to_pylist()]
+            ids = np.array([_set_id(x) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "members"])
+
+    return keyed.select("text").mapInArrow(rows, "node long, members array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity at least."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.filter(F.col("common") + 1e-9 >= similarity * (F.col("n") - F.col("common"))).select("a", "b")
+
+
+def similar_links(keyed: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all classes whose sets have that similarity at least and share a band key.
+
+    First each class of a bucket (an equal band key) is compared with the bucket's smallest; a large group of
+    near copies is one component after that. Then the pairs of a bucket that are still in different components.
+    """
+    placed = classes.select("node", "n", "fp", F.explode("bands").alias("key"))
+    shared = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
+    met = saved(placed.join(shared, "key"), "simhash-met")
+    wanted = classes.join(met.select("node").distinct(), "node", "left_semi").select("_k1", "_k2")
+    sets = saved(shingle_sets(keyed.join(wanted, ["_k1", "_k2"], "left_semi"), shingle).dropDuplicates(["node"]), "simhash-sets")
+    stars = saved(met.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "simhash-stars")
+    sure = saved(_alike(stars, sets, similarity), "simhash-links")
+    roots = connected_components(sure).withColumnsRenamed({"node": "own"})
+    tagged = saved(met.drop("a").join(roots, met["node"] == roots["own"], "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "fp"), "simhash-tagged")
+    mixed = tagged.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("key")
+    rest = tagged.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
+
+    def rows(batches):
+        for key, root, node, n, fp in whole_runs(batches, ("key", "root", "node", "n", "fp"), 1):
+            i, step, u = np.arange(len(key)), 0, np.ascontiguousarray(fp).view(np.uint64)
+            while True:
+                step += 1
+                i = i[i + step < len(key)]
+                i = i[key[i] == key[i + step]]
+                if not len(i):
+                    break
+                j = i + step
+                near = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count(u[i] ^ u[j]) <= WIDE_BITS)
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i[near]], pa.int64()), pa.array(node[j[near]], pa.int64())], names=["a", "b"])
+
+    others = rest.mapInArrow(rows, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    return sure.union(_alike(others, sets, similarity))
+
+
+def keep_similar_one(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of docs without all but one of each group: rows whose sets of shingles have that Jaccard
+    similarity at least are linked. Of a group the row with the smallest doc_id stays, null last, ties by a
+    hash of the row; rows without words are one group."""
+    keyed = _keyed(docs)
+    own = saved(set_marks(keyed, shingle), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")
+    classes = saved(own.groupBy("node").agg(F.min(order).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "fp", "bands")]).select("*", "first._k1", "first._k2"), "simhash-classes")
+    roots = connected_components(similar_links(keyed, classes, shingle, similarity)).withColumnsRenamed({"node": "own"})
+    kept = classes.join(roots, classes["node"] == roots["own"], "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("x")).select("x._k1", "x._k2")
+    out = keyed.join(kept, ["_k1", "_k2"], "left_semi")
+    counts = own.agg(F.count("*").alias("n"), F.count_distinct("_k1", "_k2").alias("rows")).first()
+    return (out if counts["n"] == counts["rows"] else out.dropDuplicates(["_k1", "_k2"])).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one document of each group, the one with the smallest doc_id."""
     found = near_duplicates(docs)
