@@ -8,7 +8,7 @@ import public_tokenizers
 import __spark_entry__
 import corpus_pipeline
 from test_llm_operators import WORDS, brute_components, brute_fingerprint, brute_quality, brute_repeats
-from tidewell.llm import packing
+from tidewell.llm import mixing, packing
 
 
 def table(tmp_path, spark):
@@ -89,3 +89,21 @@ def test_near_duplicates_are_texts_of_similarity_0_8(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(brute_similar(texts))) and 8 < len(kept) < 25
+
+
+def test_mixture_is_written_by_shard(spark):
+    docs = spark.createDataFrame([(k, "word " * (5 + k % 40), "en", f"s{k % 3}", 0) for k in range(400)], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    m = mixing.Mix(docs)
+    copies = sorted((r["_shard"], r["_place"], r["doc_id"]) for r in m.copies(docs).collect())
+    assert len({s for s, _, _ in copies}) == mixing.SHARDS
+    assert sorted((s, p, r["doc_id"]) for r in m.taken().collect() for s, p in zip(r["shards"], r["places"])) == copies
+    assert [r["doc_id"] for r in corpus_pipeline.mixture(spark, docs, "").collect()] == [i for _, _, i in copies]
+
+
+def test_mixture_takes_what_the_tree_draws(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * 9, "en", f"s{k % 3}", 0) for k in range(300)], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *x: np.where(np.arange(x[1])[:, None] == 3, tree(*x), 0))
+    rows = mixing.Mix(docs).taken().collect()
+    assert {s for r in rows for s in r["shards"]} == {3}
+    assert all(r["taken"] == r["size"] * len(r["shards"]) for r in rows) and any(not r["shards"] for r in rows)

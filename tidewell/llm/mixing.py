@@ -6,7 +6,8 @@ order, and one block of which only a part is drawn, found by cutting that block
 are then spread over output shards: a tree splits the shards in two again and again, and at each
 node a multivariate-hypergeometric draw says how many blocks of each source go left. A shard takes
 the next blocks of each source's permuted order, so the blocks of shards are disjoint, and orders
-its documents by a hash of their own.
+its documents by a hash of their own. A document is taken once for each pass that some shard has
+drawn over its block; taken() names these shards, and shuffled() writes shard after shard.
 
 The driver holds one row per source and BLOCKS numbers for each, never documents.
 
@@ -149,9 +150,8 @@ class Mix:
         self.raw = self._named(raw)
         for level in range(1, LEVELS):
             _refine(self.raw, sources, level)
-        self.blocks = spark.createDataFrame([(i, b, n) for i, _, b, n in passes], "i int, block int, passes int")
+        self.blocks = spark.createDataFrame(_draws(sources, passes, shards, seed), "i int, block int, passes int, drawn array<int>")
         self.under = spark.createDataFrame([(x["i"], level, p) for x in sources for level, p in x["under"]], "i int, level int, under long")
-        self.draws = _draws(spark, sources, passes, shards, seed)
 
     def _hash(self):
         return F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), "doc_id"), 1)
@@ -160,43 +160,47 @@ class Mix:
         return rows.join(F.broadcast(self.names), rows["source"].eqNullSafe(self.names["_name"])).drop("_name")
 
     def _passes(self, rows: DataFrame) -> DataFrame:
-        """rows (i, h and more) with their block and how often the mix takes them; every side is the bounded plan."""
+        """rows (i, h, doc_id and more) with their block and, for each pass that takes them, the shard that drew it and the place key there; every side is the bounded plan."""
         out, extra = rows.withColumn("block", _digit(0)).join(F.broadcast(self.blocks), ["i", "block"]), F.lit(0)
         for level in range(1, LEVELS):
             side = self.under.filter(F.col("level") == level).select("i", F.col("under").alias("cut"), F.lit(1).alias(f"x{level}"))
             out = out.withColumn("cut", F.shiftrightunsigned("h", 63 - DIGIT_BITS * (level + 1))).join(F.broadcast(side), ["i", "cut"], "left").drop("cut")
             extra = extra + F.coalesce(f"x{level}", F.lit(0))
-        return out.withColumn("passes", F.least(F.col("passes") + extra, F.lit(MOST_REPEATS)))
+        shards = F.slice("drawn", F.lit(1), F.least(F.col("passes") + extra, F.lit(MOST_REPEATS)))
+        places = F.transform("shards", lambda _, k: F.xxhash64(F.lit(self.seed), "doc_id", k))
+        return out.withColumn("shards", shards).withColumn("passes", F.size("shards")).withColumn("places", places).drop("drawn")
 
     def taken(self) -> DataFrame:
-        """A row per row of the corpus: what the mix takes of it."""
+        """A row per row of the corpus: what the mix takes of it, with the shard and the place key of each pass."""
         return self._passes(self.raw).select(
-            "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", "block"
+            "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", "block", "shards", "places"
         )
 
     def copies(self, docs: DataFrame) -> DataFrame:
         """The mixed corpus: a row for each taken copy, with docs' columns, its shard and its place key in the shard."""
         inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"))
-        some = self._passes(self._named(inner.withColumn("h", self._hash()))).filter(F.col("passes") > 0)
-        return (
-            some.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-            .join(F.broadcast(self.draws), ["i", "block", "pass"])
-            .select("row.*", F.col("shard").alias("_shard"), F.xxhash64(F.lit(self.seed), "doc_id", "pass").alias("_place"))
-        )
+        some = self._passes(self._named(inner.withColumn("h", self._hash()))).select("row", F.explode(F.arrays_zip("shards", "places")).alias("x"))
+        return some.select("row.*", F.col("x.shards").alias("_shard"), F.col("x.places").alias("_place"))
+
+    def shuffled(self, docs: DataFrame) -> DataFrame:
+        """The mixed corpus with docs' columns, shard after shard, each in the order of its place keys."""
+        order = ("_shard", "_place")
+        return self.copies(docs).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
-def _draws(spark, sources: list[dict], passes: list[tuple], shards: int, seed: int) -> DataFrame:
-    """Which shard gets which pass over which block: the tree's quotas filled from each source's permuted order."""
+def _draws(sources: list[dict], passes: list[tuple], shards: int, seed: int) -> list[tuple]:
+    """(source, block, passes over all of it, the shard of each pass): the tree's quotas filled from each source's permuted order."""
     drawn: list[list[tuple[int, int]]] = [[] for _ in sources]
     for i, _, b, n in passes:
         cut = sources[i]["path"][:1] == [b]
         drawn[i] += [(b, k) for k in range(n + cut)]
     tree = splitting_tree(np.array([len(x) for x in drawn], dtype=np.int64), shards, seed)
-    rows = []
+    taken: dict = {(i, b): {} for i, _, b, _ in passes}
     for i, have in enumerate(drawn):
         order, at = np.random.default_rng([seed, i, 1]).permutation(len(have)), 0
         for shard in range(shards):
             for j in order[at : at + int(tree[shard, i])]:
-                rows.append((i, have[j][0], have[j][1], shard))
+                b, k = have[j]
+                taken[i, b][k] = shard
             at += int(tree[shard, i])
-    return spark.createDataFrame(rows, "i int, block int, pass int, shard int")
+    return [(i, b, n, [shard for _, shard in sorted(taken[i, b].items())]) for i, _, b, n in passes]

@@ -45,7 +45,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(read_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "passes", "block")
+    return mixing.Mix(read_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "passes", "block", "shards", "places")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
