@@ -97,3 +97,13 @@ def test_finish_payload(spark):
 )
 def test_rests_on(spark, text, term, rests):
     assert value(spark, scoring.rests_on(F.col("t"), F.lit(term)), t=text) is rests
+
+
+def test_chunk_markdown_keeps_whole_lines(spark, tmp_path):
+    from tidewell.plans import text as plans
+
+    line = "a line that goes on and on " * 200
+    spark.createDataFrame([(1, line), (2, "short"), (3, "\n".join([line] * 7)), (4, None)], "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = plans.chunk_markdown(spark, str(tmp_path)).collect()
+    tokens = {k: sum(r["tokens"] for r in rows if r["doc_id"] == k) for k in (1, 2, 3)}
+    assert tokens[1] >= len(line) // 4 and tokens[2] > 0 and tokens[3] >= 7 * (len(line) // 4)

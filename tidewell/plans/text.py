@@ -73,8 +73,8 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as Markdown: its lines are paragraphs, every sixth a heading."""
+    """Each document as Markdown: its lines are paragraphs, every sixth has its first words as a heading above the whole line."""
     docs = table(spark, sf_dir, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 6 == 0, F.concat(F.repeat(F.lit("#"), (i / 6).cast("int") % 3 + 1), F.lit(" "), F.substring(x, 1, 40))).otherwise(x))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 6 == 0, F.concat(F.repeat(F.lit("#"), (i / 6).cast("int") % 3 + 1), F.lit(" "), F.substring(x, 1, 40), F.lit("\n\n"), x)).otherwise(x))
     made = chunking.chunks(chunking.markdown_sections(docs.select("doc_id", F.array_join(lines, "\n\n").alias("text")), "doc_id"), "doc_id")
     return made.select("doc_id", "chunk_index", "heading_path", "tokens", F.md5("content").alias("content_md5"))
