@@ -428,3 +428,16 @@ def test_links_between_close_fingerprints(spark, monkeypatch, dense):
     for i, r in brute_components({f: f for f in fps}).items():
         want[r].add(i)
     assert sorted(map(sorted, parts.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+@pytest.mark.parametrize("frame", ["<div class='layout has-sidebar'>{}</div>", "<div id='nav-wrapper'>{}</div>", "<form action=x>{}</form>", "<form><div class='widget'>{}</div></form>", "{}"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_frames_keep_the_article(frame, tag):
+    body = " ".join(f"Sentence {k}, of the long text, goes on." for k in range(30))
+    page = "<nav>Menu</nav>" + frame.format(f"<div class='sidebar'>Buy, now!</div><{tag}><p>{body}</p></{tag}><div class=related><article>Card.</article></div>") + "<footer>f</footer>"
+    assert html_extract.main_text(page) == body
+
+
+def test_a_teaser_article_hides_no_text():
+    body = " ".join(f"Sentence {k}, of the long text, goes on." for k in range(30))
+    assert body in html_extract.main_text(f"<body><div><p>{body}</p></div><article><p>A teaser, short.</p></article></body>")

@@ -5,7 +5,9 @@ per path, text length and punctuation are summed and divided by the number of it
 are smoothed over the paths in page order, fused by multiplication and compared with a threshold;
 paths that pass mark content. A content path lends its container to its neighbours in it, so that a
 headline or a short paragraph stays with its article. Menus, headers, footers, sidebars, notices,
-adverts, forms and comments are known by tag, role or class and never counted.
+adverts, forms and comments are known by tag, role or class and never counted; but a form, or an
+element known by class or id, that holds most of the page's text or of its articles' text is the
+frame of the page. Where article and main hold most of the text, the rest is left out.
 
 Defined results: a null or empty html, or one without content, gives an empty text; unclosed and
 stray tags are tolerated; character references are decoded; a page of any length is read whole;
@@ -27,6 +29,7 @@ _TOKEN = re.compile(  # possessive throughout: an unclosed tag fails at once
     r"(?P<attrs>(?:[\s/]++|[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>]++))?+)*+)[^<>]*+>", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ROOTED = re.compile(r"/(?:article|main)(?:/|$)")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：·¿¡]")
 #: Elements whose content is text of a kind of its own.
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
@@ -37,47 +40,72 @@ BLOCK = frozenset(
 #: Elements that an opening tag of a kind ends when they are still open: (opening, ended, not beyond).
 _ENDS = {x: ("p", frozenset(("button", "table", "td", "th"))) for x in BLOCK - frozenset("body br caption head html tbody td tfoot th thead tr".split())}
 _SELF = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
-BOILERPLATE_TAGS = frozenset("nav footer aside form button select menu dialog head".split()) | RAW
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside button select menu dialog head".split()) | RAW
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _BOILERPLATE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|footer\w*|masthead|topbar|toolbar|header|cookies?|consent|gdpr|notice\w*|alert|banner\w*|popup|modal|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reader-comments|widget\w*|pager|pagination|skip-link|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+#: Names of a kind of content, never of a page's frame.
+_APART_NAME = re.compile(r"comment|disqus|respond|replies|related|recommend", re.I)
 THRESHOLD = 0.12
 SMOOTH = (0.25, 0.5, 0.25)
 
 
 class _Node:
-    __slots__ = ("tag", "number", "skip", "path")
+    __slots__ = ("tag", "number", "skip", "doubts", "path")
 
-    def __init__(self, tag: str, number: int, skip: bool, path: str):
-        self.tag, self.number, self.skip, self.path = tag, number, skip, path
+    def __init__(self, tag: str, number: int, skip: bool, doubts: tuple[int, ...], path: str):
+        self.tag, self.number, self.skip, self.doubts, self.path = tag, number, skip, doubts, path
 
 
-def _skips(tag: str, attrs: str, inside_article: bool) -> bool:
+def _skips(tag: str, attrs: str, inside_article: bool) -> tuple[bool, str]:
+    """Whether the element is skipped whatever it holds; and, if not, what speaks for skipping it."""
     if tag in BOILERPLATE_TAGS or tag == "header" and not inside_article:
-        return True
+        return True, ""
+    doubt = "form" if tag == "form" else ""
     if "=" not in attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, doubt
     for name, a, b, c in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name == "role" and value.lower() in BOILERPLATE_ROLES or name in ("class", "id") and _BOILERPLATE_NAME.search(value):
-            return True
-    return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) is not None
+        if name == "role" and value.lower() in BOILERPLATE_ROLES:
+            return True, ""
+        if name == "role" and value.lower() == "form":
+            doubt = doubt or "form"
+        if name in ("class", "id") and _BOILERPLATE_NAME.search(value):
+            doubt += " " + value
+    return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) is not None, doubt
+
+
+def _judged(found: list[tuple[str, tuple[int, ...], str, tuple[int, ...]]], doubts: dict[int, str]) -> list[tuple[str, tuple[int, ...], str]]:
+    """found without the text in doubted elements; one that holds most of the page's text, or of its articles' text, is the page's frame."""
+    every, rooted = 0, 0
+    inside: dict[int, list[int]] = {}
+    for path, _, piece, own in found:
+        if n := len(piece.strip()):
+            article = n if _ROOTED.search(path) else 0
+            every, rooted = every + n, rooted + article
+            for d in own:
+                x = inside.setdefault(d, [0, 0])
+                x[0], x[1] = x[0] + n, x[1] + article
+    apart = {d for d in inside if _APART_NAME.search(doubts[d])}
+    frames = {d for d, (n, article) in inside.items() if (2 * article > every if d in apart else 2 * article > rooted or 2 * n > every)}
+    return [(path, numbers, piece) for path, numbers, piece, own in found if frames.issuperset(own)]
 
 
 def segments(page: str) -> list[tuple[str, tuple[int, ...], str]]:
     """(path, container numbers from the root, text) in page order; an empty path marks a block's edge."""
-    out: list[tuple[str, tuple[int, ...], str]] = []
+    out: list[tuple[str, tuple[int, ...], str, tuple[int, ...]]] = []
+    doubts: dict[int, str] = {}
     stack: list[_Node] = []
     at, counter = 0, 0
 
     def text(piece: str) -> None:
         if piece and not (stack and stack[-1].skip):
-            out.append((stack[-1].path if stack else "/", tuple(x.number for x in stack), entities.unescape(piece)))
+            out.append((stack[-1].path if stack else "/", tuple(x.number for x in stack), entities.unescape(piece), stack[-1].doubts if stack else ()))
 
     def edge() -> None:
-        out.append(("", (), " "))
+        out.append(("", (), " ", ()))
 
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -121,10 +149,13 @@ def segments(page: str) -> list[tuple[str, tuple[int, ...], str]]:
             at = end.end() if end else len(page)
             continue
         counter += 1
-        skip = bool(stack and stack[-1].skip) or _skips(tag, m["attrs"] or "", any(x.tag in ("article", "main") for x in stack))
-        stack.append(_Node(tag, counter, skip, f"{stack[-1].path if stack else ''}/{tag}"))
+        skip, doubt = _skips(tag, m["attrs"] or "", any(x.tag in ("article", "main") for x in stack))
+        own = stack[-1].doubts if stack else ()
+        if doubt:
+            doubts[counter], own = doubt, (*own, counter)
+        stack.append(_Node(tag, counter, skip or bool(stack and stack[-1].skip), own, f"{stack[-1].path if stack else ''}/{tag}"))
     text(page[at:])
-    return out
+    return _judged(out, doubts)
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -154,8 +185,8 @@ def content_paths(parts: list[tuple[str, tuple[int, ...], str]]) -> set[str]:
 
 def main_text(page: str) -> str:
     parts = segments(page)
-    rooted = [x for x in parts if not x[0] or re.search(r"/(?:article|main)(?:/|$)", x[0])]
-    if any(p and t.strip() for p, _, t in rooted):
+    rooted = [x for x in parts if not x[0] or _ROOTED.search(x[0])]
+    if 2 * sum(len(t.strip()) for _, _, t in rooted) > sum(len(t.strip()) for _, _, t in parts):
         parts = rooted
     good = content_paths(parts)
     inline = lambda p: "/".join([x for x in p.split("/") if x in BLOCK])
