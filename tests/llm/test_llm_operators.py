@@ -430,6 +430,39 @@ def test_links_between_close_fingerprints(spark, monkeypatch, dense):
     assert sorted(map(sorted, parts.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    "label,text",
+    [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including"),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"),
+        ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided"),
+        ("bsd-2-clause", BSD + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"),
+        ("bsd-3-clause", BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+        ("gpl-2", "This program is free software; " + GNU.format("General Public License", 2)),
+        ("gpl-3", "This program is free software: " + GNU.format("General Public License", 3)),
+        ("lgpl", "This library is free software; " + GNU.format("Lesser General Public License", "2.1")),
+        ("lgpl", "This library is free software; " + GNU.format("Library General Public License", 2)),
+        ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"),
+        ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License."),
+        ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License."),
+        ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("cc-by-sa", "licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+        ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License."),
+        ("cc-by", "licensed under the Creative Commons Attribution 3.0 Unported License."),
+        ("unlicense", "This is free and unencumbered software released into the public domain."),
+        ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed"),
+    ],
+)
+def test_canonical_notices(label, text):
+    assert license_scan.Scanner().scan(text)[5] == label
+
+
 @pytest.mark.parametrize("frame", ["<div class='layout has-sidebar'>{}</div>", "<div id='nav-wrapper'>{}</div>", "<form action=x>{}</form>", "<form><div class='widget'>{}</div></form>", "{}"])
 @pytest.mark.parametrize("tag", ["article", "div"])
 def test_frames_keep_the_article(frame, tag):

@@ -26,19 +26,20 @@ PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apach
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and [[associated]] documentation [[files]] {{6}} to deal in the software without restriction"),
     ("mit", "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license"),
-    ("isc", "permission to use copy modify [[and or]] distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{90}} this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by"),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{120}} neither the name of {{20}} may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("apache-2", "licensed under the apache license version 2 [[0]] [[the license]] you may not use this file except in compliance with the license"),
     ("apache-2", "[[the]] apache license version 2 [[0]]"),
     ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
-    ("lgpl", "under the terms of the gnu {{1}} general public license {{3}} lesser general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by"),
+    ("lgpl", "under the terms of the gnu library general public license as published by"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-nc", "cc by nc [[sa]] [[nd]] [[4 0]]"),
-    ("cc-by-nc", "creative commons attribution noncommercial [[sharealike]] [[noderivatives]] {{2}} license"),
-    ("cc-by-sa", "creative commons attribution sharealike {{2}} license"),
-    ("cc-by", "creative commons attribution [[4 0]] [[3 0]] [[international]] license"),
+    ("cc-by-nc", "creative commons attribution noncommercial [[sharealike]] [[noderivatives]] [[noderivs]] {{2}} [[4 0]] [[3 0]] [[2 5]] [[2 0]] [[1 0]] [[international]] [[unported]] [[generic]] [[public]] license"),
+    ("cc-by-sa", "creative commons attribution sharealike {{2}} [[4 0]] [[3 0]] [[2 5]] [[2 0]] [[1 0]] [[international]] [[unported]] [[generic]] [[public]] license"),
+    ("cc-by", "creative commons attribution [[4 0]] [[3 0]] [[2 5]] [[2 0]] [[1 0]] [[international]] [[unported]] [[generic]] [[public]] license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved [[{{4}}]] no part of this {{4}} may be reproduced"),
 ]
