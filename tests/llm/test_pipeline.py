@@ -107,3 +107,11 @@ def test_mixture_takes_what_the_tree_draws(spark, monkeypatch):
     rows = mixing.Mix(docs).taken().collect()
     assert {s for r in rows for s in r["shards"]} == {3}
     assert all(r["taken"] == r["size"] * len(r["shards"]) for r in rows) and any(not r["shards"] for r in rows)
+
+
+def test_near_duplicates_keep_a_row_of_each_group(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(50)) for k in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (7, texts[3]), (9, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    kept = sorted((r["text"], r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == [(texts[0], None), (texts[1], None), (texts[2], 7), (texts[3], 7), (texts[4], 9)]
