@@ -174,22 +174,61 @@ def test_templates_match(spark):
 # 4
 
 
-def test_top_k(spark, monkeypatch):
+def brute_top_k(vectors, k=5):
+    def weights(v):
+        return [int(np.floor(256 * x)) if abs(x) < 1e300 else 256 * int(x) for x in v]
+
+    good = [(n, i, weights(v)) for n, (i, v) in enumerate(vectors) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want, shown = [], lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for n, q, w in good:
+        if q is not None and q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(w, c)), i is None, i or 0) for m, i, c in good if m != n)[:k]
+            want += [(q, r + 1, None if none else i, shown(-s)) for r, (s, none, i) in enumerate(scored)]
+    return want
+
+
+def ordered(rows):
+    return sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("scale", [1, 1e4, 1e6, 1e13])
+def test_top_k(spark, monkeypatch, scale):
     rng = np.random.default_rng(2)
-    vectors = [(k, [float(x) if rng.random() < 0.6 else 0.0 for x in rng.normal(size=6).round(2)]) for k in range(120)]
-    vectors += [(200, vectors[3][1]), (250, None), (300, [1.0, None]), (350, [float("nan")] * 6), (None, [1.0] * 6), (400, []), (3, vectors[3][1])]
+    vectors = [(k, [float(x) * scale if rng.random() < 0.6 else 0.0 for x in rng.normal(size=6).round(2)]) for k in range(120)]
+    vectors += [(200, vectors[3][1]), (250, None), (300, [1.0, None]), (350, [float("nan")] * 6), (None, [1.0 * scale] * 6), (400, []), (3, vectors[3][1])]
+    vectors += [(0, vectors[7][1]), (7, vectors[8][1]), (7, vectors[8][1]), (50, vectors[50][1]), (450, [1e305, -1e305])]
+    if scale == 1:
+        vectors = vectors[:-1]
     monkeypatch.setattr(topk, "BLOCK", 17)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
-    good = {i: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for q in (x for x in good if x % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id LONG, embedding ARRAY<FLOAT>, rank INT, score INT").repartition(5)
-    assert sorted(rows_of(topk.top_k(df))) == sorted(want)
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id LONG, embedding ARRAY<DOUBLE>, rank INT, score INT").repartition(5)
+    assert ordered(rows_of(topk.top_k(df))) == ordered(brute_top_k(vectors))
     assert rows_of(topk.top_k(df.limit(0))) == []
 
 
+def test_top_k_beyond_a_product_of_doubles(spark):
+    """The reviewer's case: a pair whose score is 39321600000000, and ties that only exact sums part."""
+    vectors = [(0, [20000.0, 0.0]), (1, [30000.0, 0.0]), (2, [20000.0, 0.0]), (3, [2.0**40, 1.0]), (4, [2.0**40, 0.0]), (50, [2.0**40, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id LONG, embedding ARRAY<DOUBLE>")
+    got = rows_of(topk.top_k(df))
+    assert ordered(got) == ordered(brute_top_k(vectors))
+    assert (0, 4, 1, 39321600000000) in got
+
+
+def test_top_k_of_large_blocks(spark):
+    """Blocks that are large enough for the partial maxima, with many ties."""
+    rng = np.random.default_rng(5)
+    vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 4, (6000, 4)) / 256)]
+    df = spark.createDataFrame(vectors, "vec_id LONG, embedding ARRAY<FLOAT>").coalesce(1)
+    m = np.floor(256 * np.array([v for _, v in vectors])).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 50):
+        s = m @ m[q]
+        at = [i for i in np.lexsort((np.arange(6000), -s))[:6] if i != q][:5]
+        want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(at)]
+    assert ordered(rows_of(topk.top_k(df))) == ordered(want)
+
+
 # 5
 
 
