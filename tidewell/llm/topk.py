@@ -134,10 +134,10 @@ def queries_of(blocks: DataFrame, step: int, block: int) -> DataFrame:
     return blocks.select("block", "ids", "nulls", "weights", "kind", "terms").mapInArrow(pick, _ASKED)
 
 
-def postings(weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per term: the places with a weight, and the weights."""
+def postings(weights: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """Per term: the places with a weight, and the weights; None for the places of a term that most candidates have, whose list is the whole column."""
     columns = (np.ascontiguousarray(weights[:, t]) for t in range(weights.shape[1]))
-    return [(at, c[at]) for c in columns for at in (np.flatnonzero(c),)]
+    return [(None, c) if 2 * len(at) > len(c) else (at, c[at]) for c in columns for at in (np.flatnonzero(c),)]
 
 
 def _sum_type(q: np.ndarray, c: np.ndarray):
@@ -147,7 +147,7 @@ def _sum_type(q: np.ndarray, c: np.ndarray):
     return np.int32 if bound < 1 << 31 else np.int64 if bound < 1 << 63 else object
 
 
-def scores(q: np.ndarray, n: int, lists: list[tuple[np.ndarray, np.ndarray]], kind) -> np.ndarray:
+def scores(q: np.ndarray, n: int, lists: list[tuple[np.ndarray | None, np.ndarray]], kind) -> np.ndarray:
     """Inner products of the queries q with n candidates whose weights are in posting lists, all of `kind`."""
     out = np.zeros((len(q), n), kind)
     using = [np.flatnonzero(q[:, t]) for t in range(min(q.shape[1], len(lists)))]
@@ -157,14 +157,16 @@ def scores(q: np.ndarray, n: int, lists: list[tuple[np.ndarray, np.ndarray]], ki
         part = out[:, low:high]
         for t, rows in enumerate(using):
             at, weights = lists[t]
-            if not len(rows) or not len(at):
+            if not len(rows):
                 continue
-            if len(at) == n and len(rows) == len(q):
+            if at is not None:
+                a, b = np.searchsorted(at, (low, high))
+                part[np.ix_(rows, at[a:b] - low)] += q[rows, t, None] * weights[None, a:b]
+            elif 2 * len(rows) > len(q):
                 product = np.multiply(q[:, t, None], weights[None, low:high], out=room[:, : high - low])
                 np.add(part, product, out=part)
             else:
-                a, b = np.searchsorted(at, (low, high))
-                part[np.ix_(rows, at[a:b] - low)] += q[rows, t, None] * weights[None, a:b]
+                part[rows] += q[rows, t, None] * weights[None, low:high]
     return out
 
 
