@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -254,6 +256,77 @@ def test_extract_frame(spark):
     assert rows_of(html_extract.extract(df.limit(0))) == []
 
 
+def plain_pages(n=40):
+    """(html, main text) of pages without article or main, whose classes tell nothing."""
+    out = []
+    for seed in range(n):
+        rng = np.random.default_rng(seed)
+        words = lambda k: " ".join("".join(rng.choice(list("aeioustrnl"), rng.integers(2, 8))) for _ in range(k))
+        sentence = lambda: words(int(rng.integers(6, 18))).capitalize() + ", " + words(int(rng.integers(3, 9))) + ". "
+        paragraphs = ["".join(sentence() for _ in range(int(rng.integers(3, 7)))).strip() for _ in range(int(rng.integers(3, 9)))]
+        items = [words(3) for _ in range(3)]
+        links = lambda k: "".join(f"<li><a href='/{i}'>{words(int(rng.integers(1, 4)))}</a></li>" for i in range(k))
+        parts = [f"<p>{p}</p>" for p in paragraphs]
+        parts.insert(1, "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+        parts.insert(2, f"<div class='k7'>{words(5)}</div>")
+        title = words(4)
+        html = f"<html><body><div class='k1'><ul>{links(9)}</ul></div><div class='k2'>{words(6)}</div><div class='k3'><h2>{title}</h2>{''.join(parts)}</div><div class='k4'><span>{words(3)}</span><ul>{links(12)}</ul></div><div class='k5'>{words(7)}</div></body></html>"
+        out.append((html, " ".join([title, paragraphs[0], *items, *paragraphs[1:]])))
+    return out
+
+
+def test_ratios_alone_find_the_text(monkeypatch):
+    pages = plain_pages()
+    assert [html_extract.main_text(h) for h, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(html_extract, "path_ratios", lambda texts: [9.0] * len(texts))
+    assert sum(html_extract.main_text(h) != t for h, t in pages) == len(pages)
+
+
+def brute_ratios(html):
+    """(text, ratio) of each text by the standard library's parser and a loop over all texts for each."""
+    texts, stack = [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack.append(tag + "".join(mark + re.sub(r"\d+", "0", dict(attrs)[k]) for k, mark in (("class", "."), ("id", "#")) if dict(attrs).get(k)))
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                texts.append((tuple(stack), data.strip()))
+
+    Reader().feed(html)
+    fused = []
+    for path, _ in texts:
+        same = [t for p, t in texts if p == path]
+        fused.append(np.log(1 + sum(map(len, same)) / len(same)) + np.log(1 + sum(sum(c in ".,;:!?" for c in t) for t in same) / len(same)))
+    near = lambda i: fused[max(0, min(len(fused) - 1, i))]
+    return [(t, 0.15 * near(i - 1) + 0.7 * near(i) + 0.15 * near(i + 1)) for i, (_, t) in enumerate(texts)]
+
+
+def test_ratios_against_brute_force():
+    for html, _ in plain_pages():
+        said = [(node.path, piece) for node, _, piece in html_extract.read(html).texts if piece.strip()]
+        got = [(piece.strip(), r) for (_, piece), r in zip(said, html_extract.path_ratios(said))]
+        want = brute_ratios(html)
+        assert [t for t, _ in got] == [t for t, _ in want]
+        assert np.allclose([r for _, r in got], [r for _, r in want])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60000 + "x, y.", "<div class=ad>" * 60000 + "x, y." + "</section>" * 60000, "<p>a<table>" + "<p>b" * 40000, "<b>" * 60000 + "</i>" * 60000 + "x, y."])
+def test_deep_pages_take_linear_time(page):
+    start = time.time()
+    html_extract.main_text(page)
+    assert time.time() - start < 20
+
+
+def test_extract_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<main><p>Tea, hot.</p></main><footer>f</footer>")] * 3, "page_id LONG, url STRING, html STRING")
+    assert rows_of(html_extract.extract(df)) == [(1, "u", "Tea, hot.", 9)] * 3
+
+
 # 6
 
 

@@ -1,13 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a stream of tags and text. Text belongs to the root-to-leaf path of its open tags;
-per path, text length and punctuation are summed and divided by the number of its nodes. Both ratios
-are smoothed over the paths in page order, fused by multiplication and compared with a threshold;
-paths that pass mark content. A content path lends its container to its neighbours in it, so that a
-headline or a short paragraph stays with its article. Menus, headers, footers, sidebars, notices,
-adverts, forms and comments are known by tag, role or class and never counted; but a form, or an
-element known by class or id, that holds most of the page's text or of its articles' text is the
-frame of the page. Where article and main hold most of the text, the rest is left out.
+A page is read as a stream of tags and text. Text belongs to the root-to-leaf path of its open
+elements, a path being their tags with class and id, so that div.ad and div.story are different
+paths. Per path, text length and punctuation are summed and divided by the number of its text
+nodes; the two ratios are fused by multiplication. What an element is called is evidence in the
+fusion: a menu, form, aside, cookie notice or comment list (by tag, role, class or id) divides the
+ratio of the paths under it, article and main multiply it. The ratios of the text nodes in page order are smoothed, and the
+nodes that reach a share of the strongest path's smoothed ratio are content.
+
+Inline parts of a block that is content go with it; a short block between two content blocks, or a
+heading right before one, goes with its neighbours if nothing speaks against its path.
 
 Defined results: a null or empty html, or one without content, gives an empty text; unclosed and
 stray tags are tolerated; character references are decoded; a page of any length is read whole;
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,6 @@ _TOKEN = re.compile(  # possessive throughout: an unclosed tag fails at once
     r"(?P<attrs>(?:[\s/]++|[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>]++))?+)*+)[^<>]*+>", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_ROOTED = re.compile(r"/(?:article|main)(?:/|$)")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：·¿¡]")
 #: Elements whose content is text of a kind of its own.
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
@@ -46,116 +48,157 @@ _BOILERPLATE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|footer\w*|masthead|topbar|toolbar|header|cookies?|consent|gdpr|notice\w*|alert|banner\w*|popup|modal|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reader-comments|widget\w*|pager|pagination|skip-link|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
-#: Names of a kind of content, never of a page's frame.
+#: Names of a kind of content rather than of a page's frame.
 _APART_NAME = re.compile(r"comment|disqus|respond|replies|related|recommend", re.I)
-THRESHOLD = 0.12
-SMOOTH = (0.25, 0.5, 0.25)
+#: A block is content if its smoothed ratio reaches so large a share of the text's mean.
+SHARE = 0.7
+SMOOTH = (0.15, 0.7, 0.15)
+#: What is added to a path's ratio (a logarithm) for names that speak against it, and for article and main.
+AGAINST, FOR = -8.0, 2.0
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_ROOTS = frozenset(("article", "main"))
+#: Block elements that have no say about what belongs together.
+_PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd br hr table caption tbody thead tfoot tr td th blockquote pre figure figcaption hgroup address summary legend center".split())
 
 
 class _Node:
-    __slots__ = ("tag", "number", "skip", "doubts", "path")
-
-    def __init__(self, tag: str, number: int, skip: bool, doubts: tuple[int, ...], path: str):
-        self.tag, self.number, self.skip, self.doubts, self.path = tag, number, skip, doubts, path
-
-
-def _skips(tag: str, attrs: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether the element is skipped whatever it holds; and, if not, what speaks for skipping it."""
-    if tag in BOILERPLATE_TAGS or tag == "header" and not inside_article:
-        return True, ""
-    doubt = "form" if tag == "form" else ""
-    if "=" not in attrs or tag in ("html", "body", "article", "main"):
-        return False, doubt
-    for name, a, b, c in _ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), a or b or c
-        if name == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True, ""
-        if name == "role" and value.lower() == "form":
-            doubt = doubt or "form"
-        if name in ("class", "id") and _BOILERPLATE_NAME.search(value):
-            doubt += " " + value
-    return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) is not None, doubt
-
-
-def _judged(found: list[tuple[str, tuple[int, ...], str, tuple[int, ...]]], doubts: dict[int, str]) -> list[tuple[str, tuple[int, ...], str]]:
-    """found without the text in doubted elements; one that holds most of the page's text, or of its articles' text, is the page's frame."""
-    every, rooted = 0, 0
-    inside: dict[int, list[int]] = {}
-    for path, _, piece, own in found:
-        if n := len(piece.strip()):
-            article = n if _ROOTED.search(path) else 0
-            every, rooted = every + n, rooted + article
-            for d in own:
-                x = inside.setdefault(d, [0, 0])
-                x[0], x[1] = x[0] + n, x[1] + article
-    apart = {d for d in inside if _APART_NAME.search(doubts[d])}
-    frames = {d for d, (n, article) in inside.items() if (2 * article > every if d in apart else 2 * article > rooted or 2 * n > every)}
-    return [(path, numbers, piece) for path, numbers, piece, own in found if frames.issuperset(own)]
-
-
-def segments(page: str) -> list[tuple[str, tuple[int, ...], str]]:
-    """(path, container numbers from the root, text) in page order; an empty path marks a block's edge."""
-    out: list[tuple[str, tuple[int, ...], str, tuple[int, ...]]] = []
-    doubts: dict[int, str] = {}
-    stack: list[_Node] = []
-    at, counter = 0, 0
+    """An open element; a text belongs to the innermost one."""
+
+    __slots__ = ("tag", "path", "against", "doubt", "hidden", "home", "root", "heading", "link")
+
+    def __init__(self, tag="", path=0, against=False, doubt=0, hidden=False, home=0, root=0, heading=False, link=False):
+        self.tag, self.path, self.against, self.doubt, self.hidden = tag, path, against, doubt, hidden
+        self.home, self.root, self.heading, self.link = home, root, heading, link
+
+
+class _Page:
+    """The texts of a page: for each its node, its block (a run without a block's edge) and what stands in it."""
+
+    def __init__(self) -> None:
+        self.paths: dict[tuple[int, str], int] = {}
+        self.texts: list[tuple[_Node, int, str]] = []
+        self.doubts: list[tuple[int, str]] = [(0, "")]  # (the doubted element around it, what is doubted)
+        self.block = 0
+
+    def path(self, parent: int, label: str) -> int:
+        return self.paths.setdefault((parent, label), len(self.paths) + 1)
+
+
+def _label(tag: str, names: dict[str, str]) -> str:
+    """An element's part of a path; digits don't count, so that numbered elements share it."""
+    return tag + "".join(mark + re.sub(r"\d+", "0", names[k]) for k, mark in (("class", "."), ("id", "#")) if names.get(k))
+
+
+def _names(attrs: str) -> dict[str, str]:
+    if "=" not in attrs:
+        return {}
+    return {k: v for k, v in ((name.lower(), a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attrs)) if k in ("class", "id", "role")}
+
+
+def _open(page: _Page, parent: _Node, number: int, tag: str, attrs: str) -> _Node:
+    names = _names(attrs)
+    node = _Node(tag, page.path(parent.path, _label(tag, names)), parent.against, parent.doubt, parent.hidden, parent.home, parent.root)
+    node.heading, node.link = parent.heading or tag in _HEADINGS, parent.link or tag == "a"
+    node.hidden = node.hidden or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) is not None
+    if tag in _ROOTS:
+        node.root = number
+    if tag in BLOCK and tag not in _PARTS:
+        node.home = number
+    if tag in BOILERPLATE_TAGS or tag == "header" and not parent.root or names.get("role", "").lower() in BOILERPLATE_ROLES:
+        node.against = True
+    doubt = " form" if tag == "form" or names.get("role", "").lower() == "form" else ""
+    if tag not in ("html", "body", "article", "main"):
+        doubt += "".join(" " + names[k] for k in ("class", "id") if k in names and _BOILERPLATE_NAME.search(names[k]))
+    if doubt:
+        page.doubts.append((node.doubt, doubt))
+        node.doubt = len(page.doubts) - 1
+    return node
+
+
+def read(html: str) -> _Page:
+    page, base = _Page(), _Node(tag="#")
+    stack, opened = [base], Counter()
+    at, number = 0, 0
 
     def text(piece: str) -> None:
-        if piece and not (stack and stack[-1].skip):
-            out.append((stack[-1].path if stack else "/", tuple(x.number for x in stack), entities.unescape(piece), stack[-1].doubts if stack else ()))
+        if piece and not stack[-1].hidden:
+            page.texts.append((stack[-1], page.block, entities.unescape(piece)))
 
-    def edge() -> None:
-        out.append(("", (), " ", ()))
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
 
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
+    def end(ended: tuple[str, ...], limit) -> None:
+        """Close the innermost open element of these, unless one of limit lies within."""
+        if any(opened[x] for x in ended):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in ended:
+                    close(i)
+                    break
+                if stack[i].tag in limit:
+                    break
+
+    while m := _TOKEN.search(html, at):
+        text(html[at : m.start()])
         at = m.end()
         tag = (m["name"] or "").lower()
         if not tag:
             continue
-        if tag in BLOCK:
-            edge()
+        page.block += tag in BLOCK
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag never closes a block
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if tag not in BLOCK and stack[i].tag in BLOCK:
+                        break  # an inline end tag never closes a block
             continue
         if tag in _ENDS:
-            ended, limit = _ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == ended:
-                    del stack[i:]
-                    break
-                if stack[i].tag in limit:
-                    break
+            end((_ENDS[tag][0],), _ENDS[tag][1])
         if tag in _SELF:
             ended, limit = _SELF[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in limit:
-                    break
-                if stack[i].tag in ended:
-                    del stack[i:]
-                    break
-        if tag == "body":
-            while stack and stack[-1].tag == "head":
-                stack.pop()
+            end(ended, limit)
+        if tag == "body" and stack[-1].tag == "head":
+            close(len(stack) - 1)
         if tag in VOID or m["attrs"].rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            done = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = done.end() if done else len(html)
             continue
-        counter += 1
-        skip, doubt = _skips(tag, m["attrs"] or "", any(x.tag in ("article", "main") for x in stack))
-        own = stack[-1].doubts if stack else ()
-        if doubt:
-            doubts[counter], own = doubt, (*own, counter)
-        stack.append(_Node(tag, counter, skip or bool(stack and stack[-1].skip), own, f"{stack[-1].path if stack else ''}/{tag}"))
-    text(page[at:])
-    return _judged(out, doubts)
+        number += 1
+        stack.append(_open(page, stack[-1], number, tag, m["attrs"] or ""))
+        opened[tag] += 1
+    text(html[at:])
+    return page
+
+
+def evidence(page: _Page) -> list[float]:
+    """Per text, what its element and those around it are called.
+
+    A form, or an element known by class or id, that holds most of the page's text or of its
+    articles' text is the page's frame and says nothing; comments and related articles are no frame
+    unless they hold most of both.
+    """
+    held, rooted = [0] * len(page.doubts), [0] * len(page.doubts)
+    every = roots = 0
+    for node, _, piece in page.texts:
+        n = len(piece.strip())
+        article = n if node.root else 0
+        every, roots = every + n, roots + article
+        held[node.doubt] += n
+        rooted[node.doubt] += article
+    for d in range(len(held) - 1, 0, -1):  # an element stands after those around it
+        held[page.doubts[d][0]] += held[d]
+        rooted[page.doubts[d][0]] += rooted[d]
+    against = [False] * len(held)
+    for d in range(1, len(held)):
+        around, name = page.doubts[d]
+        frame = 2 * rooted[d] > every if _APART_NAME.search(name) else 2 * rooted[d] > roots or 2 * held[d] > every
+        against[d] = against[around] or not frame
+    return [AGAINST if node.against or against[node.doubt] else FOR if node.root else 0.0 for node, _, _ in page.texts]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -163,44 +206,66 @@ def _smooth(values: list[float]) -> list[float]:
     return [sum(w * values[min(n - 1, max(0, i + d))] for d, w in zip((-1, 0, 1), SMOOTH)) for i in range(n)]
 
 
-def content_paths(parts: list[tuple[str, tuple[int, ...], str]]) -> set[str]:
-    """Paths whose fused ratio passes the threshold."""
-    length: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    nodes: dict[str, set] = {}
-    for path, numbers, piece in parts:
-        if path and (bare := piece.strip()):
-            length[path] = length.get(path, 0) + len(bare)
-            marks[path] = marks.get(path, 0) + len(_PUNCTUATION.findall(bare))
-            nodes.setdefault(path, set()).add(numbers)
-    paths = list(length)
-    if not paths:
-        return set()
-    text_ratio = _smooth([math.log1p(length[p] / len(nodes[p])) for p in paths])
-    mark_ratio = _smooth([math.log1p(1 + marks[p] / len(nodes[p])) for p in paths])
-    total = sum(length.values())
-    fused = [a * b * math.sqrt(length[p] / total) for p, a, b in zip(paths, text_ratio, mark_ratio)]
-    return {p for p, x in zip(paths, fused) if x >= THRESHOLD * max(fused)}
-
-
-def main_text(page: str) -> str:
-    parts = segments(page)
-    rooted = [x for x in parts if not x[0] or _ROOTED.search(x[0])]
-    if 2 * sum(len(t.strip()) for _, _, t in rooted) > sum(len(t.strip()) for _, _, t in parts):
-        parts = rooted
-    good = content_paths(parts)
-    inline = lambda p: "/".join([x for x in p.split("/") if x in BLOCK])
-    homes = {inline(p).rpartition("/")[0] for p in good}
-    held = tuple(sorted(homes))
-    out = []
-    for path, _, piece in parts:
-        if not path:
-            out.append(" ")
-        elif path in good or (b := inline(path)).rpartition("/")[0] in homes or any(h and b.startswith(h + "/") for h in held):
+def path_ratios(texts: list[tuple[int, str]]) -> list[float]:
+    """Per text (path, piece), in page order: the fused and smoothed ratios of its path, as a logarithm."""
+    length, marks, nodes = Counter(), Counter(), Counter()
+    for path, piece in texts:
+        bare = piece.strip()
+        length[path] += len(bare)
+        marks[path] += len(_PUNCTUATION.findall(bare))
+        nodes[path] += 1
+    fused = {p: math.log1p(length[p] / nodes[p]) + math.log1p(marks[p] / nodes[p]) for p in nodes}
+    return _smooth([fused[p] for p, _ in texts])
+
+
+def main_text(html: str) -> str:
+    page = read(html)
+    said = [x + (names,) for x, names in zip(page.texts, evidence(page)) if x[2].strip()]
+    ratios = path_ratios([(node.path, piece) for node, _, piece, _ in said])
+    blocks: dict[int, list] = {}  # weight, weighted ratio, whether a name speaks against it, home, root, heading, characters of links
+    free = [0, 0.0]  # weight and weighted ratio of all that nothing speaks against
+    for (node, block, piece, names), ratio in zip(said, ratios):
+        n, value = len(piece.strip()), ratio + names
+        b = blocks.setdefault(block, [0, 0.0, False, node.home, node.root, node.heading, 0])
+        b[0], b[1], b[2], b[6] = b[0] + n, b[1] + n * value, b[2] or names < 0, b[6] + n * node.link
+        if names >= 0:
+            free[0], free[1] = free[0] + n, free[1] + n * value
+    if not free[0]:
+        return ""
+    limit = SHARE * free[1] / free[0]
+    order = list(blocks)
+    good = {k for k, b in blocks.items() if b[1] >= limit * b[0]}
+    good |= _lent(order, blocks, good)
+    out, last = [], None
+    for node, block, piece in page.texts:
+        if block in good:
+            if block != last:
+                out.append(" ")
             out.append(piece)
+            last = block
     return " ".join("".join(out).split())
 
 
+def _lent(order: list[int], blocks: dict[int, list], good: set[int]) -> set[int]:
+    """Blocks that go with content beside them: in the same article or main; a heading before it; and, where
+    content stands on both sides in the same element, what isn't mostly links. Nothing that a name speaks against."""
+    roots = {blocks[k][4] for k in good} - {0}
+    out = {k for k in order if blocks[k][4] in roots}
+    homes: dict[int, list[int]] = {}
+    for i, k in enumerate(order):
+        if k in good:
+            homes.setdefault(blocks[k][3], [i, i])[1] = i
+    after = False
+    for i in range(len(order) - 1, -1, -1):
+        k = order[i]
+        b = blocks[k]
+        first, last = homes.get(b[3], (len(order), -1))
+        if b[5] and after or first < i < last and 2 * b[6] < b[0]:
+            out.add(k)
+        after = not b[2] and (k in good or k in out)
+    return {k for k in out if not blocks[k][2]}
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars."""
 
