@@ -438,17 +438,61 @@ def test_packing(docs, empty):
 # 9
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
-    assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([30, 120, 60])
-    assert mixing.targets([0, 0], [5, 2]) == [0, 0]
+@pytest.mark.parametrize("sizes,want", [([100, 100, 100], [187.5, 75, 37.5]), ([10, 100, 100], [30, 120, 60]), ([0, 0], [0, 0]), ([7], [7]), ([0, 9, 1], [0, 7, 3])])
+def test_targets(spark, sizes, want):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i LONG, source_size LONG")
+    assert [r["target"] for r in mixing.with_targets(rows).orderBy("i").collect()] == pytest.approx(want)
+
+
+def brute_targets(sizes):
+    weights, capped = [(5, 2, 1)[i % 3] for i in range(len(sizes))], set()
+    while len(capped) < len(sizes):
+        share = (sum(sizes) - sum(3 * sizes[i] for i in capped)) / sum(w for i, w in enumerate(weights) if i not in capped)
+        over = {i for i in range(len(sizes)) if i not in capped and share * weights[i] > 3 * sizes[i]}
+        if not over:
+            break
+        capped |= over
+    return [3 * n if i in capped else share * weights[i] for i, n in enumerate(sizes)]
 
 
 def test_tree_keeps_quotas():
-    tree = mixing.splitting_tree(np.array([50, 7, 0, 300]), 16, 1)
-    assert tree.sum(axis=0).tolist() == [50, 7, 0, 300] and tree.min() >= 0
-    sums = tree.sum(axis=1)
-    assert sums.max() - sums.min() <= 4
+    quotas, wanted = np.array([50, 7, 0, 300]), np.diff(np.arange(17) * 357 // 16)
+    tree = mixing.splitting_tree(quotas, wanted, [1])
+    assert tree.sum(axis=0).tolist() == quotas.tolist() and tree.sum(axis=1).tolist() == wanted.tolist() and tree.min() >= 0
+    means = np.mean([mixing.splitting_tree(quotas, wanted, [s]) for s in range(300)], axis=0)
+    assert np.allclose(means, wanted[:, None] * quotas / 357, atol=0.7)  # every shard draws each source in proportion
+    less = mixing.splitting_tree(quotas, wanted // 2, [1])
+    assert less.sum(axis=1).tolist() == (wanted // 2).tolist() and (less.sum(axis=0) <= quotas).all()
+
+
+@pytest.mark.parametrize("groups", [4096, 7])
+def test_mixing_of_many_sources(spark, monkeypatch, groups):
+    """A source for nearly every document, one source with a third of all, and none: shards stay disjoint and even."""
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", groups)
+    monkeypatch.setattr(mixing, "BROADCAST_PLAN", 10 if groups == 7 else 200_000)
+    rng = np.random.default_rng(1)
+    rows = [(k, "word " * int(rng.integers(1, 30)), "en", None if k % 50 == 0 else "hot" if k % 3 == 0 else f"s{k % 700}", 0) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    got = mixing.Mix(docs).taken().collect()
+    assert len(got) == len(rows)
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    want = dict(zip(names, brute_targets([sizes[s] for s in names])))
+    by = defaultdict(list)
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
+        assert r["taken"] == r["size"] * len(r["shards"]) and len(r["shards"]) == r["passes"] <= 3
+        by[r["source"]].append(r)
+    for some in by.values():
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= max(r["size"] for r in some) / 2 + 1 + 0.001 * some[0]["target"]
+    drawn = Counter(s for r in got for s in r["shards"])
+    assert len(drawn) == mixing.SHARDS and max(drawn.values()) < 1.5 * min(drawn.values())
+    passes = {}  # a source's block in one pass goes to one shard alone
+    for r in got:
+        for k, s in enumerate(r["shards"]):
+            assert passes.setdefault((r["source"], r["block"], k), s) == s
 
 
 def test_mixing(docs, empty):

@@ -103,7 +103,7 @@ def test_mixture_is_written_by_shard(spark):
 def test_mixture_takes_what_the_tree_draws(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "word " * 9, "en", f"s{k % 3}", 0) for k in range(300)], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
     tree = mixing.splitting_tree
-    monkeypatch.setattr(mixing, "splitting_tree", lambda *x: np.where(np.arange(x[1])[:, None] == 3, tree(*x), 0))
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *x: np.where(np.arange(len(x[1]))[:, None] == 3, tree(*x), 0))
     rows = mixing.Mix(docs).taken().collect()
     assert {s for r in rows for s in r["shards"]} == {3}
     assert all(r["taken"] == r["size"] * len(r["shards"]) for r in rows) and any(not r["shards"] for r in rows)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run without these ASCII white-space characters.
@@ -19,11 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where none is set and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if not jsc.getCheckpointDir().isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
         folder = jsc.getCheckpointDir().get()
     return folder.rstrip("/")
@@ -37,6 +39,16 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "i") -> DataFrame:
+    """df, written out, with a gapless number from 0 in this order; only the row counts of tasks are gathered in one."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    tasks = placed.groupBy(F.shiftright("_at", 33).alias("_task")).agg(F.count("*").alias("_n"))
+    before = tasks.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
+    out = placed.withColumn("_task", F.shiftright("_at", 33)).join(before, "_task")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).select(*df.columns, name)
+
+
 def bucketed(df: DataFrame, key: str, at_least: int) -> DataFrame:
     """df written to the shared folder in buckets of `key`, so that joins on the key leave it where it is.
 
