@@ -1,8 +1,9 @@
 """URL rules by hash prefixes, with DataFrame functions alone.
 
-Each distinct (host, path) is expanded into host suffixes x path prefixes. Every expression, and
-every rule, has a SHA-256 digest; the first bytes of the digest are the equi-join key, the full
-digest confirms, and the longest confirmed rule decides.
+Each url is expanded into host suffixes x path prefixes, of the sizes (labels of the host,
+characters of the path) that some rule has. Every expression, and every rule, has a SHA-256 digest;
+the first bytes of the digest are the equi-join key, the full digest confirms, and the longest
+confirmed rule decides. Expressions carry their url's digest instead of the url.
 
 Defined results: a null url, or one without "://", has an empty host and path, so no rule fits and
 the verdict is the default. Repeated rows each keep their row. Equal rules count once; of two rules
@@ -45,49 +46,40 @@ def rule_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rules) + " AS r(host, path, verdict)")
 
 
-def host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    )
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
 
+def _digest(host: Column, path: Column) -> Column:
+    return F.unhex(F.sha2(F.concat(host, F.lit("\n"), path), 256))
 
-def path_prefixes(path: Column, lengths: Column) -> Column:
-    """The prefixes that end at a slash, the empty one, and those of the given lengths."""
-    n = F.length(path)
-    at = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (F.substring(path, i, F.lit(1)) == "/") | F.array_contains(lengths, i))
-    return F.transform(at, lambda i: F.substring(path, F.lit(1), i))
+
+def expressions(host: Column, path: Column, sizes: Column) -> Column:
+    """Digests of the host suffixes x path prefixes that have one of the sizes (labels, length); the work doesn't depend on the url's length."""
+    labels, n = _labels(host), F.length(path)
+    some = F.filter(sizes, lambda z: (z["labels"] <= labels) & (z["length"] <= n))
+    return F.transform(some, lambda z: _digest(F.call_function("substring_index", host, F.lit("."), -z["labels"]), F.substring(path, F.lit(1), z["length"])))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    spark = pages.sparkSession
     rules = rules.select(
-        "host", "path", "verdict", F.concat("host", "path").alias("rule"),
-        F.sha2(F.concat(F.col("host"), F.lit("\n"), F.col("path")), 256).alias("digest"),
-    ).withColumn("prefix", F.substring("digest", 1, 2 * PREFIX_BYTES))
-    facts = rules.agg(
-        F.count("*").alias("n"),
-        F.sort_array(F.collect_set(F.when(~F.col("path").endswith("/"), F.length("path")))).alias("lengths"),
-    ).first()
-    lengths = F.array(*[F.lit(x) for x in facts["lengths"]]).cast("array<int>")
+        F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict", F.concat("host", "path").alias("rule"), _digest(F.col("host"), F.col("path")).alias("digest")
+    ).withColumn("prefix", F.substring("digest", 1, PREFIX_BYTES))
+    size = F.struct(_labels(F.col("rule_host")).alias("labels"), F.length("rule_path").alias("length"))
+    facts = rules.agg(F.count("*").alias("n"), F.to_json(F.sort_array(F.collect_set(size))).alias("sizes")).first()
+    sizes = F.from_json(F.lit(facts["sizes"]), "array<struct<labels:int,length:int>>")
 
     parts = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    keys = parts.filter(F.col("host") != "").distinct()
-    asked = (
-        keys.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
-        .select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"), lengths)).alias("head"))
-        .select("host", "path", F.sha2(F.concat(F.col("suffix"), F.lit("\n"), F.col("head")), 256).alias("asked"))
-        .withColumn("prefix", F.substring("asked", 1, 2 * PREFIX_BYTES))
-    )
+    parts = parts.withColumn("_url", _digest(F.col("host"), F.col("path")))
+    asked = parts.filter(F.col("host") != "").select("_url", F.explode(expressions(F.col("host"), F.col("path"), sizes)).alias("asked"))
     side = rules.select("prefix", "digest", "rule", "verdict")
     side = F.broadcast(side) if facts["n"] <= BROADCAST_RULES else side
     found = (
-        asked.join(side, "prefix").filter(F.col("asked") == F.col("digest"))
-        .groupBy("host", "path")
+        asked.withColumn("prefix", F.substring("asked", 1, PREFIX_BYTES)).join(side, "prefix").filter(F.col("asked") == F.col("digest"))
+        .groupBy("_url")
         .agg(F.max(F.struct(F.length("rule").alias("length"), "verdict", "rule")).alias("best"))
     )
-    return parts.join(found, ["host", "path"], "left").select(
+    return parts.join(found, "_url", "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
 
