@@ -330,7 +330,7 @@ def test_extract_repeated_rows(spark):
 # 6
 
 
-def brute_url(url):
+def brute_url(url, rules=url_filter.RULES):
     if url is None or "://" not in url:
         host = path = ""
     else:
@@ -338,9 +338,9 @@ def brute_url(url):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = host.translate(LOW)
-    fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=None)
-    return host, path, best[1] if best else None, best[2] if best else "allow"
+    return host, path, best[2] if best else None, best[1] if best else "allow"
 
 
 def test_urls(spark):
@@ -360,6 +360,18 @@ def test_urls_without_broadcast(spark, monkeypatch):
     assert [r[3:] for r in got] == [("a.com/", "allow"), ("a.com/", "allow")]
 
 
+def test_urls_of_any_length_and_ties(spark):
+    """Long urls cost no more than their own hash; of rules of one length, and of one name, the later verdict wins; a rule may end inside a segment."""
+    rules = [("b.com", "/x", "allow"), ("com", "/x/y", "block"), ("com", "/x/y", "allow"), ("a.b.com", "", "block"), ("org", "/" + "s/" * 300, "block")]
+    urls = ["http://a.b.com/x/y/z", "http://b.com/x/y", "http://b.com/xy", "http://c.b.com/x/y", "http://a.b.com", "http://..com/x/yy", "x:///e/", "http://org/" + "s/" * 50_000, "http://" + "o." * 30_000 + "org/" + "s/" * 300, "http://q.org/" + "s/" * 299]
+    df = spark.createDataFrame(list(enumerate(urls * 2)), "page_id INT, url STRING")
+    start = time.time()
+    got = url_filter.filter_urls(df, url_filter.rule_frame(spark, rules)).collect()
+    assert time.time() - start < 20
+    want = [(i, *brute_url(u, rules)) for i, u in enumerate(urls * 2)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 # 7
 
 
@@ -383,6 +395,38 @@ def test_shards_are_even(spark):
     assert len(sizes) == 24 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 24
 
 
+def test_widths_are_of_the_metadata(spark):
+    """Two sources of equal weight lie half the line apart, languages of one value nowhere; the hash of a name has no say."""
+    rows = [(k, "w" * 100, "en", "a" if k % 2 else "b", 0) for k in range(400)]
+    p = sharding.points(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")).collect()
+    place = lambda d: sorted({r[d] >> 32 for r in p})
+    assert place("d_lang") == [0] and place("d_source") == [0, sharding.PLACES // 2] and len(place("d_size")) == 1
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"), 2).collect()
+    assert len({(r["shard"], rows[r["doc_id"]][3]) for r in got}) == 2  # cut between the sources
+
+
+def test_values_beyond_the_heaviest(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HEAVIEST", 3)
+    rows = [(k, "w" * (1 + k % 90), "en", "hot" if k % 3 == 0 else f"s{k % 60}", 0) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    got = sharding.shard(docs, target_bytes=5000).collect()
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+    assert len(got) == 1500 and sorted(sums) == list(range(round(sum(sums.values()) / 5000)))
+    assert max(sums.values()) - min(sums.values()) < 300
+
+
+def test_equal_texts_share_a_shard(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, f"text {rng.integers(0, 300)} " * 5, "en", f"s{k % 2}" if k % 10 == 0 else "s", 0) for k in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[rows[r["doc_id"]][1:4]].add(r["shard"])
+    assert sum(len(x) > 1 for x in homes.values()) <= sharding.SHARDS  # a cut may part one group of equal points
+
+
 # 8
 
 

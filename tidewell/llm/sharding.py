@@ -1,13 +1,18 @@
 """K-d tree sharding: leaves of near equal bytes.
 
-A document is a point: its dimensions are size (logarithmic), language and source. A node that must hold k shards is split in the ratio of the shards below, at a weighted
-quantile (a median where the ratio is even) along the dimension in which its bytes spread widest.
+A document is a point: its dimensions are size (logarithmic), language and source, each from 0 to 1.
+A value of language or source has the place where its bytes begin when all values are laid side by
+side, the heaviest first; beyond the HEAVIEST ones values share the rest of the line by a hash.
+A node that must hold k shards' bytes is split in the ratio of the shards below, at a weighted
+quantile (a median where the ratio is even) along the dimension in which its bytes spread widest;
+a leaf holds the target bytes of one shard.
 Quantiles are found by digits: one aggregation gives the bytes of each of 4096 intervals, for all
 nodes and dimensions of a level at once; the interval that holds the quantile is cut again.
 Within one value of a dimension documents are ordered by text checksum, so that equal texts stay
 together, and a group of equal texts too large for that is cut by a hash of doc_id.
 
-The driver holds histograms of bounded size, never documents. The law is "bytes".
+The driver holds histograms and at most HEAVIEST values of a dimension, never documents. The points
+are written once; a document's node is an expression of the cuts made so far. The law is "bytes".
 
 Defined results: a null text counts 8 bytes and has checksum 0; null metadata is a value of its own;
 repeated rows are placed one by one; an empty table gives no rows; slots are gapless in each shard.
@@ -17,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import saved, utf8_size
@@ -28,26 +33,44 @@ DIGIT_BITS = 12
 #: A cut is done when it misses the wanted bytes by so large a share of one shard at most.
 TOLERANCE = 0.002
 SLOT_ROWS = 20_000
+#: Places on a dimension, and how many of its values have a place by weight.
+PLACES = 1 << 28
+HEAVIEST = 4_096
 DIMENSIONS = ("d_size", "d_lang", "d_source")
 #: Digits of a key: 60 bits of the dimension's value and checksum, then 48 of a hash of doc_id.
 DIGITS = 9
 _MASK = (1 << DIGIT_BITS) - 1
 
 
-def _code(column: str) -> Column:
-    """A value's place on [0, 2^28): equal values have equal places."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))), 36)
+def _name(column: str) -> Column:
+    """A value as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
+
+
+def _placed(rows: DataFrame, column: str, total: int) -> DataFrame:
+    """rows with the place of their value of `column` (a key), from 0 to PLACES: equal values have equal places."""
+    heavy = rows.groupBy(column).agg(F.sum("size").alias("w")).orderBy(F.desc("w"), column).limit(HEAVIEST).collect()
+    places, at = [], 0
+    for r in heavy:
+        places.append((r[column], at * PLACES // total))
+        at += r["w"]
+    rest = min(PLACES - 1, at * PLACES // max(1, total))
+    table = rows.sparkSession.createDataFrame(places, f"{column} string, _place long")
+    tail = F.lit(rest) + F.pmod(F.xxhash64(column), F.lit(PLACES - rest))
+    return rows.join(F.broadcast(table), column, "left").withColumn(column, F.coalesce("_place", tail)).drop("_place")
 
 
 def points(docs: DataFrame) -> DataFrame:
+    """doc_id, size, crc, own (a hash of doc_id) and the keys of the dimensions, written out."""
     size = utf8_size(F.col("text")) + ROW_BYTES
-    base = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("crc"), _code("lang").alias("lang"), _code("source").alias("source"))
     own = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 16)
-    wide = F.least(F.floor((F.log2(F.col("size").cast("double")) - 3) * ((1 << 28) / 20)), F.lit((1 << 28) - 1)).cast("long")  # 8 bytes to 8 MB and over
+    base = saved(docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("crc"), own.alias("own"), _name("lang").alias("lang"), _name("source").alias("source")), "kd")
+    total = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    for column in ("lang", "source"):
+        base = _placed(base, column, total)
+    wide = F.least(F.floor((F.log2(F.col("size").cast("double")) - 3) * (PLACES / 20)), F.lit(PLACES - 1)).cast("long")  # 8 bytes to 8 MB and over
     key = lambda value: F.shiftleft(value, 32).bitwiseOR(F.col("crc"))
-    return base.select(
-        "doc_id", "size", "crc", key(wide).alias("d_size"), key(F.col("lang")).alias("d_lang"), key(F.col("source")).alias("d_source"), own.alias("own"),
-    )
+    return saved(base.select("doc_id", "size", "crc", key(wide).alias("d_size"), key(F.col("lang")).alias("d_lang"), key(F.col("source")).alias("d_source"), "own"), "kd")
 
 
 def _digit(dim: str, k: int) -> Column:
@@ -136,9 +159,15 @@ def _prefix_is(dim: str, path: list[int]) -> Column:
     return reduce(lambda a, b: a & b, [_digit(dim, k) == d for k, d in enumerate(path)])
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang, source): doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    rows = saved(points(docs).withColumn("node", F.lit(0)), "kd")
+def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text, lang, source): doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    The leaves are `shards`, or as many as hold about target_bytes each.
+    """
+    base = points(docs)
+    if target_bytes:
+        shards = max(1, round((base.agg(F.sum("size")).first()[0] or 0) / target_bytes))
+    rows, cuts_of = base.withColumn("node", F.lit(0)), {}
     leaves = {0: (0, shards)}  # node: its first shard, how many
     while any(n > 1 for _, n in leaves.values()):
         cuts = [_Cut(node, n) for node, (_, n) in leaves.items() if n > 1]
@@ -155,32 +184,35 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
                     c.step(found)
                 else:
                     c.done = True
-        after, grown = {}, []
-        for node, (at, n) in leaves.items():
-            if n == 1:
-                after[node] = (at, n)
+        after = {node: x for node, x in leaves.items() if x[1] == 1}
         for c in cuts:
             at = leaves[c.node][0]
             right = at + c.left
             after[at], after[right] = (at, c.left), (right, c.shards - c.left)
-            grown.append((c.node, F.when(_below(c.dim, c.path), F.lit(at)).otherwise(F.lit(right))))
-        rows, leaves = saved(rows.withColumn("node", _case("node", grown, F.col("node"))), "kd"), after
-    return _slotted(rows)
+            cuts_of[at, c.shards] = c
+        rows, leaves = base.withColumn("node", _node(cuts_of, 0, shards)), after
+    return _slotted(rows, shards)
 
 
-def _slotted(rows: DataFrame) -> DataFrame:
-    """Number each shard's rows without a gap: in parts of about SLOT_ROWS, each starting where the parts before it end."""
-    from pyspark.sql import Window
+def _node(cuts: dict[tuple[int, int], _Cut], at: int, n: int) -> Column:
+    """The node of a point under that of n shards from `at` on: each cut is compared once."""
+    if (at, n) not in cuts:
+        return F.lit(at)
+    c = cuts[at, n]
+    return F.when(_below(c.dim, c.path), _node(cuts, at, c.left)).otherwise(_node(cuts, at + c.left, n - c.left))
+
 
+def _slotted(rows: DataFrame, shards: int) -> DataFrame:
+    """Number each shard's rows without a gap: in parts of about SLOT_ROWS, each starting where the parts before it end."""
     placed = rows.select("doc_id", "size", "crc", F.col("node").alias("shard"), "own")
     n = placed.count()
-    parts = max(1, n // (SHARDS * SLOT_ROWS))
+    parts = max(1, n // (shards * SLOT_ROWS))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("own", "crc"), F.lit(parts)))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "part").orderBy("own", "doc_id")
-    return placed.join(F.broadcast(starts), ["shard", "part"]).select(
+    return placed.join(starts, ["shard", "part"]).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("start") + F.row_number().over(inside) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
