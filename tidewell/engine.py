@@ -29,7 +29,7 @@ def ingest(documents: DataFrame, files: DataFrame, index: DataFrame, embed: Embe
     )
     done = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("chunks")).select("id", F.lit(True).alias("ok"), F.lit("").alias("reason"), "chunks")
     failed = rejected.select(F.col("document_id").alias("id"), F.lit(False).alias("ok"), T.failure_reason("reason").alias("reason"), F.lit(0).alias("chunks"))
-    after = lifecycle.finish_documents(claimed.drop("changed"), done.unionByName(failed)).drop("changed")
+    after = lifecycle.finish_documents(claimed.drop("changed"), done.unionByName(failed), at).drop("changed")
     return after.select(*documents.columns), store.replace_children(index, new.select(*index.columns), "document_id")
 
 
@@ -42,10 +42,12 @@ class Engine:
     def search(self, text: str, k: int | None = None, service: str = "", document_type: str = "") -> DataFrame:
         chunks = self.tables["chunks"]
         query = chunks.sparkSession.range(1).select(self.embed(F.lit(text)).alias("v")).first()["v"]
-        return retrieval.knn(chunks, query, k, service=service, document_type=document_type)
+        k = store.within("k", k, 1, retrieval.K_MOST, retrieval.K_DEFAULT)
+        return store.wire(retrieval.knn(chunks, query, k, service=service, document_type=document_type))
 
     def documents(self, limit: int | None = None, cursor: str = "", **equal) -> tuple[list, str]:
-        rows = store.filtered(self.tables["documents"], **equal).drop("attempts", "storage_path")
+        limit = store.within("limit", limit, 1, store.LARGEST_PAGE, store.DEFAULT_PAGE)
+        rows = store.wire(store.filtered(self.tables["documents"], **equal))
         return store.page_and_cursor(rows, "id", limit, cursor)
 
     def run_detail(self, run_id: str) -> DataFrame:
@@ -53,6 +55,7 @@ class Engine:
         return store.run_timeline(of["steps"], of["tool_calls"], of["evidence"]).orderBy("step_number")
 
     def read_logs(self, service: str, level: str = "INFO", since=None, until=None, contains: str = "", limit: int | None = None) -> DataFrame:
+        limit = store.within("limit", limit, 1, logs.TAIL_MOST, logs.TAIL_DEFAULT)
         lines = self.tables["logs"].filter(F.col("service") == service)
         return logs.tail(logs.matching(logs.parse_lines(lines), level, since, until, contains), limit)
 

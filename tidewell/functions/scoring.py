@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Markers that rule out what follows them.
@@ -69,3 +69,34 @@ def mark(root_cause: str = "root_cause", affected: str = "affected_service", ser
 
 def quoted_name(column: str) -> Column:
     return F.concat(F.lit('"'), F.col(column), F.lit('"'))
+
+
+#: Scenario, the service to be named ("" for none), groups of which one term each must be named, terms that it must not rest on, whether nothing is wrong.
+SCENARIOS = [
+    ("payment-latency", "payment-service", [["processor", "pool", "downstream", "connection"]], ["cpu satur", "cpu throttl", "timeout is too short", "raise the timeout"], False),
+    ("payment-cpu", "payment-service", [["cpu", "saturat", "throttl"]], ["card processor is slow", "processor latency is high"], False),
+    ("payment-errors", "payment-service", [["5xx", "503", "error rate", "errors", "rejecting", "shedding"]], ["cpu satur", "pool exhaust", "processor latency"], False),
+    ("checkout-latency", "checkout-service", [["checkout"]], ["cpu satur", "cpu throttl", "payment-service is slow"], False),
+    ("checkout-cpu", "checkout-service", [["cpu", "saturat", "throttl"]], ["payment-service is slow", "pool exhaust"], False),
+    ("checkout-errors", "checkout-service", [["5xx", "503", "error rate", "errors", "rejecting", "shedding"]], ["cpu satur", "pool exhaust"], False),
+    ("baseline", "", [], ["pool exhaust", "cpu satur", "processor is slow", "error rate is high"], True),
+    ("payment-latency-mild", "", [], ["pool exhaust", "cpu satur", "error rate is high", "outage"], True),
+]
+#: Scenario, the service at fault, kind of fault, its settings, what diagnoses it.
+FAULTS = [
+    ("baseline", None, None, {}, []),
+    ("payment-latency", "payment-service", "latency", {"delay_ms": 2500.0, "jitter_ms": 250.0}, ["payment-latency-runbook.md", "connection-pool-runbook.md"]),
+    ("checkout-cpu", "checkout-service", "cpu", {"workers": 2.0}, ["cpu-saturation-runbook.md", "checkout-latency-runbook.md"]),
+    ("checkout-latency", "checkout-service", "latency", {"delay_ms": 2500.0, "jitter_ms": 250.0}, ["checkout-latency-runbook.md"]),
+    ("payment-cpu", "payment-service", "cpu", {}, ["cpu-saturation-runbook.md", "payment-latency-runbook.md"]),
+    ("checkout-errors", "checkout-service", "error", {"status": 503.0, "ratio": 0.2}, ["error-rate-runbook.md"]),
+    ("payment-latency-mild", "payment-service", "latency", {"delay_ms": 300.0, "jitter_ms": 100.0}, []),
+    ("payment-errors", "payment-service", "error", {"status": 503.0, "ratio": 0.2}, ["error-rate-runbook.md"]),
+]
+
+
+def scenarios(spark: SparkSession) -> DataFrame:
+    """The registry of scenarios as rules: what each injects, what diagnoses it, and what a diagnosis must say."""
+    rules = spark.createDataFrame(SCENARIOS, "scenario STRING, service STRING, any_groups ARRAY<ARRAY<STRING>>, not_terms ARRAY<STRING>, healthy BOOLEAN")
+    faults = spark.createDataFrame(FAULTS, "scenario STRING, target STRING, kind STRING, settings MAP<STRING, DOUBLE>, runbooks ARRAY<STRING>")
+    return rules.join(F.broadcast(faults), "scenario")

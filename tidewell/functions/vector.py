@@ -35,7 +35,7 @@ def search_score(a, b) -> Column:
 
 
 def fake_embedding(text, dimension: int) -> Column:
-    """A unit vector that depends on the text alone: normal numbers made of its hashes. For tests and trials."""
+    """A unit vector that depends on the text alone: normal numbers made of its hashes, by a generator of our own. For tests and trials."""
     uniform = lambda i, salt: (F.pmod(F.xxhash64(_c(text), i, F.lit(salt)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
     normal = F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(2 * F.pi() * uniform(i, 2)))
     return unit(normal).cast("array<float>")

@@ -89,59 +89,75 @@ def markdown_sections(docs: DataFrame, key: str, text: str = "text") -> DataFram
     )
 
 
-def _pack(units: Column, path: Column, path_weight: Column, target: Column) -> Column:
-    """Bodies of the chunks that hold the units in order, greedily; a unit over budget stands alone. One fold."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(-1).alias("w"), F.lit(False).alias("tight"))
+def _ends(weights: Column, path_weight: Column, target: Column) -> Column:
+    """Where the chunks end that hold the units (w, tight) in order, greedily; a unit over budget stands alone. One fold over numbers."""
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("n"), F.lit(-1).alias("w"), F.lit(False).alias("tight"))
 
     def step(a, u):
-        tight = a["tight"] & u["tight"]
-        joined = a["w"] + F.when(tight, _FEED).otherwise(_BREAK) + u["w"]
+        joined = a["w"] + F.when(a["tight"] & u["tight"], _FEED).otherwise(_BREAK) + u["w"]
         fits = (a["w"] >= 0) & (joined + path_weight <= 12 * target)
         return F.struct(
-            F.when(fits | (a["w"] < 0), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))).alias("done"),
-            F.when(fits, F.concat(a["cur"], F.when(tight, F.lit("\n")).otherwise(F.lit("\n\n")), u["text"])).otherwise(u["text"]).alias("cur"),
+            F.when(fits | (a["w"] < 0), a["ends"]).otherwise(F.concat(a["ends"], F.array(a["n"]))).alias("ends"), (a["n"] + 1).alias("n"),
             F.when(fits, joined).otherwise(u["w"]).alias("w"), u["tight"].alias("tight"),
         )
 
-    return F.aggregate(units, start, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
+    return F.aggregate(weights, start, step, lambda a: F.concat(a["ends"], F.array(a["n"])))
 
 
-_SECTION = "struct<section:long,depth:int,own:string,ow:int,parent:string,pw:int,units:array<struct<text:string,tight:boolean,w:int>>,body:string,bw:int,whole:string,w:int>"
+def _slices(array: Column, ends: Column) -> Column:
+    """The parts of array that end at these places."""
+    return F.transform(ends, lambda e, i: F.slice(array, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)) + 1, e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))))
 
 
-def _runs(sections: Column, target: Column) -> Column:
-    """Sections in runs: a run of siblings that fit together under their parent is one chunk. One fold."""
-    start = F.struct(F.array().cast(f"array<array<{_SECTION}>>").alias("done"), F.array().cast(f"array<{_SECTION}>").alias("cur"), F.lit(0).alias("w"))
+def _joined(units: Column) -> Column:
+    """Texts of units (text, tight), each after its separator."""
+    parts = F.transform(units, lambda u, i: F.concat(F.when(i == 0, F.lit("")).when(u["tight"] & F.get(units, i - 1)["tight"], F.lit("\n")).otherwise(F.lit("\n\n")), u["text"]))
+    return F.array_join(parts, "")
+
+
+_BRIEF = "array<struct<depth:int,parent:string,pw:int,w:int>>"
+
+
+def _run_ends(sections: Column, target: Column) -> Column:
+    """Where runs of sections (depth, parent, pw, w) end: a run of siblings that fit together under their parent is one chunk. One fold over numbers and paths."""
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("n"), F.lit(0).alias("w"), F.lit(-1).alias("depth"), F.lit(None).cast("string").alias("parent"))
 
     def step(a, x):
-        first = a["cur"][0]
         joined = a["w"] + _BREAK + x["w"]
-        goes = (F.size(a["cur"]) > 0) & (first["depth"] > 0) & (first["depth"] == x["depth"]) & (first["parent"] == x["parent"]) & (a["w"] + x["pw"] <= 12 * target) & (joined + x["pw"] <= 12 * target)
-        goes = F.coalesce(goes, F.lit(False))
+        goes = F.coalesce((a["depth"] > 0) & (a["depth"] == x["depth"]) & (a["parent"] == x["parent"]) & (a["w"] + x["pw"] <= 12 * target) & (joined + x["pw"] <= 12 * target), F.lit(False))
         return F.struct(
-            F.when(goes | (F.size(a["cur"]) == 0), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))).alias("done"),
-            F.when(goes, F.concat(a["cur"], F.array(x))).otherwise(F.array(x)).alias("cur"), F.when(goes, joined).otherwise(x["w"]).alias("w"),
+            F.when(goes | (a["n"] == 0), a["ends"]).otherwise(F.concat(a["ends"], F.array(a["n"]))).alias("ends"), (a["n"] + 1).alias("n"),
+            F.when(goes, joined).otherwise(x["w"]).alias("w"), x["depth"].alias("depth"), x["parent"].alias("parent"),
         )
 
-    return F.aggregate(sections, start, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
+    return F.aggregate(sections, start, step, lambda a: F.concat(a["ends"], F.array(a["n"])))
 
 
 def chunks(sections: DataFrame, key: str, target: int = TARGET) -> DataFrame:
-    """key, chunk_index, heading_path, content, tokens: sections merged with siblings, kept, or packed by unit."""
+    """key, chunk_index, heading_path, content, tokens: sections merged with siblings, kept, or packed by unit.
+
+    Weights are computed once, for each unit and title; folds carry places and numbers, texts are joined at the end.
+    """
     goal = F.lit(target)
     path_weight = lambda p: F.when(p == "", 0).otherwise(weight(p) + _BREAK)
-    s = sections.filter(F.size("units") > 0).withColumn("body", T.join_units("units")).withColumn("depth", F.size("path"))
-    s = s.withColumn("units", F.transform("units", lambda u: F.struct(u["text"].alias("text"), u["tight"].alias("tight"), weight(u["text"]).alias("w"))))
+    s = sections.filter(F.size("units") > 0).withColumn("depth", F.size("path"))
+    s = s.withColumn("weights", F.transform("units", lambda u: F.struct(weight(u["text"]).alias("w"), u["tight"].alias("tight"))))
+    gaps = F.transform("weights", lambda u, i: u["w"] + F.when(i == 0, 0).when(u["tight"] & F.get("weights", i - 1)["tight"], _FEED).otherwise(_BREAK))
+    s = s.withColumn("bw", F.aggregate(gaps, F.lit(0), lambda a, g: a + g))
     s = s.withColumn("own", F.array_join("path", T.PATH_SEPARATOR)).withColumn("parent", F.when(F.col("depth") > 0, F.array_join(F.slice("path", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0))), T.PATH_SEPARATOR)))
-    s = s.withColumn("whole", F.when(F.col("title") == "", F.col("body")).otherwise(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("title"), F.lit("\n\n"), F.col("body"))))
-    s = s.withColumn("w", weight(F.col("whole"))).withColumn("bw", weight(F.col("body"))).withColumn("ow", path_weight(F.col("own"))).withColumn("pw", path_weight(F.coalesce("parent", F.lit(""))))
-    fields = ("section", "depth", "own", "ow", "parent", "pw", "units", "body", "bw", "whole", "w")
-    per = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(f"array<{_SECTION}>").alias("s"))
-    run = per.select(key, F.posexplode(_runs(F.col("s"), goal)).alias("run", "m"))
-    one, several = F.col("m")[0], F.size("m") > 1
-    path = F.when(several, one["parent"]).otherwise(one["own"])
-    fits = one["bw"] + one["ow"] <= 12 * goal
-    bodies = F.when(several, F.array(F.array_join(F.transform("m", lambda x: x["whole"]), "\n\n"))).when(fits, F.array(one["body"])).otherwise(_pack(one["units"], one["own"], one["ow"], goal))
+    s = s.withColumn("w", F.col("bw") + F.when(F.col("title") == "", 0).otherwise(3 * (F.col("level") + 1) + weight(F.col("title")) + _BREAK))
+    s = s.withColumn("ow", path_weight(F.col("own"))).withColumn("pw", path_weight(F.coalesce("parent", F.lit(""))))
+    fields = ("section", "depth", "own", "ow", "parent", "pw", "level", "title", "units", "weights", "bw", "w")
+    per = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", F.struct(*fields).alias("s")))).alias("s")).select(key, F.transform("s", lambda x: x["s"]).alias("s"))
+    per = per.withColumn("ends", _run_ends(F.transform("s", lambda x: F.struct(x["depth"], x["parent"], x["pw"], x["w"])).cast(_BRIEF), goal))
+    run = per.select(key, F.posexplode(_slices(F.col("s"), F.col("ends"))).alias("run", "m"))
+    run = run.withColumn("one", F.col("m")[0]).withColumn("several", F.size("m") > 1)
+    run = run.withColumn("ends", F.when(~F.col("several") & (F.col("one.bw") + F.col("one.ow") > 12 * goal), _ends(F.col("one.weights"), F.col("one.ow"), goal)))
+    head = lambda x: F.when(x["title"] == "", F.lit("")).otherwise(F.concat(F.repeat(F.lit("#"), x["level"]), F.lit(" "), x["title"], F.lit("\n\n")))
+    merged = F.array(F.array_join(F.transform("m", lambda x: F.concat(head(x), _joined(x["units"]))), "\n\n"))
+    packed = F.transform(_slices(F.col("one.units"), F.col("ends")), _joined)
+    bodies = F.when(F.col("several"), merged).when(F.col("ends").isNull(), F.array(_joined(F.col("one.units")))).otherwise(packed)
+    path = F.when(F.col("several"), F.col("one.parent")).otherwise(F.col("one.own"))
     each = run.withColumn("heading_path", path).select(key, "run", "heading_path", F.posexplode(bodies).alias("pos", "text"))
     content = T.embedded_text("heading_path", F.regexp_replace("text", r"^\n+|\n+$", ""))
     index = (F.row_number().over(Window.partitionBy(key).orderBy("run", "pos")) - 1).cast("int")

@@ -9,16 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.store import Refusal
+
 RENDERED_POINTS = 20
 SERIES_MOST = 50
 NAMES_MOST = 80
 STEP_DIVISOR, STEP_LEAST = 100, 15
 
 
-class Refusal(ValueError):
-    """A request that is refused, with what would be accepted."""
-
-
 def resolve_step(span: int, step: int | None = None) -> int:
     """Seconds between points: a hundredth of the span, 15 at least; an explicit step must lie between 15 and the span."""
     if step is None:
@@ -28,6 +26,11 @@ def resolve_step(span: int, step: int | None = None) -> int:
     return step
 
 
+def step_seconds(span: Column) -> Column:
+    """resolve_step of a column of spans, in seconds."""
+    return F.greatest(F.lit(STEP_LEAST), F.round(span / STEP_DIVISOR)).cast("int")
+
+
 def check_window(start, end, most: int = 6 * 3600) -> None:
     if (start is None) != (end is None):
         raise Refusal("start and end go together")
@@ -118,6 +121,12 @@ def mean_max(values: DataFrame, by: list[str], value: str = "value") -> DataFram
     return values.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.coalesce(F.greatest(F.max(value), F.lit(0.0)), F.lit(0.0)).alias("max"))
 
 
+def in_phases(samples: DataFrame, phases: DataFrame, ts: str = "ts") -> DataFrame:
+    """samples with the phase (phase, start, end) whose interval [start, end) holds their time; phases are few and don't overlap."""
+    p = phases.select("phase", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    return samples.join(F.broadcast(p), (F.col(ts) >= F.col("_s")) & (F.col(ts) < F.col("_e"))).drop("_s", "_e")
+
+
 def status_summary(samples: DataFrame, by: list[str], status: str = "status") -> DataFrame:
     """'none×3 201×210': counts by status code in order, 0 being no answer."""
     each = samples.groupBy(*by, status).agg(F.count("*").alias("n"))
@@ -164,6 +173,12 @@ def instant(samples: DataFrame, keys: list[str], at=None, ts: str = "ts", value:
     return rows.groupBy(*keys).agg(F.max_by(value, ts).alias(value))
 
 
+def waits(requests: DataFrame, by: list[str], asked: str = "asked", granted: str = "granted") -> DataFrame:
+    """Seconds between asking for a connection and getting it: count, sum and max by group."""
+    seconds = (F.unix_micros(granted) - F.unix_micros(asked)) / 1_000_000
+    return requests.groupBy(*by).agg(F.count("*").alias("n"), F.sum(seconds).alias("wait_sum"), F.max(seconds).alias("wait_max"))
+
+
 def occupancy(intervals: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Sweep line over held intervals: in_use after each change, by time; releases come before grants."""
     edges = intervals.select(*by, F.col(start).alias("at"), F.lit(1).alias("d")).unionByName(intervals.select(*by, F.col(end).alias("at"), F.lit(-1).alias("d")))

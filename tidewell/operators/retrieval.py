@@ -17,10 +17,6 @@ def clamp_k(k: int | None, default: int = K_DEFAULT) -> int:
     return default if not k or k < 1 else min(k, K_MOST)
 
 
-def candidates_for(k: int) -> int:
-    return max(50, min(1000, 10 * k))
-
-
 def knn(chunks: DataFrame, query: list[float], k: int | None = None, key: str = "chunk_id", embedding: str = "embedding", **equal) -> DataFrame:
     """The k chunks nearest to one vector, exactly; filters hold before ranking and a null never matches."""
     for column, value in equal.items():
@@ -64,30 +60,68 @@ def hit_rate(ranks: DataFrame, *ks: int) -> DataFrame:
     return ranks.agg(rates.alias("x")).select(F.inline("x"))
 
 
+def pair_embeddings(inputs: DataFrame, answers: DataFrame, dimension: int) -> DataFrame:
+    """inputs (index and more) with the embedding that the answer (index, embedding) of the same index holds.
+
+    Answers may come in any order; raises unless there is just one for each index, all of the right size.
+    """
+    wanted = inputs.agg(F.count("*").alias("n"), F.max("index").alias("last")).first()
+    got = answers.agg(
+        F.count("*").alias("n"), F.count_distinct("index").alias("distinct"), F.coalesce(F.count_if((F.col("index") < 0) | (F.col("index") > F.lit(wanted["last"])) | F.col("index").isNull()), F.lit(0)).alias("outside"),
+        F.count_if(F.coalesce(F.size("embedding"), F.lit(-1)) != dimension).alias("wrong"),
+    ).first()
+    problems = [f"{got['n']} answers for {wanted['n']} inputs"] if got["n"] != wanted["n"] else []
+    problems += [f"{got[k]} {text}" for k, text in (("outside", "indices out of range"), ("wrong", f"vectors that haven't {dimension} components")) if got[k]]
+    problems += ["an index comes twice"] if got["distinct"] < got["n"] - got["outside"] else []
+    if problems:
+        raise ValueError("; ".join(problems))
+    return inputs.join(answers.select("index", "embedding"), "index")
+
+
 def unresolved_labels(labels: DataFrame, corpus: DataFrame) -> DataFrame:
     """Labels that no chunk of the corpus (source, content) can satisfy."""
     need = F.coalesce(labels["must_contain"], F.lit(""))
     return labels.join(corpus, (labels["source"] == corpus["source"]) & ((need == "") | F.contains(corpus["content"], need)), "left_anti")
 
 
-def containing(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase: str = "phrase", words: int = 5) -> DataFrame:
-    """Pairs of rows where the text contains the phrase, without comparing all pairs.
+#: So many phrases of one or two words are compared with every text.
+SHORT_PHRASES = 1_000
+#: Keys of up to so many phrases are broadcast.
+BROADCAST_PHRASES = 200_000
+
+
+def containing(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text", phrase: str = "phrase", words: int = 5) -> DataFrame:
+    """(key, the phrases' columns) of each pair of a text, known by a unique key, and a phrase in it, without comparing all pairs.
 
     The words after a phrase's first, which any text that contains it has between the same spaces,
-    are the join key; `contains` decides. Phrases with too few words are compared with every text,
-    broadcast if their number allows it.
+    are the join key: `words` of them, or as many as there are before the last. Only keys are
+    exploded; the pairs they give fetch their text, and `contains` decides. Phrases of two words or
+    fewer have no such key: they are compared with every text, and refused beyond SHORT_PHRASES.
     """
-    inner = lambda c: F.array_join(F.slice(F.split(c, " "), 2, words), " ")
-    long = F.size(F.split(phrase, " ")) >= words + 2
-    keyed = phrases.filter(long).withColumn("_key", F.xxhash64(inner(F.col(phrase))))
-    # shifted copies of the words, zipped: a slice inside the lambda would split the text for each word
+    size = F.least(F.size(F.split(phrase, " ")) - 2, F.lit(words))
+    inner = F.array_join(F.slice(F.split(phrase, " "), F.lit(2), F.greatest(size, F.lit(0))), " ")
+    keyed = phrases.withColumn("_size", size).withColumn("_key", F.xxhash64(inner, size))
+    sizes = {r["_size"]: r["n"] for r in keyed.groupBy(F.greatest("_size", F.lit(0)).alias("_size")).agg(F.count("*").alias("n")).collect()}
     parts = F.split(text, " ")
-    shifted = [F.slice(parts, k + 1, F.greatest(F.size(parts) - words + 1, F.lit(0))) for k in range(words)]
-    grams = F.transform(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)]), lambda z: F.xxhash64(F.concat_ws(" ", *[z[f"w{k}"] for k in range(words)])))
-    placed = texts.withColumn("_key", F.explode(F.array_distinct(grams)))
-    found = placed.join(keyed, "_key").drop("_key").filter(F.contains(F.col(text), F.col(phrase)))
-    short = texts.join(phrases.filter(~long), F.contains(texts[text], phrases[phrase]))
-    return found.unionByName(short)
+
+    def grams(m: int):  # shifted copies of the words, zipped: a slice inside the lambda would split the text for each word
+        shifted = [F.slice(parts, k + 1, F.greatest(F.size(parts) - m + 1, F.lit(0))) for k in range(m)]
+        return F.transform(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)]), lambda z: F.xxhash64(F.concat_ws(" ", *[z[f"w{k}"] for k in range(m)]), F.lit(m)))
+
+    some = [m for m in sizes if m > 0]
+    out = None
+    if some:
+        side = keyed.filter("_size > 0").drop("_size")
+        side = F.broadcast(side) if sum(sizes[m] for m in some) <= BROADCAST_PHRASES else side
+        placed = texts.select(key, F.explode(F.array_distinct(F.concat(*[grams(m) for m in some]))).alias("_key"))
+        out = placed.join(side, "_key").drop("_key").join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col(phrase))).drop(text)
+    if sizes.get(0):
+        if sizes[0] > SHORT_PHRASES:
+            raise ValueError(f"{sizes[0]} phrases of two words or fewer; at most {SHORT_PHRASES}")
+        short = F.broadcast(keyed.filter("_size <= 0").drop("_size", "_key"))
+        more = texts.select(key, text).join(short, F.contains(F.col(text), F.col(phrase))).drop(text)
+        out = more if out is None else out.unionByName(more)
+    return out if out is not None else texts.select(key).join(phrases, F.lit(False))
 
 
 def prefix_that_fits(hits: DataFrame, group: str, rank: str = "rank", size: str = "bytes", most: int = CAP_BYTES) -> DataFrame:

@@ -5,9 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import ulid
+
 DEFAULT_PAGE, LARGEST_PAGE = 20, 100
 
 
+class Refusal(ValueError):
+    """A request that is refused, with what would be accepted."""
+
+
+def within(name: str, value: int | None, least: int, most: int, default: int) -> int:
+    """A bounded argument as it comes from outside: absent is the default, out of bounds is refused. (Inside, page_size and clamp_k clamp.)"""
+    if value is None:
+        return default
+    if not least <= value <= most:
+        raise Refusal(f"{name} {value}: from {least} to {most}")
+    return value
+
+
+def insert(new: DataFrame, at: Column, *entropy: str) -> DataFrame:
+    """new rows with an id (a ULID of `at` and what tells the rows apart) and equal created_at and updated_at."""
+    return new.select(ulid(at, *[F.col(c) for c in entropy]).alias("id"), *new.columns, at.alias("created_at"), at.alias("updated_at"))
+
+
+def wire(rows: DataFrame, internal: tuple[str, ...] = ("attempts", "storage_path", "embedding")) -> DataFrame:
+    """rows as they are shown: without internal columns."""
+    return rows.drop(*internal)
+
+
 def by_id(rows: DataFrame, value, key: str = "id") -> DataFrame:
     return rows.filter(F.col(key) == value).limit(1)
 
@@ -114,5 +139,25 @@ def resolve_evidence(citations: DataFrame, steps: DataFrame, hits: DataFrame) ->
     )
 
 
+def order_totals(items: DataFrame, order: str, quantity: str, cents: str) -> DataFrame:
+    """order, total_cents and reason: the sum of quantity x unit price, null with the reason for an order with a quantity or price that isn't positive."""
+    bad = F.coalesce(F.min(F.least(F.col(quantity), F.col(cents))), F.lit(0)) <= 0
+    total = F.sum(F.col(quantity) * F.col(cents)).cast("long")
+    return items.groupBy(order).agg(F.when(~bad, total).alias("total_cents"), F.when(bad, F.lit("quantity and unit price must be positive")).alias("reason"))
+
+
+def walk_pages(rows: DataFrame, key: str, limit: int | None = None, width: int = 1 << 16) -> DataFrame:
+    """Every row with the page that a walk along the cursors shows it on, newest first, and its place there.
+
+    Keys are unique whole numbers; rows are numbered in ranges of `width` keys, ranges by their counts.
+    """
+    n = page_size(limit)
+    placed = rows.withColumn("_b", F.floor(F.col(key) / width))
+    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = counts.select("_b", (F.sum("_n").over(Window.orderBy(F.desc("_b"))) - F.col("_n")).alias("_before"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(F.desc(key))) - 1
+    return placed.join(before, "_b").withColumn("_p", at).withColumn("page", F.floor(F.col("_p") / n)).withColumn("place", F.col("_p") % n).drop("_p", "_b", "_before")
+
+
 def citation_counts(evidence: DataFrame) -> DataFrame:
     return evidence.filter(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.count("*").alias("citations"), F.count_distinct("run_id").alias("runs"))

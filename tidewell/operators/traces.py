@@ -81,6 +81,38 @@ def materialize_timeline(events: DataFrame) -> DataFrame:
     return last.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("run_id", "attempt", "step_number", "data")
 
 
+def published(steps: DataFrame, run: str, order: str, data: str) -> DataFrame:
+    """The events that runs publish: run.started, step.completed with each step's number and data, run.finished with the number of steps."""
+    each = steps.select(F.col(run).alias("run_id"), F.lit("step.completed").alias("event"), F.col(order).alias("step_number"), F.col(data).cast("string").alias("data"))
+    ends = steps.groupBy(F.col(run).alias("run_id")).agg(F.count("*").cast("string").alias("n"))
+    mark = lambda event, value: ends.select("run_id", F.lit(event).alias("event"), F.lit(None).cast(dict(each.dtypes)["step_number"]).alias("step_number"), value.alias("data"))
+    return mark("run.started", F.lit("")).unionByName(each).unionByName(mark("run.finished", F.col("n")))
+
+
+def rescored(outcomes: DataFrame, scenarios: DataFrame, mark: Column) -> DataFrame:
+    """outcomes marked anew by what the scenarios (scenario, and the columns that mark reads) expect now; raises for a scenario that is gone."""
+    gone = [r[0] for r in outcomes.join(scenarios, "scenario", "left_anti").select("scenario").distinct().limit(5).collect()]
+    if gone:
+        raise ValueError(f"no such scenario: {', '.join(map(str, gone))}")
+    return outcomes.join(F.broadcast(scenarios), "scenario").withColumn("mark", mark)
+
+
+def retrieval_report(ranks: DataFrame, rates: DataFrame) -> str:
+    """Hit rates by k, then the queries that weren't hit first, worst first."""
+    late = ranks.filter("hit_rank <> 1").orderBy(F.col("hit_rank") != 0, F.desc("hit_rank"), "query_id").select("query_id", "hit_rank")
+    return "# Retrieval\n\n" + markdown_table(rates.orderBy("k")) + "\n## Not first\n\n" + markdown_table(late)
+
+
+def agent_report(marks: DataFrame, budget: DataFrame, order: str) -> str:
+    """Accuracy, a row for each scenario, and what the runs spent."""
+    return "# Diagnosis\n\n" + markdown_table(accuracy(marks)) + "\n## By scenario\n\n" + markdown_table(by_scenario(marks, order)) + "\n## Budget\n\n" + markdown_table(budget)
+
+
+def lab_report(phases: DataFrame, summaries: DataFrame) -> str:
+    """What a scenario's phases measured, and how its requests ended."""
+    return "# Scenario\n\n" + markdown_table(phases) + "\n## Requests\n\n" + markdown_table(summaries)
+
+
 def keep_newest(events: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
     """Retention by count: the newest `most` of each key."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -44,14 +44,15 @@ def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CENTROIDS}, r AS (
-  SELECT q.query_id, c.label, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), q.embedding) DESC, c.vec_id) AS rank FROM embeddings c, q),
-h AS (SELECT query_id, coalesce(min(rank) FILTER (WHERE label = query_id AND rank <= 10), 0) AS hit FROM r GROUP BY 1)
+  SELECT q.query_id, c.vec_id, c.label, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), q.embedding) DESC, c.vec_id) AS rank FROM embeddings c, q),
+h AS (SELECT query_id, coalesce(min(rank) FILTER (WHERE label = query_id AND rank <= 10 AND (query_id % 2 <> 0 OR vec_id % 2 = 1)), 0) AS hit FROM r GROUP BY 1)
 SELECT k, round(avg(CASE WHEN hit BETWEEN 1 AND k THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM h, (SELECT CAST(unnest([1, 3, 5, 10]) AS INTEGER) AS k) GROUP BY k""")
 def hit_rate_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "embeddings")
     queries = label_centroids(chunks)
-    found = retrieval.knn_batch(chunks, queries, 10, key="vec_id").select("query_id", "rank", F.col("label").cast("string").alias("source"), F.lit("").alias("content"))
-    labels = queries.select("query_id", F.col("query_id").cast("string").alias("source"), F.lit("").alias("must_contain"))
+    content = F.concat(F.lit("chunk "), F.col("vec_id") % 2)
+    found = retrieval.knn_batch(chunks, queries, 10, key="vec_id").select("query_id", "rank", F.col("label").cast("string").alias("source"), content.alias("content"))
+    labels = chunks.select(F.col("label").alias("query_id")).distinct().select("query_id", F.col("query_id").cast("string").alias("source"), F.when(F.col("query_id") % 2 == 0, "chunk 1").otherwise("").alias("must_contain"))
     return retrieval.hit_rate(retrieval.first_hits(queries, found, labels), 1, 3, 5, 10).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
@@ -59,13 +60,18 @@ def hit_rate_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    return retrieval.containing(docs, items).select("item_id", "doc_id")
+    return retrieval.containing(docs, items, "doc_id").select("item_id", "doc_id")
 
 
-@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = 'src' || (b.item_id % 5) AND contains(d.text, b.text))")
 def unresolved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    return items.join(label_match(spark, sf_dir), "item_id", "left_anti").select("item_id")
+    labels = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 5).alias("source"), F.col("text").alias("must_contain"))
+    return retrieval.unresolved_labels(labels, table(spark, sf_dir, "documents").select("source", F.col("text").alias("content"))).select("item_id")
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def unmatched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").join(label_match(spark, sf_dir), "item_id", "left_anti").select("item_id")
 
 
 @query("""WITH h AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, strlen(text) AS bytes FROM documents),

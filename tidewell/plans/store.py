@@ -51,11 +51,13 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type").distinct()
 
 
-@query("""SELECT o_custkey, count(*) AS rows, count(*) FILTER (WHERE o_orderstatus IN ('O','P') AND n > 1) AS conflicts FROM (
-  SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderstatus IN ('O','P') ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1""")
+@query("""WITH n AS (SELECT o_custkey, o_orderstatus IN ('O','P') AS active, row_number() OVER (PARTITION BY o_custkey, o_orderstatus IN ('O','P') ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 <> 0),
+h AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus IN ('O','P'))
+SELECT o_custkey, count(*) AS rows, count(*) FILTER (WHERE active AND (n > 1 OR o_custkey IN (SELECT o_custkey FROM h))) AS conflicts FROM n GROUP BY 1""")
 def active_unique_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
-    judged = store.insert_unless_active(new.limit(0), new, "o_custkey", "o_orderkey", ["O", "P"])
+    """A third of the orders is in the table before."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
+    judged = store.insert_unless_active(rows.filter("o_orderkey % 3 = 0"), rows.filter("o_orderkey % 3 <> 0"), "o_custkey", "o_orderkey", ["O", "P"])
     return judged.groupBy("o_custkey").agg(F.count("*").alias("rows"), F.count_if("conflict").alias("conflicts"))
 
 

@@ -63,18 +63,64 @@ def value_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("value > 0").select("event_id", T.format_value(F.col("value") * 1.5).cast("double").alias("shown"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS t FROM documents)
-SELECT doc_id, count(*) AS chunks, CAST(sum({_TOKENS.replace('@', 't')}) AS BIGINT) AS tokens FROM p WHERE trim(t) <> '' GROUP BY 1""")
-def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test documents have no blank lines, so a document is one paragraph and one chunk, over budget or not."""
-    made = chunking.chunks(chunking.text_sections(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
-    return made.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+#: Documents whose every third sentence ends a paragraph, packed into chunks of 400 tokens: tables unit and chunk.
+PACKED_SQL = f"""WITH RECURSIVE broken AS (SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda x, i: x || CASE WHEN i % 3 = 0 THEN '.' || chr(10) || chr(10) ELSE '. ' END), '') AS t FROM documents),
+trimmed AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: rtrim(x, ' ' || chr(9))), chr(10)) AS t FROM broken),
+part AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(t, '\\n\\n+'), lambda x: trim(x, chr(10))), lambda x: x <> '')) AS p, generate_subscripts(list_filter(list_transform(regexp_split_to_array(t, '\\n\\n+'), lambda x: trim(x, chr(10))), lambda x: x <> ''), 1) AS i FROM trimmed),
+unit AS (SELECT doc_id, i, p, 8 * (length(p) - length(regexp_replace(p, '{_CJK}', '', 'g'))) + 3 * length(regexp_replace(p, '{_CJK}', '', 'g')) AS w FROM part),
+pack AS (SELECT doc_id, i, w AS used, 0 AS c FROM unit WHERE i = 1 UNION ALL
+  SELECT u.doc_id, u.i, CASE WHEN used + 6 + u.w <= 4800 THEN used + 6 + u.w ELSE u.w END, CASE WHEN used + 6 + u.w <= 4800 THEN c ELSE c + 1 END FROM pack JOIN unit u ON u.doc_id = pack.doc_id AND u.i = pack.i + 1),
+chunk AS (SELECT doc_id, c, string_agg(p, chr(10) || chr(10) ORDER BY i) AS content, count(*) AS units FROM pack JOIN unit USING (doc_id, i) GROUP BY 1, 2)"""
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """docs whose every third sentence ends a paragraph."""
+    ends = F.transform(F.split("text", r"\. "), lambda x, i: F.concat(x, F.when(i % 3 == 2, F.lit(".\n\n")).otherwise(F.lit(". "))))
+    return docs.withColumn("text", F.array_join(ends, ""))
 
 
-@query()
+@query(PACKED_SQL + f" SELECT doc_id, CAST(c AS INTEGER) AS chunk_index, {_TOKENS.replace('@', 'content')} AS tokens, md5(content) AS content_md5 FROM chunk")
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text in paragraphs of three sentences, packed under the budget."""
+    docs = paragraphs(table(spark, sf_dir, "documents"))
+    made = chunking.chunks(chunking.text_sections(docs, "doc_id"), "doc_id")
+    return made.select("doc_id", "chunk_index", "tokens", F.md5("content").alias("content_md5"))
+
+
+_W = "(8 * (length(@) - length(regexp_replace(@, '" + _CJK + "', '', 'g'))) + 3 * length(regexp_replace(@, '" + _CJK + "', '', 'g')))"
+_LEVELS = [1, 2, 2, 3, 3]
+_MARKDOWN_SQL = f"""WITH RECURSIVE line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+unit AS (SELECT doc_id, i // 6 AS k, i, regexp_replace('x' || raw, '[ \\t\\n]+$', '') AS t FROM line),
+titled AS (SELECT doc_id, i // 6 AS k, ({_LEVELS})[CAST(i // 6 % 5 AS INTEGER) + 1] AS level, trim(regexp_replace(left('x' || raw, 40), '(^|[ \\t]+)#+[ \\t]*$', '')) AS title FROM line WHERE i % 6 = 0),
+pathed AS (SELECT *, max(k) FILTER (WHERE level = 1) OVER w AS k1, max(k) FILTER (WHERE level = 2) OVER w AS k2 FROM titled WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+named AS (SELECT p.*, CASE p.level WHEN 1 THEN '' WHEN 2 THEN a.title ELSE a.title || ' > ' || b.title END AS parent FROM pathed p LEFT JOIN titled a ON a.doc_id = p.doc_id AND a.k = k1 LEFT JOIN titled b ON b.doc_id = p.doc_id AND b.k = k2),
+weighed AS (SELECT doc_id, k, i, t, {_W.replace('@', 't')} AS w FROM unit),
+body AS (SELECT doc_id, k, CAST(sum(w) + 6 * (count(*) - 1) AS BIGINT) AS bw, string_agg(t, chr(10) || chr(10) ORDER BY i) AS body FROM weighed GROUP BY 1, 2),
+section AS (SELECT *, CASE WHEN parent = '' THEN title ELSE parent || ' > ' || title END AS own, CASE WHEN parent = '' THEN 0 ELSE {_W.replace('@', 'parent')} + 6 END AS pw, bw + 3 * (level + 1) + {_W.replace('@', 'title')} + 6 AS w,
+  repeat('#', CAST(level AS INTEGER)) || ' ' || title || chr(10) || chr(10) || body AS whole FROM named JOIN body USING (doc_id, k)),
+run AS (SELECT doc_id, k, CAST(w AS BIGINT) AS used, level, parent, 0 AS r FROM section WHERE k = 0 UNION ALL
+  SELECT s.doc_id, s.k, CASE WHEN goes THEN used + 6 + s.w ELSE s.w END, s.level, s.parent, CASE WHEN goes THEN r ELSE r + 1 END
+  FROM (SELECT run.*, s.k AS k2, s.level = run.level AND s.parent = run.parent AND used + s.pw <= 4800 AND used + 6 + s.w + s.pw <= 4800 AS goes FROM run JOIN section s ON s.doc_id = run.doc_id AND s.k = run.k + 1) x JOIN section s ON s.doc_id = x.doc_id AND s.k = x.k2),
+size AS (SELECT doc_id, r, count(*) AS n FROM run GROUP BY 1, 2),
+lone AS (SELECT s.*, r, {_W.replace('@', 'own')} + 6 AS ow FROM section s JOIN run USING (doc_id, k) JOIN size USING (doc_id, r) WHERE n = 1),
+pack AS (SELECT u.doc_id, u.k, r, ow, i, u.w AS used, 0 AS c FROM lone JOIN weighed u ON u.doc_id = lone.doc_id AND u.k = lone.k WHERE bw + ow > 4800 AND i % 6 = 0 UNION ALL
+  SELECT u.doc_id, u.k, r, ow, u.i, CASE WHEN used + 6 + u.w + ow <= 4800 THEN used + 6 + u.w ELSE u.w END, CASE WHEN used + 6 + u.w + ow <= 4800 THEN c ELSE c + 1 END FROM pack JOIN weighed u ON u.doc_id = pack.doc_id AND u.k = pack.k AND u.i = pack.i + 1),
+made AS (SELECT doc_id, r, 0 AS c, min(parent) AS path, string_agg(whole, chr(10) || chr(10) ORDER BY k) AS t FROM run JOIN section USING (doc_id, k, parent) JOIN size USING (doc_id, r) WHERE n > 1 GROUP BY 1, 2
+  UNION ALL SELECT doc_id, r, 0, own, body FROM lone WHERE bw + ow <= 4800
+  UNION ALL SELECT p.doc_id, p.r, p.c, min(own), string_agg(u.t, chr(10) || chr(10) ORDER BY u.i) FROM pack p JOIN weighed u USING (doc_id, k, i) JOIN lone USING (doc_id, k) GROUP BY 1, 2, 3),
+chunk AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r, c) - 1 AS INTEGER) AS chunk_index, path AS heading_path, CASE WHEN path = '' THEN t ELSE path || chr(10) || chr(10) || t END AS content FROM made)
+SELECT doc_id, chunk_index, heading_path, {_TOKENS.replace('@', 'content')} AS tokens, md5(content) AS content_md5 FROM chunk"""
+
+
+@query(_MARKDOWN_SQL)
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as Markdown: its lines are paragraphs, every sixth has its first words as a heading above the whole line."""
+    """Each document as Markdown: its lines are paragraphs, every sixth has its first characters as a heading above the whole line; a letter before each line keeps it from being anything else."""
     docs = table(spark, sf_dir, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 6 == 0, F.concat(F.repeat(F.lit("#"), (i / 6).cast("int") % 3 + 1), F.lit(" "), F.substring(x, 1, 40), F.lit("\n\n"), x)).otherwise(x))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: _markdown_line(F.concat(F.lit("x"), x), i))
     made = chunking.chunks(chunking.markdown_sections(docs.select("doc_id", F.array_join(lines, "\n\n").alias("text")), "doc_id"), "doc_id")
     return made.select("doc_id", "chunk_index", "heading_path", "tokens", F.md5("content").alias("content_md5"))
+
+
+def _markdown_line(line, i):
+    level = F.element_at(F.array(*map(F.lit, _LEVELS)), (F.floor(i / 6) % len(_LEVELS) + 1).cast("int"))
+    return F.when(i % 6 == 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.substring(line, 1, 40), F.lit("\n\n"), line)).otherwise(line)

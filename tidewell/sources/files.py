@@ -19,10 +19,32 @@ def binary_files(spark: SparkSession, path: str, most: int = UPLOAD_BYTES) -> Da
 
 
 def log_files(spark: SparkSession, path: str) -> DataFrame:
-    """service, line_no, raw: one row a line in file order; the service is the file's name."""
-    files = spark.read.format("binaryFile").load(path)
-    lines = F.split(F.decode("content", "UTF-8"), "\n")
-    return files.select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.log$", "").alias("service"), F.posexplode(lines).alias("line_no", "raw")).filter("raw <> ''")
+    """service, line_no, raw: one row a line in file order; the service is the file's name.
+
+    Files are read in splits; lines are numbered in their split, and splits in their file.
+    """
+    meta = "_metadata.file_path", "_metadata.file_block_start"
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col(meta[0]).alias("path"), F.col(meta[1]).alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    inside = Window.partitionBy("path", "block")
+    lines = lines.withColumn("n", F.row_number().over(inside.orderBy("at")) - 1)
+    sizes = lines.groupBy("path", "block").agg(F.count("*").alias("lines"))
+    before = sizes.select("path", "block", (F.sum("lines").over(Window.partitionBy("path").orderBy("block")) - F.col("lines")).alias("before"))
+    service = F.regexp_replace(F.substring_index("path", "/", -1), r"\.log$", "")
+    return lines.join(before, ["path", "block"]).filter("raw <> ''").select(service.alias("service"), (F.col("before") + F.col("n")).alias("line_no"), "raw")
+
+
+def save_file(content: bytes, folder: str, name: str, most: int = UPLOAD_BYTES) -> dict:
+    """Write one upload under a bare name, never over another: size_bytes, content_sha256. Refuses too large ones and names with a path in them."""
+    import hashlib
+    import os
+
+    if not name or name in (".", "..") or any(c in name for c in "/\\\0"):
+        raise ValueError(f"not a file name: {name!r}")
+    if len(content) > most:
+        raise ValueError(f"{len(content)} bytes; at most {most}")
+    with open(os.path.join(folder, name), "xb") as f:
+        f.write(content)
+    return {"size_bytes": len(content), "content_sha256": hashlib.sha256(content).hexdigest()}
 
 
 def eval_set(spark: SparkSession, path: str) -> DataFrame:

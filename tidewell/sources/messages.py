@@ -40,6 +40,33 @@ def split_id(event_id: Column) -> Column:
     return F.struct(F.substring_index(event_id, "-", 1).cast("long").alias("ms"), F.substring_index(event_id, "-", -1).cast("long").alias("seq"))
 
 
+def next_id(last_id: Column, now_ms: Column) -> Column:
+    """The id after last_id (null for none): of this millisecond, or of the last one's if the clock stands behind; ids rise even when a run's events are trimmed."""
+    last = split_id(last_id)
+    fresh = last_id.isNull() | (now_ms > last["ms"])
+    return F.concat_ws("-", F.when(fresh, now_ms).otherwise(last["ms"]).cast("string"), F.when(fresh, 0).otherwise(last["seq"] + 1).cast("string"))
+
+
+def trimmed(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """events without those up to their run's mark (run_id, upto), the last id when the run was trimmed."""
+    place, mark = split_id(F.col("id")), split_id(F.col("_upto"))
+    gone = (place["ms"] < mark["ms"]) | (place["ms"] == mark["ms"]) & (place["seq"] <= mark["seq"])
+    last = marks.select("run_id", F.col("upto").alias("_upto"))
+    return events.join(last, "run_id", "left").filter(F.col("_upto").isNull() | ~gone).drop("_upto")
+
+
+def follow(stream: DataFrame, field: str) -> DataFrame:
+    """The readable messages of a stream, with their headers; malformed ones are passed over and their offsets with them."""
+    return triage(stream, field).filter("disposition = 'ok'").drop("disposition")
+
+
+def check_partitions(messages: DataFrame, wanted: int) -> None:
+    """Refuse a log with fewer partitions than wanted; one that has no message yet will have as many as are written."""
+    n = messages.agg(F.count_distinct("partition")).first()[0]
+    if 0 < n < wanted:
+        raise ValueError(f"{n} partitions; {wanted} are wanted")
+
+
 def replay(events: DataFrame, run_id: str, after: str = "0-0") -> DataFrame:
     """A run's events strictly after an id, oldest first."""
     ms, _, seq = after.partition("-")

@@ -19,8 +19,8 @@ OUTPUT = "id STRING, ts TIMESTAMP, action STRING, before STRING, after STRING, a
 class Lifecycle(StatefulProcessor):
     """Rows: id, ts, action (create, claim, ready, fail). Transitions are those of the batch operators."""
 
-    def __init__(self, lease_seconds: int = 600, max_attempts: int = 3):
-        self.lease_ms, self.max_attempts = 1000 * lease_seconds, max_attempts
+    def __init__(self, lease_seconds: int = 600):
+        self.lease_ms = 1000 * lease_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -32,7 +32,7 @@ class Lifecycle(StatefulProcessor):
         out = []
         for action, ts in zip(events["action"], events["ts"]):
             ms, before = int(ts.timestamp() * 1000), status
-            free = status == "PENDING" or status == "FAILED" and attempts < self.max_attempts or status == "PROCESSING" and started < ms - self.lease_ms
+            free = status in ("PENDING", "FAILED") or status == "PROCESSING" and started < ms - self.lease_ms
             if action == "create" and not status:
                 status = "PENDING"
             elif action == "claim" and free:
@@ -51,9 +51,9 @@ class Lifecycle(StatefulProcessor):
         pass
 
 
-def lifecycle(events: DataFrame, lease_seconds: int = 600, max_attempts: int = 3) -> DataFrame:
+def lifecycle(events: DataFrame, lease_seconds: int = 600) -> DataFrame:
     """Transitions of the streaming rows id, ts, action; needs the RocksDB state store."""
-    return events.groupBy("id").transformWithStateInPandas(Lifecycle(lease_seconds, max_attempts), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+    return events.groupBy("id").transformWithStateInPandas(Lifecycle(lease_seconds), outputStructType=OUTPUT, outputMode="append", timeMode="none")
 
 
 class Leases(Lifecycle):
@@ -74,8 +74,8 @@ class Leases(Lifecycle):
             yield pd.DataFrame([(key[0], at, "lease_expired", status, "PENDING", attempts, True)], columns=["id", "ts", "action", "before", "after", "attempts", "accepted"])
 
 
-def leases(events: DataFrame, lease_seconds: int = 600, max_attempts: int = 3) -> DataFrame:
+def leases(events: DataFrame, lease_seconds: int = 600) -> DataFrame:
     """Transitions, with leases ended by timers; events need a watermark on ts."""
     return events.groupBy("id").transformWithStateInPandas(
-        Leases(lease_seconds, max_attempts), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"
+        Leases(lease_seconds), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"
     )

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/") + f"/tidewell-stream-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, or on this machine where it is unset and all runs here."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return (folder or tempfile.gettempdir()).rstrip("/") + f"/tidewell-stream-{uuid.uuid4().hex}"
 
 
 def once_per_batch(path: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
