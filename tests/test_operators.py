@@ -30,7 +30,7 @@ def test_knn_filters(spark):
     names = lambda **f: [r["chunk_id"] for r in retrieval.knn(chunks, [1.0, 0.0], **f).collect()]
     assert names(service="payment") == ["alpha", "gamma"] and names(document_type="postmortem") == ["gamma"]
     assert names(service="payment", document_type="runbook") == ["alpha"] and names(service="billing") == [] and len(names(k=2)) == 2
-    assert retrieval.clamp_k(0) == 10 and retrieval.clamp_k(99) == 50 and retrieval.candidates_for(1) == 50
+    assert retrieval.clamp_k(0) == 10 and retrieval.clamp_k(99) == 50
 
 
 def test_hit_rate(spark):

@@ -79,7 +79,7 @@ def test_small_ones(spark):
     assert value(spark, T.resume_after(F.lit("12-3"))) == "12-3" and value(spark, T.resume_after(F.lit("x"))) == "0-0"
     assert value(spark, T.heading_path(F.array(F.lit("A"), F.lit(""), F.lit("B")))) == "A > B"
     assert value(spark, T.embedded_text(F.lit("A"), F.lit("b"))) == "A\n\nb" and value(spark, T.embedded_text(F.lit(""), F.lit("b"))) == "b"
-    assert value(spark, T.budget_message(F.lit(7), F.lit(8), F.lit(1), F.lit(6))).endswith("unless this step will settle it.")
+    assert value(spark, T.budget_message(F.lit(7), F.lit(8), F.lit(1), F.lit(6))).endswith("finish unless it decides the matter.")
     assert value(spark, T.wire_time(F.lit("2026-01-02 03:04:05.678901").cast("timestamp"))) == "2026-01-02T03:04:05.678901Z"
     assert value(spark, T.rounded_seconds(F.lit(1.23456))) == 1.23 and value(spark, T.rounded_seconds(F.lit(0.0012345))) == 0.001
     assert value(spark, T.sse_frame(F.lit("1-0"), F.lit("e"), F.lit("{}"))) == "id: 1-0\nevent: e\ndata: {}\n\n"
