@@ -106,6 +106,39 @@ def test_repeats_leave_other_columns(docs):
         assert kept[i]["size"] == "x" and (text is None or kept[i]["n_chars"] == len(text))
 
 
+def test_the_array_decides(spark, docs, monkeypatch):
+    """Without the suffix arrays nothing is removed."""
+    ids = np.array([5, 3, 9, 3, 7])
+    rng = np.random.default_rng(0)
+    text = rng.integers(97, 100, (5, suffix_dedup.WIDE)).astype(np.uint8)
+    text[1:4] = text[0]
+    text[2, -1] ^= 1  # shares all windows but the last with the first
+    left, n = np.full(5, 30), np.full(5, suffix_dedup.SPAN)
+    masks = suffix_dedup.seen_earlier(text, left, n, ids)
+    seen = (masks[:, None] >> np.arange(suffix_dedup.SPAN, dtype=np.uint32)) & 1
+    assert seen.tolist() == [[1] * 31, [0] * 31, [1] * 30 + [0], [0] * 31, [0] * 31] and (masks >= suffix_dedup.PLACED).all()
+    monkeypatch.setattr(suffix_dedup, "_alone", lambda *x: None)
+    monkeypatch.setattr(suffix_dedup, "_first_documents", lambda *x: None)
+    masks = suffix_dedup.seen_earlier(text, left, n, ids)
+    assert not masks.any()
+    block = suffix_dedup.Block(np.array([1, 2]), [b"x" * 90] * 2)
+    memory = suffix_dedup._pack(np.array([0, 90], np.uint32), np.array([9, 9], np.uint8), np.zeros(2, np.uint32), np.array([False, True]))
+    told = lambda mask: [{"bucket": -1, "body": memory}, {"bucket": 0, "body": np.array([mask], np.uint32).tobytes()}]
+    assert not suffix_dedup.removed_bytes(block, told(0)).any() and suffix_dedup.removed_bytes(block, told(1 << 31)).sum() == 58
+
+
+def test_rows_of_one_hash_are_told_apart(monkeypatch):
+    rows = np.random.default_rng(1).integers(0, 3, (400, 8)).astype(np.uint8)
+    rows[:, 2:] = 0
+    extra = np.arange(400) % 2
+    want = np.unique(np.concatenate([rows, extra[:, None]], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    for hashes in (suffix_dedup.row_hashes, lambda r, e: (np.zeros(len(r), np.uint64),) * 2):
+        monkeypatch.setattr(suffix_dedup, "row_hashes", hashes)
+        order, begin, which = suffix_dedup.row_classes(rows, extra)
+        assert len(set(zip(which.tolist(), want.tolist()))) == len(set(want.tolist())) == len(begin)
+        assert (np.diff(which[order]) >= 0).all() and (which[order[begin]] == np.arange(len(begin))).all()
+
+
 # 2
 
 

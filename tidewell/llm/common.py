@@ -50,14 +50,14 @@ def numbered(df: DataFrame, *order: Column, name: str = "i") -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, at_least: int) -> DataFrame:
-    """df written to the shared folder in buckets of `key`, so that joins on the key leave it where it is.
+    """df written to the shared folder in buckets of `key`, a file for each, so that joins on the key leave it where it is.
 
     Only a table can have buckets; its name leaves the catalog at once, its files stay.
     """
     spark = df.sparkSession
     n = min(100_000, max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     name = f"tidewell_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table

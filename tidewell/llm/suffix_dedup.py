@@ -10,12 +10,13 @@ equal places.
 2. Blocks send the stretches of text around shared anchors to the anchor's bucket, one for each
    distinct stretch, with the smallest doc_id that has it. Windows around a hot anchor are sent one
    by one to the window's own bucket, so that no bucket receives an unbounded group.
-3. A bucket builds suffix arrays over its differing stretches. The windows that are equal stand
+3. A bucket builds suffix arrays over its distinct stretches. The windows that are equal stand
    together in them, which gives the first document of each; it answers with the windows of each
-   stretch that some smaller document has.
+   stretch that some smaller document has. Windows that no other stretch can share are one symbol.
 4. Blocks turn the answers into removed bytes.
 
-The suffix array is built by linear grouping (Lyndon groups, see `suffix_array`).
+The suffix array is built by linear grouping (Lyndon groups, see `suffix_array`). Hashes bring rows
+together; where two rows meet, their bytes are compared.
 
 Defined results: a null text is empty; documents under WINDOW bytes lose nothing; rows with one
 doc_id don't remove each other's bytes; a null doc_id counts as larger than all; a text of any
@@ -47,6 +48,10 @@ BUCKET_ANCHORS = 400_000
 BUCKET_BYTES = 4 << 20
 HOT_DOCUMENTS = 20_000
 SYMBOLS = 150_000
+#: Rows whose bytes are compared at a time.
+CONFIRMED = 50_000
+#: Bit of an answer that says that the stretch has its place in the array.
+PLACED = np.uint32(1 << 31)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -174,6 +179,23 @@ def _classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return order, np.flatnonzero(new), which
 
 
+def row_classes(rows: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_classes of the rows of a uint8 matrix with their extra numbers: by hashes, confirmed byte by byte."""
+    order, begin, which = _classes(*row_hashes(rows, extra))
+    words = np.ascontiguousarray(rows).view("<u8")
+    for low in range(1, len(order), CONFIRMED):
+        here, before = order[low : low + CONFIRMED], order[low - 1 : low + CONFIRMED - 1][: len(order) - low]
+        same = which[here] == which[before]
+        if ((words[here] != words[before]).any(axis=1) | (extra[here] != extra[before]))[same].any():  # two rows of one hash
+            full = np.concatenate([words, extra.astype(np.int64).view("<u8")[:, None]], axis=1)
+            order = np.lexsort(full.T)
+            new = np.concatenate([[True], (full[order[1:]] != full[order[:-1]]).any(axis=1)])
+            which = np.empty(len(rows), np.int64)
+            which[order] = np.cumsum(new) - 1
+            return order, np.flatnonzero(new), which
+    return order, begin, which
+
+
 def gathered(data: np.ndarray, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """Stretches of data as rows of `width` bytes, zero beyond their length."""
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
@@ -302,7 +324,7 @@ def _ask_anchors(buckets: int):
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
                 keys, n = np.unique(_keys(_open(blob)[1].runs()[4], buckets), return_counts=True)
-                at, value, n = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
+                at, value, n = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32), n.astype(np.uint32)
                 out = [(block, b, _pack(value[s], n[s])) for b, s in _by_bucket(at)]
                 if out:
                     yield _batch(*_MESSAGE, out)
@@ -312,7 +334,7 @@ def _ask_anchors(buckets: int):
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
     """For each value that a block sent: 0 if no other block has it, 1 if one has, 2 if it is hot."""
-    parts = [_unpack(x, "<u4", "u1") for x in table.column("body").to_pylist()]
+    parts = [_unpack(x, "<u4", "<u4") for x in table.column("body").to_pylist()]
     _, which, blocks = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True, return_counts=True)
     docs = np.bincount(which, weights=np.concatenate([n for _, n in parts]))
     flag = (blocks > 1).astype(np.uint8)
@@ -359,12 +381,11 @@ def stretches(block: int, docs: Block, flags: np.ndarray, buckets: int, stretch_
     run = np.concatenate([cold, one])
     left = anchor[run] - lo
     text = gathered(docs.data, lo, n + WINDOW - 1, WIDE)
-    a, b = row_hashes(text, left * 64 + n)
-    order, begin, which = _classes(a, b)
+    order, begin, which = row_classes(text, left * 64 + n)
     ids = docs.ids[doc[run]]
     least = np.minimum.reduceat(ids[order], begin)
     shown = order[begin]
-    own = np.where(np.arange(len(run)) < len(cold), h[run], a)[shown]
+    own = np.where(shown < len(cold), h[run[shown]], row_hashes(text[shown], (left * 64 + n)[shown])[0])
     bucket = (own % np.uint64(stretch_buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     shown, least, bucket = shown[by], least[by], bucket[by]
@@ -395,18 +416,19 @@ def _answer_stretches(table: pa.Table) -> pa.Table:
 
 
 def seen_earlier(text: np.ndarray, left: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Per stretch, a bit for each of its windows that a document smaller than the stretch's has.
+    """Per stretch, a bit for each of its windows that a document smaller than the stretch's has, and PLACED.
 
     A stretch has n windows; its anchor begins at byte `left`.
     """
-    a, b = row_hashes(text, left * 64 + n)
-    order, begin, which = _classes(a, b)
+    order, begin, which = row_classes(text, left * 64 + n)
     shown, least = order[begin], np.minimum.reduceat(doc[order], begin)
     width = -(-K // 8) * 8
     anchors = gathered(text[shown].reshape(-1), np.arange(len(shown)) * WIDE + left[shown], np.full(len(shown), K), width)
-    order, begin, symbol = _classes(*row_hashes(anchors, np.zeros(len(shown), np.int64)))
+    order, begin, symbol = row_classes(anchors, np.zeros(len(shown), np.int64))
     members = np.diff(np.append(begin, len(shown)))
-    first = np.repeat(least[:, None], SPAN, axis=1)  # of each window, its smallest document
+    first = np.full((len(shown), SPAN), NO_ID)  # of each window, its smallest document, once the array has it
+    for at in range(0, len(shown), SYMBOLS // 2):
+        _alone(least, np.arange(at, min(len(shown), at + SYMBOLS // 2)), first)
     hard = np.flatnonzero(members[symbol] > 1)
     skip, count = _may_share(text, left, n, shown[hard], symbol[hard])
     order = np.flatnonzero(count > 0)
@@ -423,7 +445,19 @@ def seen_earlier(text: np.ndarray, left: np.ndarray, n: np.ndarray, doc: np.ndar
         at = to
     seen = first[which] < doc[:, None]
     seen &= np.arange(SPAN)[None, :] < n[:, None]
-    return (seen.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    placed = (first[which, 0] <= doc) * PLACED
+    return (seen.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(axis=1, dtype=np.uint32) | placed.astype(np.uint32)
+
+
+def _alone(least: np.ndarray, some: np.ndarray, first: np.ndarray) -> None:
+    """Sort these stretches as one symbol each; what they share with others is sorted byte by byte after that."""
+    string = np.ones(2 * len(some) + 1, np.int64)
+    string[0:-1:2], string[-1] = some + 2, 0
+    order = np.array(suffix_array(string.tolist()))
+    at = order[order % 2 == 0]
+    at = at[at < 2 * len(some)] // 2
+    new = np.flatnonzero(np.concatenate([[True], some[at[1:]] != some[at[:-1]]]))
+    first[some[at]] = np.repeat(np.minimum.reduceat(least[some[at]], new), np.diff(np.append(new, len(at))))[:, None]
 
 
 def _may_share(text: np.ndarray, left: np.ndarray, n: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -440,7 +474,7 @@ def _may_share(text: np.ndarray, left: np.ndarray, n: np.ndarray, rows: np.ndarr
         out, some = np.zeros(len(rows), bool), np.flatnonzero(has)
         if len(some):
             half = gathered(flat, some * WIDE + begin[some], np.full(len(some), HALF), width)
-            order, first, which = _classes(*row_hashes(half, symbol[some]))
+            order, first, which = row_classes(half, symbol[some])
             out[some] = np.diff(np.append(first, len(some)))[which] > 1
         same.append(out)
     skip = np.where(same[0], 0, np.maximum(l - HALF + 1, 0))
@@ -485,7 +519,7 @@ def removed_bytes(docs: Block, told: list[dict] | None) -> np.ndarray:
     if memory is not None:
         lo, n, row, later = _unpack(memory, "<u4", "u1", "<u4", "?")
         mask = np.frombuffer(_joined([x for x in told if x["bucket"] >= 0]), np.uint32)[row]
-        gone = ((mask[:, None] >> np.arange(SPAN, dtype=np.uint32)) & 1).astype(bool) | later[:, None]
+        gone = ((mask[:, None] >> np.arange(SPAN, dtype=np.uint32)) & 1).astype(bool) | (later & (mask >= PLACED))[:, None]
         gone &= np.arange(SPAN)[None, :] < n[:, None]
         r, o = np.nonzero(gone)
         at = lo[r].astype(np.int64) + o
