@@ -2,6 +2,7 @@
 
 A text's zstandard ratio (compressed by raw bytes), over the whole text and over fixed chunks, must
 lie in a band that depends on its length: repetitive text falls below, incompressible text above.
+A chunk that is shorter than the others, the last one or the only one, has the band of its length.
 
 Defined results: a null or empty text has all counts zero and fails the base rules; a text of any
 length is judged whole; repeated rows are judged alike, each in its own row; an empty table gives no rows.
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of the ratio for texts of up to so many bytes: (bytes, lowest, highest).
-BANDS = ((99, 0.0, 99.0), (299, 0.40, 1.20), (999, 0.30, 0.95), (3_999, 0.30, 0.85), (15_999, 0.28, 0.80), (1 << 62, 0.25, 0.78))
+BANDS = ((99, 0.0, 99.0), (299, 0.40, 1.20), (999, 0.30, 0.90), (3_999, 0.30, 0.74), (15_999, 0.28, 0.70), (1 << 62, 0.25, 0.70))
 CHUNK_BYTES = 4096
-#: Chunks, of CHUNK_BYTES or a tail of half as many at least, have a band of their own; so large a share of them may lie outside.
-CHUNK_BAND = (0.15, 0.80)
+#: Chunks of CHUNK_BYTES have a band of their own; chunks with so large a share of the bytes may lie outside.
+CHUNK_BAND = (0.15, 0.72)
 CHUNK_SHARE = 0.25
 LEVEL = 3
 MIN_WORDS = 50
@@ -50,26 +51,33 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def ratios(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int, int]:
-    """The whole text's ratio, its number of chunks and how many of them lie outside the band."""
+def band(n: int) -> tuple[float, float]:
+    """The limits of the ratio of a text of n bytes."""
+    return next((low, high) for most, low, high in BANDS if n <= most)
+
+
+def ratios(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int, int, int]:
+    """The whole text's ratio, its number of chunks, how many of them lie outside their bands, and the bytes of these."""
     if not data:
-        return 0.0, 0, 0
-    n = bad = 0
+        return 0.0, 0, 0, 0
+    whole = len(compressor.compress(data)) / len(data)
+    n = bad = outside = 0
     for at in range(0, len(data), CHUNK_BYTES):
         chunk = data[at : at + CHUNK_BYTES]
-        if 2 * len(chunk) >= CHUNK_BYTES:
-            n += 1
-            bad += not CHUNK_BAND[0] <= len(compressor.compress(chunk)) / len(chunk) <= CHUNK_BAND[1]
-    return len(compressor.compress(data)) / len(data), n, bad
+        low, high = CHUNK_BAND if len(chunk) == CHUNK_BYTES else band(len(chunk))
+        n += 1
+        if not low <= (whole if len(chunk) == len(data) else len(compressor.compress(chunk)) / len(chunk)) <= high:
+            bad, outside = bad + 1, outside + len(chunk)
+    return whole, n, bad, outside
 
 
 def judge(text: str, compressor: zstandard.ZstdCompressor) -> tuple:
     n, chars, symbols, dup_lines, repeated = base_counts(text)
     data = text.encode("utf-8", "surrogatepass")
-    ratio, chunks, bad = ratios(data, compressor)
+    ratio, chunks, bad, outside = ratios(data, compressor)
     failed = n < MIN_WORDS or 100 * repeated > 50 * n
-    low, high = next((lo, hi) for most, lo, hi in BANDS if len(data) <= most)
-    return n, chars, symbols, dup_lines, repeated, failed, not failed and low <= ratio <= high and bad <= CHUNK_SHARE * chunks, ratio, chunks, bad
+    low, high = band(len(data))
+    return n, chars, symbols, dup_lines, repeated, failed, not failed and low <= ratio <= high and outside <= CHUNK_SHARE * len(data), ratio, chunks, bad
 
 
 def assess(docs: DataFrame) -> DataFrame:
