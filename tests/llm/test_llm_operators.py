@@ -1,5 +1,6 @@
 """Each operator against a brute-force version and on odd rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import base64
 import hashlib
 import re
 import time
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tidewell.llm import html_extract, license_scan, mixing, packing, quality, sharding, simhash, suffix_dedup, topk, url_filter
@@ -162,14 +164,66 @@ def test_quality(docs, empty):
     assert rows_of(quality.assess(empty)) == []
 
 
+class Ratio:
+    """A compressor whose ratio is `whole` for the whole text and `part` for less."""
+
+    def __init__(self, size, whole, part):
+        self.size, self.whole, self.part = size, whole, part
+
+    def compress(self, data):
+        return b"x" * round(len(data) * (self.whole if len(data) == self.size else self.part))
+
+
+def distinct_words(n, size):
+    """A text of `size` bytes and n words, none repeated."""
+    words = [f"w{k:04d}" for k in range(n)]
+    return " ".join(words)[: size - 1] + "e" * (size - len(" ".join(words)[: size - 1]))
+
+
+@pytest.mark.parametrize("k", range(1, len(quality.BANDS)))
+def test_both_sides_of_every_band(k):
+    most, low, high = quality.BANDS[k]
+    size = min(most, 40_000)
+    text = distinct_words(50, size) if size < 400 else distinct_words(60, size)
+    kept = lambda whole, part: quality.judge(text, Ratio(len(text), whole, part))[6]
+    middle = sum(quality.CHUNK_BAND) / 2
+    assert len(text) == size and quality.base_counts(text)[0] >= 50
+    assert kept(low + 0.01, middle) and kept(high - 0.01, middle)
+    assert not kept(low - 0.01, middle) and not kept(high + 0.01, middle)
+    if size > quality.CHUNK_BYTES:  # chunks have a band of their own
+        whole = (low + high) / 2
+        assert kept(whole, quality.CHUNK_BAND[0] + 0.01) and kept(whole, quality.CHUNK_BAND[1] - 0.01)
+        assert not kept(whole, quality.CHUNK_BAND[0] - 0.01) and not kept(whole, quality.CHUNK_BAND[1] + 0.01)
+
+
+def noise(n):
+    """n words of random base64."""
+    return " ".join(base64.b64encode(np.random.default_rng(k).bytes(45)).decode() for k in range(n))
+
+
+def test_share_of_chunks_and_tails():
+    c = zstandard.ZstdCompressor(level=quality.LEVEL)
+    rng = np.random.default_rng(6)
+    prose = " ".join("".join(rng.choice(list("aeioustrnlmpc"), rng.integers(3, 9))) for _ in range(6000))[: 8 * quality.CHUNK_BYTES]
+    flat = ("all the same again " * 400)[: quality.CHUNK_BYTES]
+    assert quality.ratios(prose.encode(), c)[1:] == (8, 0, 0)
+    assert quality.ratios((flat + prose[: -len(flat)]).encode(), c)[1:] == (8, 1, 4096)
+    assert quality.ratios((prose + "tail " * 100).encode(), c)[1:] == (9, 1, 500)
+    for text in (prose, prose[:5000], prose[:700]):
+        ratio, n, bad, _ = quality.ratios(text.encode(), c)
+        fresh = lambda x: len(zstandard.compress(x.encode(), quality.LEVEL)) / len(x)
+        assert ratio == pytest.approx(fresh(text)) and n == -(-len(text) // 4096) and bad == 0
+
+
 def test_compression_bands(spark):
     rng = np.random.default_rng(5)
-    prose = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400))
-    noise = " ".join(rng.bytes(60).hex() + "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 60))) for _ in range(80))
+    prose = " ".join("".join(rng.choice(list("aeioustrnl"), rng.integers(2, 9))) for _ in range(400))
     spam = "\n".join(f"buy number {k % 17} now" for k in range(300))
-    got = {r["doc_id"]: r["kept"] for r in quality.assess(frame(spark, [(1, prose), (2, spam), (3, noise)])).collect()}
-    assert got == {1: True, 2: False, 3: got[3]}
-    assert [r["doc_id"] for r in quality.keep_good(frame(spark, [(1, prose), (2, spam)])).collect()] == [1]
+    codes = " ".join(np.random.default_rng(k).bytes(30).hex() for k in range(60))
+    rows = [(1, prose), (2, spam), (3, noise(80)), (4, noise(70) + "\n" + prose)]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.assess(frame(spark, rows)).collect()}
+    assert got == {1: (False, True), 2: (True, False), 3: (False, False), 4: (False, False)}
+    assert [r["doc_id"] for r in quality.keep_good(frame(spark, [*rows, (5, codes)])).collect()] == [1, 5]
 
 
 # 3
@@ -201,7 +255,7 @@ def test_automaton(template, text, accepted):
 
 
 def test_templates_match(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    mit = MIT + " subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + AS_IS
     got = license_scan.scan_licenses(frame(spark, [(1, mit), (2, mit.replace("hereby", "not")), (3, "Licensed under the Apache License, Version 2.0 (CC BY-NC 4.0)")])).orderBy("doc_id").collect()
     assert [r["labels"] for r in got] == ["mit", "", "apache-2,cc-by-nc"]
 
@@ -663,6 +717,63 @@ def test_links_between_close_fingerprints(spark, monkeypatch, dense):
     assert sorted(map(sorted, parts.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+def pattern_of(template):
+    """The template as a regular expression over words between single spaces."""
+    out = template
+    for n in sorted({m[1] for m in re.finditer(r"\{\{(\d+)\}\}", template)}):
+        out = out.replace("{{" + n + "}}", f"<any{n}>")
+    parts = []
+    for token in re.findall(r"\[\[|\]\]|<any\d+>|[^\s\[\]<>]+", out):
+        parts.append("(?:" if token == "[[" else ")?" if token == "]]" else f"(?: [^ ]+){{0,{token[4:-1]}}}" if token.startswith("<any") else " " + re.escape(token) + "(?= )")
+    return re.compile("".join(parts))
+
+
+def example(template, rng):
+    """A text that the template accepts: optional regions in or out, any words for the replaceable ones."""
+    text = re.sub(r"\[\[(.*?)\]\]", lambda m: m[1] if rng.random() < 0.5 else "", template)
+    return re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join("name" for _ in range(int(rng.integers(0, int(m[1]) + 1)))), text).split()
+
+
+def test_templates_against_regular_expressions():
+    """Every template's own text, whole and with one mandatory word gone or changed, between other words: labels are those whose expression matches."""
+    patterns = [(label, pattern_of(t)) for label, t in license_scan.TEMPLATES]
+    scanner, rng, hits = license_scan.Scanner(), np.random.default_rng(8), Counter()
+    for label, template in license_scan.TEMPLATES:
+        for change in ("none", "drop", "swap", "none"):
+            words = example(template, rng)
+            at = int(rng.integers(0, len(words)))
+            words = words[:at] + words[at + 1 :] if change == "drop" else [*words[:at], "other", *words[at + 1 :]] if change == "swap" else words
+            text = "Some. text BEFORE, it: " + " ".join(words).capitalize() + "; and after"
+            flat = " " + " ".join(re.findall(r"[0-9a-z]+", text.lower())) + " "
+            want = {x for x, p in patterns if p.search(flat)} | {x for phrase, x in license_scan.PHRASES if f" {phrase} " in flat}
+            got = scanner.scan(text)
+            assert set(filter(None, got[5].split(","))) == want, (label, change, text)
+            assert (got[6] > 0) == bool(want) and got[6] <= 1
+            hits[change] += label in want
+    n = len(license_scan.TEMPLATES)
+    assert n >= 50 and hits["none"] == 2 * n and hits["drop"] < n / 2 and hits["swap"] < n / 2
+
+
+def test_a_template_needs_a_mandatory_word():
+    with pytest.raises(ValueError, match="no mandatory word"):
+        license_scan.compile_template("[[may be]] {{3}}")
+
+
+def test_places_take_linear_time():
+    start = time.time()
+    got = license_scan.Scanner().scan("cc by nc " * 100_000)
+    assert got[1:4] == (100_000, 0, 299_997) and time.time() - start < 10
+
+
+def test_license_repeated_rows(spark):
+    assert [r["labels"] for r in license_scan.scan_licenses(frame(spark, [(1, "CC BY NC")] * 3)).collect()] == ["cc-by-nc"] * 3
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+ISC = "Permission to use, copy, modify, {} distribute this software for any purpose with or without fee is hereby granted"
+ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 
@@ -670,11 +781,14 @@ GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as
 @pytest.mark.parametrize(
     "label,text",
     [
-        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including"),
-        ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"),
-        ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided"),
-        ("bsd-2-clause", BSD + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"),
-        ("bsd-3-clause", BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        ("mit", MIT + " subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + AS_IS),
+        ("mit-0", MIT + ". " + AS_IS),
+        ("", MIT),
+        ("isc", ISC.format("and/or") + ", provided that the above copyright notice and this permission notice appear in all copies. " + ISC_END),
+        ("isc", ISC.format("and") + ", provided that the above copyright notice and this permission notice appear in all copies. " + ISC_END),
+        ("0bsd", ISC.format("and/or") + ". " + ISC_END),
+        ("bsd-2-clause", BSD + BSD_END),
+        ("bsd-3-clause", BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + BSD_END),
         ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
         ("gpl-2", "This program is free software; " + GNU.format("General Public License", 2)),
         ("gpl-3", "This program is free software: " + GNU.format("General Public License", 3)),
