@@ -4,7 +4,8 @@ Documents become token pieces of at most SEQUENCE tokens. The driver sees only t
 piece lengths: it enumerates the patterns of up to three lengths that fill a sequence, fits repeat
 counts to the histogram by non-negative least squares, rounds a share of them down to what is there, and packs
 what is left best-fit with the longest first, still in counts by length. The plan maps the r-th
-piece of a length to a sequence and an offset; ranks are counted per length in many small parts.
+piece of a length to a sequence and an offset; ranks are counted per length in many small parts. A
+piece that fills a sequence is one, and takes no part in plan and ranks.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed one by one;
 an empty table gives no rows; a text of any length is tokenized whole.
@@ -27,14 +28,16 @@ from tidewell.llm.common import saved
 SEQUENCE = 1024
 END_ID = 2
 PART_ROWS = 1_000
+#: Ids of sequences that one piece fills begin here.
+WHOLE = 1 << 61
 #: A tokenizing task remembers so many words at most.
 REMEMBERED = 300_000
 #: Marks that are neither white space, letters nor numbers, and that no contraction holds.
 MARKS = ".,;:!?#$%&*|"
 #: Words or texts that are encoded, and texts that are cut, at a time.
 ENCODED, CUT = 2_000, 200
-NNLS_ROUNDS = 24
 NNLS_COLUMNS = 48
+NNLS_TOLERANCE = 1e-2
 #: So much of each fitted count is tried to be laid out by patterns; best fit may do better with some of every length left.
 FITTED_SHARES = (1.0, 0.75, 0.5, 0.25)
 
@@ -157,7 +160,8 @@ def patterns(sequence: int) -> np.ndarray:
 
 def fit(wanted: np.ndarray, ways: np.ndarray) -> dict[int, float]:
     """Repeat counts of patterns that bring the histogram nearest to `wanted`: an active-set NNLS that
-    lets in a block of patterns with disjoint lengths at a time."""
+    lets in a block of patterns with disjoint lengths at a time, a smaller one when a block lessens the
+    squared error by less than a share of NNLS_TOLERANCE, and stops when one pattern does."""
     goal = wanted.astype(float).copy()
     goal[0] = 0.0
     active, x = np.zeros(0, np.int64), np.zeros(0)
@@ -170,15 +174,26 @@ def fit(wanted: np.ndarray, ways: np.ndarray) -> dict[int, float]:
         m[0] = 0.0
         return m
 
-    for _ in range(NNLS_ROUNDS):
+    best, most = (np.inf, active, x), NNLS_COLUMNS
+    while True:
         left = goal - matrix(active) @ x if len(active) else goal.copy()
         left[0] = 0.0
+        error = left @ left
+        if error > (1 - NNLS_TOLERANCE) * best[0]:  # the columns let in bring the histogram hardly nearer: fewer at a time, from the best so far
+            best = min(best, (error, active, x), key=lambda e: e[0])
+            if most == 1:
+                break
+            _, active, x = best
+            most = max(1, most // 4)
+            left = goal - matrix(active) @ x
+            left[0] = 0.0
+        else:
+            best = (error, active, x)
         gain = left[ways[allowed]].sum(axis=1)
         gain[np.isin(allowed, active)] = 0.0
-        best = np.argsort(-gain)[:3000]
         used, new = set(), []
-        for j in best:
-            if gain[j] <= 0.5 or len(new) == NNLS_COLUMNS:
+        for j in np.argsort(-gain)[:3000]:
+            if gain[j] <= 1e-9 * len(goal) or len(new) == most:
                 break
             lengths = set(ways[allowed[j]].tolist()) - {0}
             if not lengths & used:
@@ -199,7 +214,7 @@ def fit(wanted: np.ndarray, ways: np.ndarray) -> dict[int, float]:
             stay = x > 1e-9
             stay[np.flatnonzero(bad)[np.argmin(x[bad])]] = False
             active, x = active[stay], x[stay]
-    return dict(zip(active.tolist(), x.tolist()))
+    return dict(zip(best[1].tolist(), best[2].tolist()))
 
 
 def best_fit(counts: np.ndarray, sequence: int) -> list[tuple[tuple[int, ...], int]]:
@@ -237,15 +252,14 @@ def best_fit(counts: np.ndarray, sequence: int) -> list[tuple[tuple[int, ...], i
 
 
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that together hold every piece of the histogram once, in the fewest sequences of those tried."""
+    """(pattern, repeats) that together hold every piece of the histogram that is shorter than a sequence once, in the fewest sequences of those tried."""
     have = np.zeros(sequence + 1, np.int64)
     for length, n in histogram.items():
         have[length] = n
-    full = [((sequence,), int(have[sequence]))] if have[sequence] else []
     have[sequence] = 0
     ways = patterns(sequence)
     fitted = sorted(fit(have, ways).items(), key=lambda kv: -kv[1])
-    return full + min((_laid_out(have, ways, fitted, share, sequence) for share in FITTED_SHARES), key=lambda tried: sum(n for _, n in tried))
+    return min((_laid_out(have, ways, fitted, share, sequence) for share in FITTED_SHARES), key=lambda tried: sum(n for _, n in tried))
 
 
 def _laid_out(have: np.ndarray, ways: np.ndarray, fitted: list[tuple[int, float]], share: float, sequence: int) -> list[tuple[tuple[int, ...], int]]:
@@ -279,9 +293,10 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end: int = E
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = saved(pieces(docs, tokenizer, sequence, end, ranks), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    whole = cut.filter(F.col("length") == sequence).select("*", (F.monotonically_increasing_id() + F.lit(WHOLE)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     keys, bases, offsets = _slots(plan(histogram, sequence))
     parts = F.array(*[F.lit(max(1, histogram.get(length, 0) // PART_ROWS)) for length in range(1, sequence + 1)])
-    placed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts, F.col("length").cast("int"))))
+    placed = cut.filter(F.col("length") < sequence).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts, F.col("length").cast("int"))))
     counts = placed.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -297,4 +312,4 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end: int = E
                 [*batch.columns[:-1], pa.array(sequence_id, pa.int64()), pa.array(offsets[slot], pa.int64())], names=[*batch.schema.names[:-1], "sequence_id", "offset"]
             )
 
-    return ranked.mapInArrow(rows, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(rows, PIECES + ", sequence_id long, offset long").union(whole)
