@@ -300,12 +300,3 @@ def keep_similar_one(docs: DataFrame, shingle: int, similarity: float) -> DataFr
     out = keyed.join(kept, ["_k1", "_k2"], "left_semi")
     counts = own.agg(F.count("*").alias("n"), F.count_distinct("_k1", "_k2").alias("rows")).first()
     return (out if counts["n"] == counts["rows"] else out.dropDuplicates(["_k1", "_k2"])).select(*docs.columns)
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without all but one document of each group, the one with the smallest doc_id."""
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    counts = found.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    return out if counts["n"] == counts["ids"] else out.dropDuplicates(["doc_id"])
