@@ -44,6 +44,9 @@ BATCH_HASHES = 200_000
 BANDS, ROWS = 20, 4
 #: Fingerprints of sets with similarity 0.8 differ in 10 bits on average, deviation 3.
 WIDE_BITS = 24
+#: A set's sketch has the least hash of each of SKETCH ranges. The share of equal ones among ranges in use estimates the
+#: similarity; pairs whose estimate is over SKETCH_DEVIATIONS of its standard deviations below the limit aren't verified.
+SKETCH, SKETCH_DEVIATIONS = 512, 5
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -208,6 +211,27 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.astype("<u8").reshape(BANDS, ROWS))], dtype=np.uint64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte for each of SKETCH ranges of hash values: 0 if the ascending hashes have none there, else 1 to 255 from the least."""
+    starts = np.searchsorted(hashes >> np.uint64(64 - SKETCH.bit_length() + 1), np.arange(SKETCH + 1, dtype=np.uint64))
+    used = starts[1:] > starts[:-1]
+    out = np.zeros(SKETCH, np.uint8)
+    out[used] = hashes[starts[:-1][used]] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def sketches_meet(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of sketches of sets with so many members together: the estimated similarity, and whether the true one can reach the limit.
+
+    The variance is that of one-permutation hashing; a range is let off for sets of few members.
+    """
+    used, equal = ((x | y) != 0).sum(axis=1), ((x == y) & (x != 0)).sum(axis=1)
+    others = np.maximum(sizes / (1 + similarity) - 1, 1)
+    deviation = np.sqrt(similarity * (1 - similarity) * np.maximum((1 + 1 / others) / np.maximum(used, 1) - 1 / others, 0))
+    return equal / np.maximum(used, 1), equal + 1 >= (similarity - SKETCH_DEVIATIONS * deviation) * used
+
+
+
 def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
 
@@ -233,15 +257,16 @@ def set_marks(keyed: DataFrame, shingle: int) -> DataFrame:
 
 
 def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
-    """(node, members) of each distinct set of shingles."""
+    """(node, members, sketch) of each distinct set of shingles."""
 
     def rows(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(x, shingle)) for x in batch.column("text").to_pylist()]
             ids = np.array([_set_id(x) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "members"])
+            columns = [pa.array(ids, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "members", "sketch"])
 
-    return keyed.select("text").mapInArrow(rows, "node long, members array<long>")
+    return keyed.select("text").mapInArrow(rows, "node long, members array<long>, sketch binary")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -251,27 +276,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.col("common") + 1e-9 >= similarity * (F.col("n") - F.col("common"))).select("a", "b")
 
 
-def similar_links(keyed: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join all classes whose sets have that similarity at least and share a band key.
-
-    First each class of a bucket (an equal band key) is compared with the bucket's smallest; a large group of
-    near copies is one component after that. Then the pairs of a bucket that are still in different components.
-    """
-    placed = classes.select("node", "n", "fp", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
-    met = saved(placed.join(shared, "key"), "simhash-met")
-    wanted = classes.join(met.select("node").distinct(), "node", "left_semi").select("_k1", "_k2")
-    sets = saved(shingle_sets(keyed.join(wanted, ["_k1", "_k2"], "left_semi"), shingle).dropDuplicates(["node"]), "simhash-sets")
-    stars = saved(met.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "simhash-stars")
-    sure = saved(_alike(stars, sets, similarity), "simhash-links")
-    roots = connected_components(sure).withColumnsRenamed({"node": "own"})
+def _asked(met: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components that can have that similarity; with best only each member's likeliest."""
+    roots = roots.withColumnsRenamed({"node": "own"})
     tagged = saved(met.drop("a").join(roots, met["node"] == roots["own"], "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "fp"), "simhash-tagged")
     mixed = tagged.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("key")
-    rest = tagged.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
+    rest = tagged.join(mixed, "key", "left_semi").join(sets.select("node", "sketch"), "node")
+    rest = rest.select("key", "root", "node", "n", "fp", "sketch").repartition("key").sortWithinPartitions("key", "node")
 
     def rows(batches):
-        for key, root, node, n, fp in whole_runs(batches, ("key", "root", "node", "n", "fp"), 1):
+        for key, root, node, n, fp, marks in whole_runs(batches, ("key", "root", "node", "n", "fp", "sketch"), 1):
             i, step, u = np.arange(len(key)), 0, np.ascontiguousarray(fp).view(np.uint64)
+            marks = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, SKETCH)
+            likest, partner = np.full(len(key), -1.0), np.zeros(len(key), np.int64)
             while True:
                 step += 1
                 i = i[i + step < len(key)]
@@ -280,10 +297,42 @@ def similar_links(keyed: DataFrame, classes: DataFrame, shingle: int, similarity
                     break
                 j = i + step
                 near = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count(u[i] ^ u[j]) <= WIDE_BITS)
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i[near]], pa.int64()), pa.array(node[j[near]], pa.int64())], names=["a", "b"])
+                at = i[near]
+                like, meets = sketches_meet(marks[at], marks[at + step], n[at] + n[at + step], similarity)
+                at, like = at[meets], like[meets]
+                if best:
+                    for x, y in ((at, at + step), (at + step, at)):
+                        more = like > likest[x]
+                        likest[x[more]], partner[x[more]] = like[more], y[more]
+                elif len(at):
+                    yield pairs(node[at], node[at + step])
+            found = np.flatnonzero(likest >= 0)
+            if len(found):
+                yield pairs(np.minimum(node[found], node[partner[found]]), np.maximum(node[found], node[partner[found]]))
+
+    def pairs(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rest.mapInArrow(rows, "a long, b long").distinct()
+
 
-    others = rest.mapInArrow(rows, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+def similar_links(keyed: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all classes whose sets have that similarity at least and share a band key.
+
+    First each class of a bucket (an equal band key) is compared with the bucket's smallest; a large group of
+    near copies is one component after that. Then each class is compared with the likeliest one of another component,
+    which joins looser groups by as many pairs as they have members. Last come the pairs that are still apart.
+    """
+    placed = classes.select("node", "n", "fp", F.explode("bands").alias("key"))
+    shared = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
+    met = saved(placed.join(shared, "key"), "simhash-met")
+    wanted = classes.join(met.select("node").distinct(), "node", "left_semi").select("_k1", "_k2")
+    sets = saved(shingle_sets(keyed.join(wanted, ["_k1", "_k2"], "left_semi"), shingle).dropDuplicates(["node"]), "simhash-sets")
+    stars = saved(met.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "simhash-stars")
+    sure = saved(_alike(stars, sets, similarity), "simhash-links")
+    likeliest = saved(_asked(met, connected_components(sure), sets, similarity, True).join(stars, ["a", "b"], "left_anti"), "simhash-likeliest")
+    sure = saved(sure.union(_alike(likeliest, sets, similarity)), "simhash-links")
+    others = _asked(met, connected_components(sure), sets, similarity, False).join(stars.union(likeliest), ["a", "b"], "left_anti")
     return sure.union(_alike(others, sets, similarity))
 
 
