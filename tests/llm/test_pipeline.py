@@ -8,7 +8,7 @@ import public_tokenizers
 import __spark_entry__
 import corpus_pipeline
 from test_llm_operators import WORDS, brute_components, brute_fingerprint, brute_quality, brute_repeats, noise
-from tidewell.llm import mixing, packing
+from tidewell.llm import mixing, packing, simhash
 
 
 def table(tmp_path, spark):
@@ -65,12 +65,12 @@ def brute_similar(texts):
     for t in texts:
         w = (t or "").lower().split()
         sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(texts)))
-    for _ in texts:
-        for i in range(len(sets)):
-            for j in range(i):
-                if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
-                    root[i] = root[j] = min(root[i], root[j])
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0]
+    root, before = list(range(len(texts))), None
+    while root != before:
+        before = list(root)
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
     return root
 
 
@@ -115,3 +115,47 @@ def test_near_duplicates_keep_a_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
     kept = sorted((r["text"], r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == [(texts[0], None), (texts[1], None), (texts[2], 7), (texts[3], 7), (texts[4], 9)]
+
+
+def test_a_loose_group_asks_few_pairs(spark, monkeypatch):
+    """Copies with edits of their own, most too far apart to be alike: the same groups as by all pairs, from few verified pairs."""
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(rng.choice(list("aeioustrnlmpc"), 7))
+    base = [word() for _ in range(160)]
+
+    def edited(n):
+        out = list(base)
+        for at in rng.choice(160, n, replace=False):
+            out[at] = word()
+        return " ".join(out)
+
+    texts = [edited(int(rng.integers(1, 9))) for _ in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    asked, verified = [], simhash._alike
+
+    def counting(pairs, sets, similarity):
+        asked.append(pairs.count())
+        return verified(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "_alike", counting)
+    kept = sorted(r["doc_id"] for r in simhash.keep_similar_one(docs, 5, 0.8).collect())
+    assert kept == sorted(set(brute_similar(texts))) and 1 < len(kept) < 250
+    assert len(asked) == 3 and sum(asked) < 250 * 249 / 2 / 4
+
+
+def test_sketches_never_part_sets_that_are_alike():
+    rng = np.random.default_rng(32)
+    for size in (1, 2, 4, 5, 9, 20, 60, 160, 500, 3000, 40_000):
+        apart = 0
+        for _ in range(40):
+            union = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            common = int(np.ceil(0.8 * len(union)))
+            mine = int(rng.integers(0, len(union) - common + 1))
+            order = rng.permutation(len(union))
+            x, y = np.sort(union[order[: common + mine]]), np.sort(np.concatenate([union[order[:common]], union[order[common + mine :]]]))
+            z = np.sort(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            marks = [np.frombuffer(simhash.sketch(v), np.uint8)[None] for v in (x, y, z)]
+            assert simhash.sketches_meet(marks[0], marks[1], np.array([len(x) + len(y)]), 0.8)[1].all()
+            apart += not simhash.sketches_meet(marks[0], marks[2], np.array([len(x) + len(z)]), 0.8)[1].all()
+        assert apart == 40 or size < 5
+    assert simhash.sketch(np.zeros(0, np.uint64)) == bytes(simhash.SKETCH)
