@@ -39,6 +39,16 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that saved() wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        if not folder.rsplit("/", 1)[1].startswith("tidewell-"):
+            raise ValueError(f"not a table of saved(): {folder}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "i") -> DataFrame:
     """df, written out, with a gapless number from 0 in this order; only the row counts of tasks are gathered in one."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

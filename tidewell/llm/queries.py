@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import html_extract, license_scan, mixing, packing, quality, sharding, simhash, suffix_dedup, topk, url_filter
+from tidewell.llm import html_extract, license_scan, mixing, packing, pu_quality, quality, sharding, simhash, spelling, suffix_dedup, topk, url_filter, vector_codes
 from tidewell.llm.common import read_table
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -52,11 +52,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_exact_topk, op5_html_extraction,
         op6_url_filter, op7_sharding, op8_best_fit_packing, op9_mixing, op10_simhash,
+        op11_quality_classifier, op12_vector_codes, op13_spelling_variants,
     )
 }
-ORACLE_SQL = {"op4_exact_topk": topk.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {"op4_exact_topk": topk.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}
