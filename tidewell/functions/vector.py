@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Texts that an embedder gets in one call.
+EMBED_BATCH = 32
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -39,3 +45,51 @@ def fake_embedding(text, dimension: int) -> Column:
     uniform = lambda i, salt: (F.pmod(F.xxhash64(_c(text), i, F.lit(salt)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
     normal = F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(2 * F.pi() * uniform(i, 2)))
     return unit(normal).cast("array<float>")
+
+
+def paired(answers: list[tuple[int, list[float]]], wanted: int, dimension: int) -> list[list[float]]:
+    """Vectors in the order of their inputs, from (index, vector) in any order; raises where one is missing, double or of another length."""
+    out: list = [None] * wanted
+    for index, vector in answers:
+        if not 0 <= index < wanted:
+            raise ValueError(f"embedding index {index} is outside 0 to {wanted - 1}")
+        if out[index] is not None:
+            raise ValueError(f"embedding index {index} comes twice")
+        if len(vector) != dimension:
+            raise ValueError(f"embedding {index} has {len(vector)} components; {dimension} are wanted")
+        out[index] = vector
+    if len(answers) != wanted:
+        raise ValueError(f"{len(answers)} embeddings for {wanted} texts")
+    return out
+
+
+def batched(call: Callable[[list[str]], list[tuple[int, list[float]]]], dimension: int, size: int = EMBED_BATCH) -> Callable[[Column], Column]:
+    """An embedder that calls `call` with `size` texts of a partition at a time, in order; its answers are (index, vector) in any order.
+
+    A null text isn't sent and has a null vector.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        waiting: list = []
+
+        def flush(n: int) -> pd.Series:
+            own, waiting[:] = waiting[:n], waiting[n:]
+            texts = [t for t in own if t is not None]
+            vectors = iter([v for at in range(0, len(texts), size) for v in paired(call(texts[at : at + size]), len(texts[at : at + size]), dimension)])
+            return pd.Series([None if t is None else next(vectors) for t in own], dtype=object)
+
+        for batch in batches:
+            waiting += batch.tolist()
+            # only whole calls' worth leaves before the end
+            sent, n = 0, 0
+            for i, t in enumerate(waiting):
+                sent += t is not None
+                if t is not None and sent % size == 0:
+                    n = i + 1
+            if n:
+                yield flush(n)
+        if waiting:
+            yield flush(len(waiting))
+
+    return embedded

@@ -1,17 +1,17 @@
 """Heading-aware, token-bounded chunks of Markdown and plain text, as DataFrame operations.
 
-Lines are classified with regular expressions and windows per document: fences, headings, list
-items and blank lines. Running counts give sections and units; higher-order functions fold units
-greedily into chunks, and small sibling sections into one. Budgets are counted in twelfths of a
-token, so sums are exact. Block structure covered: ATX headings, setext headings of one line,
-fenced code, lists, quotes, indented text and paragraphs; fences are paired in order.
+A document's lines are folded into sections and units where the document is read (functions.markdown, in
+Arrow batches, without a shuffle); higher-order functions fold units greedily into chunks, and small
+sibling sections into one. Budgets are counted in twelfths of a token, so sums are exact.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import markdown
 from tidewell.functions import text as T
 
 TARGET, MOST_CHUNKS = 400, 2000
@@ -36,57 +36,19 @@ def text_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    order = Window.partitionBy(key).orderBy("n")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.col("line").rlike(r"^ {0,3}(`{3,}|~{3,})")
-    lines = lines.withColumn("fence", fence).withColumn("code", F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1)
-    free = ~F.col("code") & ~F.col("fence")
-    blank = F.col("line").rlike(r"^\s*$")
-    atx = F.col("line").rlike(r"^ {0,3}#{1,6}([ \t]|$)") & free
-    item = F.col("line").rlike(r"^ {0,3}([-*+]|\d{1,9}[.)])([ \t]|$)") & free
-    rule = F.col("line").rlike(r"^ {0,3}((\*[ \t]*){3,}|(-[ \t]*){3,}|(_[ \t]*){3,})$") & free
-    under = F.regexp_extract("line", r"^ {0,3}(=+|-+)[ \t]*$", 1)
-    lines = lines.withColumn("blank", blank & ~F.col("code")).withColumn("atx", atx).withColumn("item", item & ~rule).withColumn("rule", rule).withColumn("under", F.when(free, under).otherwise(""))
-    plain = ~F.col("blank") & ~F.col("atx") & ~F.col("item") & ~F.col("rule") & free & ~F.col("line").rlike(r"^( {4}|\t| {0,3}>)")
-    lines = lines.withColumn("setext", plain & (F.col("under") == "") & (F.coalesce(F.lead("under").over(order), F.lit("")) != "") & F.coalesce(F.lag("blank").over(order), F.lit(True)))
-    lines = lines.withColumn("drop", F.coalesce(F.lag("setext").over(order), F.lit(False)) | F.col("rule") & ~F.coalesce(F.lag("setext").over(order), F.lit(False)))
-    head = F.col("atx") | F.col("setext")
-    level = F.when(F.col("atx"), F.length(F.regexp_extract("line", r"^ {0,3}(#{1,6})", 1))).when(F.col("setext"), F.when(F.lead("under").over(order).startswith("="), 1).otherwise(2))
-    title = F.when(F.col("atx"), F.trim(F.regexp_replace(F.regexp_replace("line", r"^ {0,3}#{1,6}[ \t]*", ""), r"(^|[ \t]+)#+[ \t]*$", ""))).when(F.col("setext"), F.trim("line"))
-    lines = lines.withColumn("level", level).withColumn("title", title).withColumn("section", F.sum(head.cast("int")).over(upto))
-    for k in range(1, 7):
-        lines = lines.withColumn(f"h{k}", F.last(F.when(F.col("level") <= k, F.struct("level", "title")), ignorenulls=True).over(upto))
-    now = F.last("level", ignorenulls=True).over(upto)
-    lines = lines.withColumn("now", F.coalesce(now, F.lit(0))).withColumn("named", F.coalesce(F.last("title", ignorenulls=True).over(upto), F.lit("")))
-    opened = [F.when((F.col(f"h{k}.level") == k) & (F.col("now") >= k) & (F.col(f"h{k}.title") != ""), F.col(f"h{k}.title")) for k in range(1, 7)]
-    lines = lines.withColumn("path", F.filter(F.array(*opened), lambda t: t.isNotNull()))
-
-    body = lines.filter(~(F.col("atx") | F.col("setext")) & ~F.col("drop"))
-    within = Window.partitionBy(key, "section").orderBy("n")
-    inside = within.rowsBetween(Window.unboundedPreceding, 0)
-    first = F.lag("n").over(within).isNull()
-    after_blank = F.coalesce(F.lag("blank").over(within), F.lit(True))
-    opens_fence = F.col("fence") & ~F.col("code")
-    after_fence = F.coalesce(F.lag("fence").over(within) & F.lag("code").over(within), F.lit(False))
-    # a list goes on over blank lines as long as lines are indented or items
-    in_list = F.last(F.when(F.col("item"), F.lit(True)).when(~F.col("blank") & after_blank & ~F.col("line").rlike(r"^( {2,}|\t)") & free, F.lit(False)), ignorenulls=True).over(inside)
-    body = body.withColumn("in_list", F.coalesce(in_list, F.lit(False)))
-    starts = ~F.col("blank") & (first | F.col("item") | ~F.col("in_list") & (after_blank & ~F.col("code") | opens_fence | after_fence))
-    body = body.withColumn("unit", F.sum(starts.cast("int")).over(inside))
-    units = (
-        body.groupBy(key, "section", "unit")
-        .agg(F.min("now").alias("level"), F.first("named").alias("title"), F.first("path").alias("path"), F.max("in_list").alias("tight"), F.max(F.col("fence") & ~F.col("in_list")).alias("fenced"),
-             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
-        .withColumn("text", F.regexp_replace("text", r"[ \t\n]+$", ""))
-        .withColumn("text", F.when(F.col("fenced"), F.regexp_replace(F.regexp_replace("text", r"^ {0,3}(`{3,}|~{3,})[ \t]*", "```"), r"\n+ {0,3}(`{3,}|~{3,})$", "\n```")).otherwise(F.col("text")))
-        .filter("unit > 0 and text <> ''")
-    )
-    return units.groupBy(key, "section").agg(
-        F.min("level").alias("level"), F.first("title").alias("title"), F.first("path").alias("path"),
-        F.transform(F.array_sort(F.collect_list(F.struct("unit", "text", "tight"))), lambda u: F.struct(u["text"].alias("text"), u["tight"].alias("tight"))).alias("units"),
-    )
+    """Sections of Markdown documents with their units (functions.markdown), each document in its own task; none for a null text."""
+    names = [key, "section", "level", "title", "path", "units"]
+
+    def rows(batches):
+        for batch in batches:
+            found = [(k, n, *s) for k, x in enumerate(batch.column(1).to_pylist()) if x is not None for n, s in enumerate(markdown.sections(x))]
+            if found:
+                at, section, level, title, path, units = zip(*found)
+                made = pa.array([[{"text": t, "tight": tight} for t, tight in own] for own in units], pa.list_(pa.struct([("text", pa.string()), ("tight", pa.bool_())])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(section, pa.int32()), pa.array(level, pa.int32()), pa.array(title), pa.array(path, pa.list_(pa.string())), made], names=names)
+
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, section int, level int, title string, path array<string>, units array<struct<text: string, tight: boolean>>"
+    return docs.select(key, text).mapInArrow(rows, schema)
 
 
 def _ends(weights: Column, path_weight: Column, target: Column) -> Column:

@@ -124,3 +124,28 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _markdown_line(line, i):
     level = F.element_at(F.array(*map(F.lit, _LEVELS)), (F.floor(i / 6) % len(_LEVELS) + 1).cast("int"))
     return F.when(i % 6 == 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.substring(line, 1, 40), F.lit("\n\n"), line)).otherwise(line)
+
+
+#: What a document's lines become, in turn; x stands for the line, with a letter before it.
+_BLOCKS = ("@\\n@\\n===", "@\\n  @", "- @\\n\\n  > quoted\\nlazy", "- @\\n  1. inner\\nlazy", "````go\\n@\\n```\\n- none\\n````", "> @\\nlazy\\n> - item", "| a | b |\\n| --- | --- |\\n| @ | 1 |", "[@]: /link 'title'", "@\\n---", "1) @\\n\\n       code")
+_UNITS_SQL = """WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+l AS (SELECT doc_id, i, i % 10 AS kind, 'x' || rtrim(left(regexp_replace(raw, '[\\[\\]`|\\t]', '', 'g'), 60)) AS x FROM line),
+h AS (SELECT *, count(*) FILTER (WHERE kind IN (0, 8)) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l),
+u AS (SELECT doc_id, section, i, kind IN (2, 3, 9) AS tight, CASE kind WHEN 1 THEN x || chr(10) || '  ' || x WHEN 2 THEN '- ' || x || chr(10) || chr(10) || '  > quoted' || chr(10) || 'lazy' WHEN 3 THEN '- ' || x || chr(10) || '  1. inner' || chr(10) || 'lazy'
+  WHEN 4 THEN '```go' || chr(10) || x || chr(10) || '```' || chr(10) || '- none' || chr(10) || '```' WHEN 5 THEN '> ' || x || chr(10) || 'lazy' || chr(10) || '> - item' WHEN 6 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || x || ' | 1 |'
+  WHEN 9 THEN '1) ' || x || chr(10) || chr(10) || '       code' END AS t FROM h WHERE kind NOT IN (0, 7, 8)),
+named AS (SELECT doc_id, section, CASE kind WHEN 0 THEN 1 ELSE 2 END AS level, CASE kind WHEN 0 THEN x || chr(10) || x ELSE x END AS title FROM h WHERE kind IN (0, 8)),
+one AS (SELECT doc_id, section, title AS above FROM named WHERE level = 1)
+SELECT u.doc_id, CAST(u.section AS INTEGER) AS section, n.level, n.title, CASE WHEN n.level = 1 THEN n.title ELSE one.above || ' > ' || n.title END AS path, CAST(row_number() OVER (PARTITION BY u.doc_id, u.section ORDER BY i) - 1 AS INTEGER) AS unit, tight, md5(t) AS md5
+FROM u JOIN named n USING (doc_id, section) LEFT JOIN one ON one.doc_id = u.doc_id AND one.section = u.section - 1"""
+
+
+@query(_UNITS_SQL)
+def markdown_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as headings with underlines, nested lists, lazy lines, fences of four marks, quotes, tables and link definitions: sections and units."""
+    line = lambda x: F.concat(F.lit("x"), F.rtrim(F.substring(F.regexp_replace(x, "[\\[\\]`|\\t]", ""), 1, 60)))
+    block = lambda i: F.element_at(F.array(*[F.lit(b.replace("\\n", "\n")) for b in _BLOCKS]), (i % 10 + 1).cast("int"))
+    source = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.replace(block(i), F.lit("@"), line(x))), "\n\n")
+    made = chunking.markdown_sections(table(spark, sf_dir, "documents").select("doc_id", source.alias("text")), "doc_id")
+    units = made.select("doc_id", "section", "level", "title", F.array_join("path", " > ").alias("path"), F.posexplode("units").alias("unit", "u"))
+    return units.select("doc_id", "section", "level", "title", "path", "unit", F.col("u.tight").alias("tight"), F.md5("u.text").alias("md5"))

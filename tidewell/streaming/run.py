@@ -57,3 +57,14 @@ def parquet_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data as a stream of its files."""
     path = f"{sf_dir}/{name}.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+
+
+def with_state_store(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    """Run work with the state store that processors with state need, then put the session's own back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return work()
+    finally:
+        spark.conf.set(key, before)
