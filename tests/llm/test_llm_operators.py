@@ -109,25 +109,18 @@ def test_repeats_leave_other_columns(docs):
         assert kept[i]["size"] == "x" and (text is None or kept[i]["n_chars"] == len(text))
 
 
-def test_the_array_decides(spark, docs, monkeypatch):
-    """Without the suffix arrays nothing is removed."""
+def test_what_the_arrays_find(monkeypatch):
+    """Equal stretches are merged before the arrays; what stretches that differ share is found by the arrays alone."""
     ids = np.array([5, 3, 9, 3, 7])
     rng = np.random.default_rng(0)
     text = rng.integers(97, 100, (5, suffix_dedup.WIDE)).astype(np.uint8)
     text[1:4] = text[0]
     text[2, -1] ^= 1  # shares all windows but the last with the first
     left, n = np.full(5, 30), np.full(5, suffix_dedup.SPAN)
-    masks = suffix_dedup.seen_earlier(text, left, n, ids)
-    seen = (masks[:, None] >> np.arange(suffix_dedup.SPAN, dtype=np.uint32)) & 1
-    assert seen.tolist() == [[1] * 31, [0] * 31, [1] * 30 + [0], [0] * 31, [0] * 31] and (masks >= suffix_dedup.PLACED).all()
-    monkeypatch.setattr(suffix_dedup, "_alone", lambda *x: None)
+    bits = lambda masks: ((masks[:, None] >> np.arange(suffix_dedup.SPAN, dtype=np.uint32)) & 1).tolist()
+    assert bits(suffix_dedup.seen_earlier(text, left, n, ids)) == [[1] * 31, [0] * 31, [1] * 30 + [0], [0] * 31, [0] * 31]
     monkeypatch.setattr(suffix_dedup, "_first_documents", lambda *x: None)
-    masks = suffix_dedup.seen_earlier(text, left, n, ids)
-    assert not masks.any()
-    block = suffix_dedup.Block(np.array([1, 2]), [b"x" * 90] * 2)
-    memory = suffix_dedup._pack(np.array([0, 90], np.uint32), np.array([9, 9], np.uint8), np.zeros(2, np.uint32), np.array([False, True]))
-    told = lambda mask: [{"bucket": -1, "body": memory}, {"bucket": 0, "body": np.array([mask], np.uint32).tobytes()}]
-    assert not suffix_dedup.removed_bytes(block, told(0)).any() and suffix_dedup.removed_bytes(block, told(1 << 31)).sum() == 58
+    assert bits(suffix_dedup.seen_earlier(text, left, n, ids)) == [[1] * 31, [0] * 31, [0] * 31, [0] * 31, [0] * 31]
 
 
 def test_rows_of_one_hash_are_told_apart(monkeypatch):
@@ -389,7 +382,8 @@ def brute_ratios(html):
     fused = []
     for path, _ in texts:
         same = [t for p, t in texts if p == path]
-        fused.append(np.log(1 + sum(map(len, same)) / len(same)) + np.log(1 + sum(sum(c in ".,;:!?" for c in t) for t in same) / len(same)))
+        share = sum(map(len, same)) / sum(len(t) for _, t in texts)
+        fused.append(np.log(1 + sum(map(len, same)) / len(same)) + np.log(1 + sum(sum(c in ".,;:!?" for c in t) for t in same) / len(same)) + np.log(share))
     near = lambda i: fused[max(0, min(len(fused) - 1, i))]
     return [(t, 0.15 * near(i - 1) + 0.7 * near(i) + 0.15 * near(i + 1)) for i, (_, t) in enumerate(texts)]
 
@@ -403,6 +397,67 @@ def test_ratios_against_brute_force():
         assert np.allclose([r for _, r in got], [r for _, r in want])
 
 
+class Article(HTMLParser):
+    """The text of article elements, blocks joined by a space: what the given pages' main text is."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if self.depth and tag in ("p", "br", "h1", "li", "ul"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag in ("p", "h1", "li", "ul"):
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def article_of(html):
+    reader = Article()
+    reader.feed(html)
+    return " ".join("".join(reader.parts).split())
+
+
+def given_pages():
+    return [x or "" for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()]
+
+
+def test_given_pages_by_an_independent_reader():
+    assert [html_extract.main_text(h) for h in given_pages()] == list(map(article_of, given_pages()))
+
+
+def test_ratios_decide_on_given_pages(monkeypatch):
+    """With one ratio for all paths most pages get another text; the tag article has no part in it."""
+    pages = given_pages()
+    want = list(map(article_of, pages))
+    plain = [h.replace("<article", "<div").replace("</article", "</div") for h in pages]
+    assert sum(html_extract.main_text(h) != t for h, t in zip(plain, want)) <= len(pages) // 100
+    monkeypatch.setattr(html_extract, "path_ratios", lambda texts: [9.0] * len(texts))
+    for own in (pages, plain):
+        assert sum(html_extract.main_text(h) != t for h, t in zip(own, want)) > len(pages) // 2
+
+
+@pytest.mark.parametrize(
+    "inside,kept",
+    [
+        ("<section id='related-work'><h2>Related work</h2><p>Others have tried this, too.</p></section>", "Related work Others have tried this, too."), ("<h2 id='legal'>The law</h2><p>It is plain, here.</p>", "The law It is plain, here."),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, always.</p>", "So x=2 holds, always."), ("<p class='promo share'>Not an advert, in here.</p>", "Not an advert, in here."), ("<p>Seen <svg><text>in the chart</text></svg>, at last.</p>", "Seen in the chart, at last."),
+        ("<noscript><p>Also without scripts, this.</p></noscript>", "Also without scripts, this."), ("<section class='comments'><p>A reader says, well, this and that.</p></section>", ""), ("<div id='comment-list'><p>A reader says, well, this.</p></div>", ""), ("<aside><p>Aside, this.</p></aside>", ""),
+    ],
+)
+def test_what_stands_in_an_article(inside, kept):
+    text = [" ".join(f"Sentence {k}, of the long text, goes on." for k in range(9)) for _ in range(3)]
+    page = f"<nav><a>Menu</a></nav><div class='ad'>Buy this, now.</div><article><h1>A title</h1><p>{text[0]}</p>{inside}<p>{text[1]}</p></article><footer>f</footer>"
+    assert html_extract.main_text(page) == " ".join(x for x in ("A title", text[0], kept, text[1]) if x)
+
+
 @pytest.mark.parametrize("page", ["<div>" * 60000 + "x, y.", "<div class=ad>" * 60000 + "x, y." + "</section>" * 60000, "<p>a<table>" + "<p>b" * 40000, "<b>" * 60000 + "</i>" * 60000 + "x, y."])
 def test_deep_pages_take_linear_time(page):
     start = time.time()
@@ -783,6 +838,30 @@ def test_templates_against_regular_expressions():
     assert n >= 50 and hits["none"] == 2 * n and hits["drop"] < n / 2 and hits["swap"] < n / 2
 
 
+#: Licenses whose templates are their whole texts.
+WHOLE = "mit mit-0 x11 isc 0bsd bsd-1-clause bsd-2-clause bsd-3-clause bsd-4-clause zlib bsl-1 ncsa postgresql hpnd ntp curl fair wtfpl beerware".split()
+
+
+@pytest.mark.parametrize("label", [*WHOLE, "unlicense"])
+def test_whole_texts_to_the_last_word(label):
+    """A text whose last sentence is cut off or changed isn't the license."""
+    template = next(t for x, t in license_scan.TEMPLATES if x == label)
+    bare = re.sub(r"\[\[.*?\]\]", "", template)
+    words = re.sub(r"\{\{\d+\}\}", "name", bare).split()
+    scan = lambda words: license_scan.Scanner(templates=[(label, template)]).scan(" ".join(words))[5]
+    assert scan(words) == label and scan([*words, "and", "more"]) == label
+    assert scan(words[:-1]) == "" and scan([*words[:-1], "unless", "they", "feel", "like", "it"]) == ""
+    for at in (len(words) - 3, len(words) // 2):
+        if words[at] != "name":
+            assert scan([*words[:at], "changed", *words[at + 1 :]]) == ""
+
+
+def test_clipped_texts_have_no_label():
+    grant = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+    assert license_scan.Scanner().scan(grant + " you must pay one million dollars and never share it")[5] == ""
+    assert license_scan.Scanner().scan(MIT + ". " + AS_IS.partition(" BE LIABLE")[0] + " be liable unless they feel like it")[5] == ""
+
+
 def test_a_template_needs_a_mandatory_word():
     with pytest.raises(ValueError, match="no mandatory word"):
         license_scan.compile_template("[[may be]] {{3}}")

@@ -2,14 +2,16 @@
 
 A page is read as a stream of tags and text. Text belongs to the root-to-leaf path of its open
 elements, a path being their tags with class and id, so that div.ad and div.story are different
-paths. Per path, text length and punctuation are summed and divided by the number of its text
-nodes; the two ratios are fused by multiplication. What an element is called is evidence in the
-fusion: a menu, form, aside, cookie notice or comment list (by tag, role, class or id) divides the
-ratio of the paths under it, article and main multiply it. The ratios of the text nodes in page order are smoothed, and the
-nodes that reach a share of the strongest path's smoothed ratio are content.
+paths; elements that only style text aren't part of it. Per path, text length and punctuation are summed
+and divided by the number of its text nodes, and the length by that of all paths; the three ratios are fused by multiplication. The
+ratios of the text nodes in page order are smoothed, and the blocks that reach a share of the text's mean ratio are content.
 
-Inline parts of a block that is content go with it; a short block between two content blocks, or a
-heading right before one, goes with its neighbours if nothing speaks against its path.
+Menus, headers, footers, sidebars, dialogs and forms go before that, by tag or role, and reader comments by
+name too, as their ratios are those of prose. Any other name (an advert's class, say) only divides the
+ratio by a constant, outside of article and main, whose own ratio is multiplied by one.
+
+Inline parts of a block that is content go with it; a heading right before a content block, and a
+block between two of one element, go with their neighbours if nothing speaks against them.
 
 Defined results: a null or empty html, or one without content, gives an empty text; unclosed and
 stray tags are tolerated; character references are decoded; a page of any length is read whole;
@@ -34,7 +36,7 @@ _TOKEN = re.compile(  # possessive throughout: an unclosed tag fails at once
 _ATTRIBUTE = re.compile(r"""([^\s"'>=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：·¿¡]")
 #: Elements whose content is text of a kind of its own.
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -44,17 +46,19 @@ _ENDS = {x: ("p", frozenset(("button", "table", "td", "th"))) for x in BLOCK - f
 _SELF = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 BOILERPLATE_TAGS = frozenset("nav footer aside button select menu dialog head".split()) | RAW
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-_BOILERPLATE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|footer\w*|masthead|topbar|toolbar|header|cookies?|consent|gdpr|notice\w*|alert|banner\w*|popup|modal|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reader-comments|widget\w*|pager|pagination|skip-link|copyright|legal)(?:$|[\s_-])",
+#: Names (whole words of a class or id) of reader comments, and of adverts, notices and the like.
+_COMMENTS = re.compile(r"(?:(?:reader|user|post|article|fb|facebook)[_-])?comments?(?:[_-](?:list|area|section|wrap|wrapper|thread|body|form|container|box|block))?|commentlist|disqus(?:_thread)?|respond|replies", re.I)
+_DOUBTED = re.compile(
+    r"ads?|ad[_-]\w+|adverts?|advertisements?|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|has-sidebar|footer\w*|masthead|topbar|toolbar|header|cookies?|cookie[_-]\w+|consent|gdpr|notices?|alert|banner\w*|popup|modal"
+    r"|newsletter\w*|subscri\w*|signup|login|share|sharing|social\w*|related(?:[_-](?:posts?|articles?|stories|links?|news|content))?|recommend\w*|widget\w*|pager|pagination|skip-link|copyright|legal",
     re.I,
 )
-#: Names of a kind of content rather than of a page's frame.
-_APART_NAME = re.compile(r"comment|disqus|respond|replies|related|recommend", re.I)
-#: A block is content if its smoothed ratio reaches so large a share of the text's mean.
-SHARE = 0.7
+#: A block is content if its smoothed ratio (a logarithm) is at most DROP below the text's mean. A doubted name takes AGAINST off it, more
+#: where the page has under SCANT characters of text, from which ratios say little; article and main add FOR.
+DROP, AGAINST, SCANT, FOR = 2.5, 1.0, 300, 1.0
 SMOOTH = (0.15, 0.7, 0.15)
-#: What is added to a path's ratio (a logarithm) for names that speak against it, and for article and main.
-AGAINST, FOR = -8.0, 2.0
+#: Elements that only style the text of their block, and so have its path.
+_STYLES = frozenset("abbr b bdi bdo big cite code del dfn em font i ins kbd mark q ruby rb rt rp s samp small strike strong sub sup tt u var wbr".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _ROOTS = frozenset(("article", "main"))
 #: Block elements that have no say about what belongs together.
@@ -64,10 +68,10 @@ _PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd br hr table caption tb
 class _Node:
     """An open element; a text belongs to the innermost one."""
 
-    __slots__ = ("tag", "path", "against", "doubt", "hidden", "home", "root", "heading", "link")
+    __slots__ = ("tag", "path", "against", "doubt", "home", "root", "heading", "link")
 
-    def __init__(self, tag="", path=0, against=False, doubt=0, hidden=False, home=0, root=0, heading=False, link=False):
-        self.tag, self.path, self.against, self.doubt, self.hidden = tag, path, against, doubt, hidden
+    def __init__(self, tag="", path=0, against=False, doubt=0, home=0, root=0, heading=False, link=False):
+        self.tag, self.path, self.against, self.doubt = tag, path, against, doubt
         self.home, self.root, self.heading, self.link = home, root, heading, link
 
 
@@ -80,6 +84,10 @@ class _Page:
         self.doubts: list[tuple[int, str]] = [(0, "")]  # (the doubted element around it, what is doubted)
         self.block = 0
 
+    def doubt(self, node: _Node, why: str) -> None:
+        self.doubts.append((node.doubt, why))
+        node.doubt = len(self.doubts) - 1
+
     def path(self, parent: int, label: str) -> int:
         return self.paths.setdefault((parent, label), len(self.paths) + 1)
 
@@ -97,21 +105,21 @@ def _names(attrs: str) -> dict[str, str]:
 
 def _open(page: _Page, parent: _Node, number: int, tag: str, attrs: str) -> _Node:
     names = _names(attrs)
-    node = _Node(tag, page.path(parent.path, _label(tag, names)), parent.against, parent.doubt, parent.hidden, parent.home, parent.root)
+    node = _Node(tag, parent.path if tag in _STYLES else page.path(parent.path, _label(tag, names)), parent.against, parent.doubt, parent.home, parent.root)
     node.heading, node.link = parent.heading or tag in _HEADINGS, parent.link or tag == "a"
-    node.hidden = node.hidden or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) is not None
     if tag in _ROOTS:
         node.root = number
     if tag in BLOCK and tag not in _PARTS:
         node.home = number
     if tag in BOILERPLATE_TAGS or tag == "header" and not parent.root or names.get("role", "").lower() in BOILERPLATE_ROLES:
         node.against = True
-    doubt = " form" if tag == "form" or names.get("role", "").lower() == "form" else ""
-    if tag not in ("html", "body", "article", "main"):
-        doubt += "".join(" " + names[k] for k in ("class", "id") if k in names and _BOILERPLATE_NAME.search(names[k]))
-    if doubt:
-        page.doubts.append((node.doubt, doubt))
-        node.doubt = len(page.doubts) - 1
+    called = [x for k in ("class", "id") for x in names.get(k, "").split()] if tag not in ("html", "body", "article", "main") else []
+    if tag == "form" or names.get("role", "").lower() == "form":
+        page.doubt(node, "form")
+    if any(_COMMENTS.fullmatch(x) for x in called):
+        page.doubt(node, "comments")
+    elif not node.root and any(_DOUBTED.fullmatch(x) for x in called):
+        page.doubt(node, "name")
     return node
 
 
@@ -121,7 +129,7 @@ def read(html: str) -> _Page:
     at, number = 0, 0
 
     def text(piece: str) -> None:
-        if piece and not stack[-1].hidden:
+        if piece:
             page.texts.append((stack[-1], page.block, entities.unescape(piece)))
 
     def close(i: int) -> None:
@@ -175,12 +183,15 @@ def read(html: str) -> _Page:
     return page
 
 
-def evidence(page: _Page) -> list[float]:
-    """Per text, what its element and those around it are called.
+#: What evidence says of a text.
+CUT, DOUBTED, FREE = 2, 1, 0
+
+
+def evidence(page: _Page) -> list[int]:
+    """Per text, whether its element or one around it cuts it out, only speaks against it, or neither.
 
     A form, or an element known by class or id, that holds most of the page's text or of its
-    articles' text is the page's frame and says nothing; comments and related articles are no frame
-    unless they hold most of both.
+    articles' text is the page's frame and says nothing; comments are no frame unless they hold most of both.
     """
     held, rooted = [0] * len(page.doubts), [0] * len(page.doubts)
     every = roots = 0
@@ -193,12 +204,12 @@ def evidence(page: _Page) -> list[float]:
     for d in range(len(held) - 1, 0, -1):  # an element stands after those around it
         held[page.doubts[d][0]] += held[d]
         rooted[page.doubts[d][0]] += rooted[d]
-    against = [False] * len(held)
+    said = [FREE] * len(held)
     for d in range(1, len(held)):
-        around, name = page.doubts[d]
-        frame = 2 * rooted[d] > every if _APART_NAME.search(name) else 2 * rooted[d] > roots or 2 * held[d] > every
-        against[d] = against[around] or not frame
-    return [AGAINST if node.against or against[node.doubt] else FOR if node.root else 0.0 for node, _, _ in page.texts]
+        around, why = page.doubts[d]
+        frame = 2 * rooted[d] > every if why == "comments" else 2 * rooted[d] > roots or 2 * held[d] > every
+        said[d] = max(said[around], FREE if frame else DOUBTED if why == "name" else CUT)
+    return [CUT if node.against else said[node.doubt] for node, _, _ in page.texts]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -214,31 +225,33 @@ def path_ratios(texts: list[tuple[int, str]]) -> list[float]:
         length[path] += len(bare)
         marks[path] += len(_PUNCTUATION.findall(bare))
         nodes[path] += 1
-    fused = {p: math.log1p(length[p] / nodes[p]) + math.log1p(marks[p] / nodes[p]) for p in nodes}
+    total = sum(length.values())
+    fused = {p: math.log1p(length[p] / nodes[p]) + math.log1p(marks[p] / nodes[p]) + math.log(max(1, length[p]) / max(1, total)) for p in nodes}
     return _smooth([fused[p] for p, _ in texts])
 
 
 def main_text(html: str) -> str:
     page = read(html)
-    said = [x + (names,) for x, names in zip(page.texts, evidence(page)) if x[2].strip()]
+    said = [x + (names,) for x, names in zip(page.texts, evidence(page)) if x[2].strip() and names != CUT]
     ratios = path_ratios([(node.path, piece) for node, _, piece, _ in said])
-    blocks: dict[int, list] = {}  # weight, weighted ratio, whether a name speaks against it, home, root, heading, characters of links
+    blocks: dict[int, list] = {}  # weight, weighted ratio, whether a name speaks against it, home, heading, characters of links, root
     free = [0, 0.0]  # weight and weighted ratio of all that nothing speaks against
     for (node, block, piece, names), ratio in zip(said, ratios):
-        n, value = len(piece.strip()), ratio + names
-        b = blocks.setdefault(block, [0, 0.0, False, node.home, node.root, node.heading, 0])
-        b[0], b[1], b[2], b[6] = b[0] + n, b[1] + n * value, b[2] or names < 0, b[6] + n * node.link
-        if names >= 0:
-            free[0], free[1] = free[0] + n, free[1] + n * value
+        n = len(piece.strip())
+        b = blocks.setdefault(block, [0, 0.0, False, node.home, node.heading, 0, node.root])
+        ratio += FOR * (node.root > 0)
+        b[0], b[1], b[2], b[5] = b[0] + n, b[1] + n * ratio, b[2] or names == DOUBTED, b[5] + n * node.link
+        if names == FREE:
+            free[0], free[1] = free[0] + n, free[1] + n * ratio
     if not free[0]:
         return ""
-    limit = SHARE * free[1] / free[0]
-    order = list(blocks)
-    good = {k for k, b in blocks.items() if b[1] >= limit * b[0]}
-    good |= _lent(order, blocks, good)
+    limit = free[1] / free[0] - DROP
+    against = AGAINST * (1 + SCANT / free[0])
+    good = {k for k, b in blocks.items() if b[1] / b[0] - against * b[2] >= limit}
+    good |= _lent(list(blocks), blocks, good)
     out, last = [], None
-    for node, block, piece in page.texts:
-        if block in good:
+    for (_, block, piece), names in zip(page.texts, evidence(page)):
+        if block in good and names != CUT:
             if block != last:
                 out.append(" ")
             out.append(piece)
@@ -247,20 +260,20 @@ def main_text(html: str) -> str:
 
 
 def _lent(order: list[int], blocks: dict[int, list], good: set[int]) -> set[int]:
-    """Blocks that go with content beside them: in the same article or main; a heading before it; and, where
-    content stands on both sides in the same element, what isn't mostly links. Nothing that a name speaks against."""
-    roots = {blocks[k][4] for k in good} - {0}
-    out = {k for k in order if blocks[k][4] in roots}
+    """Blocks that go with content beside them: a heading before it and, where content stands on both
+    sides in the same element, article or main, what isn't mostly links. Nothing that a name speaks against."""
+    out: set[int] = set()
     homes: dict[int, list[int]] = {}
     for i, k in enumerate(order):
         if k in good:
-            homes.setdefault(blocks[k][3], [i, i])[1] = i
+            for home in {blocks[k][3], blocks[k][6]}:
+                homes.setdefault(home, [i, i])[1] = i
     after = False
     for i in range(len(order) - 1, -1, -1):
         k = order[i]
         b = blocks[k]
-        first, last = homes.get(b[3], (len(order), -1))
-        if b[5] and after or first < i < last and 2 * b[6] < b[0]:
+        between = any(home in homes and homes[home][0] < i < homes[home][1] for home in {b[3], b[6] or b[3]})
+        if b[4] and after or between and 2 * b[5] < b[0]:
             out.add(k)
         after = not b[2] and (k in good or k in out)
     return {k for k in out if not blocks[k][2]}

@@ -1,7 +1,7 @@
 """License scans by template markup.
 
-The templates are the standard texts of licenses, whole where they are short, and the notices that
-stand for longer ones. A template is a list of words with two kinds of regions: ``[[ ... ]]`` may be left out, and
+The templates are the standard texts of the short licenses, whole, and the notices that stand for
+the longer ones. A template is a list of words with two kinds of regions: ``[[ ... ]]`` may be left out, and
 ``{{n}}`` stands for any 0 to n words. It is compiled into an automaton over words; a text has the
 template's label if some run of its words is accepted: every mandatory word, in order, unchanged.
 
@@ -26,7 +26,11 @@ PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apach
 #: Standard texts, as words: [[ ]] may be left out, {{n}} is any 0 to n words (names, dates, numbers of lists).
 _AS_IS = "software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose"
 _MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and [[associated]] documentation [[files]] {{4}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
-_MIT_END = "the " + _AS_IS + " and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_MIT_NOTICE = " subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+_LIABLE = " be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_MIT_END = "the " + _AS_IS + " and noninfringement in no event shall the authors or copyright holders" + _LIABLE
+_NO_ADVERTISING = " except as contained in this notice the name of {{8}} shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization "
+_NAME_NOT_USED = " and that the name {{8}} not be used in advertising or publicity pertaining to distribution of the software without specific written prior permission {{8}} makes no representations about the suitability [[of]] this software for any purpose it is provided as is without express or implied warranty"
 _BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
 _BSD_BINARY = "{{1}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 _BSD_END = "this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
@@ -42,9 +46,9 @@ def _gnu(name: str, version: str) -> str:
 
 #: (label, template): the texts, and the shorter notices that stand for them.
 TEMPLATES = [
-    ("mit", _MIT_GRANT + " subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software " + _MIT_END),
-    ("mit-0", _MIT_GRANT + " the " + _AS_IS + " and noninfringement in no event shall the authors or copyright holders be liable"),
-    ("x11", _MIT_GRANT + " subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software {{120}} except as contained in this notice the name of {{8}} shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from"),
+    ("mit", _MIT_GRANT + _MIT_NOTICE + _MIT_END),
+    ("mit-0", _MIT_GRANT + " " + _MIT_END),
+    ("x11", _MIT_GRANT + _MIT_NOTICE + "the " + _AS_IS + " and noninfringement in no event shall {{8}}" + _LIABLE + _NO_ADVERTISING + "from"),
     ("isc", "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies " + _ISC_END),
     ("0bsd", "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted " + _ISC_END),
     ("bsd-1-clause", _BSD_GRANT + " " + _BSD_END),
@@ -52,16 +56,16 @@ TEMPLATES = [
     ("bsd-3-clause", _BSD_GRANT + " " + _BSD_BINARY + " {{1}} neither the name of {{12}} may be used to endorse or promote products derived from this software without specific prior written permission " + _BSD_END),
     ("bsd-4-clause", _BSD_GRANT + " " + _BSD_BINARY + " {{1}} all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by {{16}} neither the name of {{12}} may be used to endorse or promote products derived from this software without specific prior written permission " + _BSD_END),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions {{1}} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required {{1}} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {{1}} this notice may not be removed or altered from any source distribution"),
-    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
-    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {{4}} to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
-    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"),
-    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided that the above copyright notice appears in all copies and that both the copyright notice and this permission notice appear in supporting documentation"),
-    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the " + _AS_IS + " and noninfringement of third party rights"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the " + _AS_IS + " title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {{4}} to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions {{1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers {{1}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimers in the documentation and or other materials provided with the distribution {{1}} neither the names of {{24}} may be used to endorse or promote products derived from this software without specific prior written permission the " + _AS_IS + " and noninfringement in no event shall the contributors or copyright holders" + _LIABLE.replace("dealings in", "dealings with")),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies in no event shall {{12}} be liable to any party for direct indirect special incidental or consequential damages including lost profits arising out of the use of this software and its documentation even if {{12}} has been advised of the possibility of such damage {{12}} specifically disclaims any warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose the software provided hereunder is on an as is basis and {{12}} has no obligations to provide maintenance support updates enhancements or modifications"),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation" + _NAME_NOT_USED + " [[{{8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{8}} be liable for any special indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software]]"),
+    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided that the above copyright notice appears in all copies and that both the copyright notice and this permission notice appear in supporting documentation" + _NAME_NOT_USED),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the " + _AS_IS + " and noninfringement of third party rights in no event shall the authors or copyright holders" + _LIABLE + _NO_ADVERTISING + "of the copyright holder"),
     ("fair", "usage of the works is permitted provided that this instrument is retained with the works so that any entity that uses the works is notified of this instrument disclaimer the works are without warranty"),
     ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed do what the fuck you want to public license terms and conditions for copying distribution and modification 0 you just do what the fuck you want to"),
     ("beerware", "as long as you retain this notice you can do whatever you want with this stuff if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the " + _AS_IS + " and noninfringement in no event shall the authors" + _LIABLE),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc0", "to the extent possible under law {{20}} waived all copyright and related or neighboring rights to {{12}}"),
     ("apache-2", "licensed under the apache license version 2 [[0]] {{4}} you may not use this file except in compliance with the license you may obtain a copy of the license at {{8}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),

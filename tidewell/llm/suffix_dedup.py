@@ -10,11 +10,15 @@ equal places.
 2. Blocks send the stretches of text around shared anchors to the anchor's bucket, one for each
    distinct stretch, with the smallest doc_id that has it. Windows around a hot anchor are sent one
    by one to the window's own bucket, so that no bucket receives an unbounded group.
-3. A bucket builds suffix arrays over its distinct stretches. The windows that are equal stand
-   together in them, which gives the first document of each; it answers with the windows of each
-   stretch that some smaller document has. Windows that no other stretch can share are one symbol.
+3. A bucket merges equal stretches (by hashes that bytes confirm, keeping the smallest doc_id) and
+   builds suffix arrays over those that are left and may share a window with another one. The windows
+   that are equal stand together in them, which gives the first document of each; it answers with the
+   windows of each stretch that some smaller document has.
 4. Blocks turn the answers into removed bytes.
 
+So whole copies of a stretch go by the merging before the arrays, which keeps a passage that very many
+documents share from being sorted as often; windows of stretches that differ go by the arrays.
+
 The suffix array is built by linear grouping (Lyndon groups, see `suffix_array`). Hashes bring rows
 together; where two rows meet, their bytes are compared.
 
@@ -50,8 +54,6 @@ HOT_DOCUMENTS = 20_000
 SYMBOLS = 150_000
 #: Rows whose bytes are compared at a time.
 CONFIRMED = 50_000
-#: Bit of an answer that says that the stretch has its place in the array.
-PLACED = np.uint32(1 << 31)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -416,7 +418,7 @@ def _answer_stretches(table: pa.Table) -> pa.Table:
 
 
 def seen_earlier(text: np.ndarray, left: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Per stretch, a bit for each of its windows that a document smaller than the stretch's has, and PLACED.
+    """Per stretch, a bit for each of its windows that a document smaller than the stretch's has.
 
     A stretch has n windows; its anchor begins at byte `left`.
     """
@@ -426,9 +428,7 @@ def seen_earlier(text: np.ndarray, left: np.ndarray, n: np.ndarray, doc: np.ndar
     anchors = gathered(text[shown].reshape(-1), np.arange(len(shown)) * WIDE + left[shown], np.full(len(shown), K), width)
     order, begin, symbol = row_classes(anchors, np.zeros(len(shown), np.int64))
     members = np.diff(np.append(begin, len(shown)))
-    first = np.full((len(shown), SPAN), NO_ID)  # of each window, its smallest document, once the array has it
-    for at in range(0, len(shown), SYMBOLS // 2):
-        _alone(least, np.arange(at, min(len(shown), at + SYMBOLS // 2)), first)
+    first = np.repeat(least[:, None], SPAN, axis=1)  # of each window, its smallest document among equal stretches; the arrays add the others
     hard = np.flatnonzero(members[symbol] > 1)
     skip, count = _may_share(text, left, n, shown[hard], symbol[hard])
     order = np.flatnonzero(count > 0)
@@ -445,19 +445,7 @@ def seen_earlier(text: np.ndarray, left: np.ndarray, n: np.ndarray, doc: np.ndar
         at = to
     seen = first[which] < doc[:, None]
     seen &= np.arange(SPAN)[None, :] < n[:, None]
-    placed = (first[which, 0] <= doc) * PLACED
-    return (seen.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(axis=1, dtype=np.uint32) | placed.astype(np.uint32)
-
-
-def _alone(least: np.ndarray, some: np.ndarray, first: np.ndarray) -> None:
-    """Sort these stretches as one symbol each; what they share with others is sorted byte by byte after that."""
-    string = np.ones(2 * len(some) + 1, np.int64)
-    string[0:-1:2], string[-1] = some + 2, 0
-    order = np.array(suffix_array(string.tolist()))
-    at = order[order % 2 == 0]
-    at = at[at < 2 * len(some)] // 2
-    new = np.flatnonzero(np.concatenate([[True], some[at[1:]] != some[at[:-1]]]))
-    first[some[at]] = np.repeat(np.minimum.reduceat(least[some[at]], new), np.diff(np.append(new, len(at))))[:, None]
+    return (seen.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
 def _may_share(text: np.ndarray, left: np.ndarray, n: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -519,7 +507,7 @@ def removed_bytes(docs: Block, told: list[dict] | None) -> np.ndarray:
     if memory is not None:
         lo, n, row, later = _unpack(memory, "<u4", "u1", "<u4", "?")
         mask = np.frombuffer(_joined([x for x in told if x["bucket"] >= 0]), np.uint32)[row]
-        gone = ((mask[:, None] >> np.arange(SPAN, dtype=np.uint32)) & 1).astype(bool) | (later & (mask >= PLACED))[:, None]
+        gone = ((mask[:, None] >> np.arange(SPAN, dtype=np.uint32)) & 1).astype(bool) | later[:, None]
         gone &= np.arange(SPAN)[None, :] < n[:, None]
         r, o = np.nonzero(gone)
         at = lo[r].astype(np.int64) + o
