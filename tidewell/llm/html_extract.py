@@ -266,7 +266,7 @@ def _lent(order: list[int], blocks: dict[int, list], good: set[int]) -> set[int]
     homes: dict[int, list[int]] = {}
     for i, k in enumerate(order):
         if k in good:
-            for home in {blocks[k][3], blocks[k][6]}:
+            for home in {blocks[k][3], blocks[k][6] or blocks[k][3]}:
                 homes.setdefault(home, [i, i])[1] = i
     after = False
     for i in range(len(order) - 1, -1, -1):
