@@ -9,10 +9,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import common, pu_quality, queries, spelling, vector_codes
+from tidewell.llm import common, mixing, packing, pu_quality, quality, queries, sharding, simhash, spelling, suffix_dedup, vector_codes
 
 SF = "/root/testdata/sf0.01"
 ODD = "doc_id LONG, text STRING, lang STRING, source STRING, word STRING, n LONG, part INT, x BINARY, trusted BOOLEAN, score DOUBLE, m INT, low INT"
@@ -342,3 +343,68 @@ def test_pairs_come_once_and_meetings_are_bounded(spark):
 def test_variants_of_nothing(spark):
     assert spelling.variants(odd_docs(spark, [])).collect() == []
     assert spelling.variants(odd_docs(spark, [(1, "word word")])).collect() == []
+
+
+# Names that clash, equal rows, empty tables: the stages and operators that number or carry rows.
+
+
+CLASHING = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, _k1 STRING, _k2 STRING, _shard STRING, _place STRING, shard STRING, place STRING, row STRING, x INT, node INT, root INT, first STRING, own STRING, tie INT"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"s{k % 2}", 1, "k1", "k2", "sh", "pl", "a", "b", "r", 1, 2, 3, "f", "o", 4) for k, (i, t) in enumerate(rows)], CLASHING)
+
+
+def test_columns_keep_their_values(spark):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("aeioustrnl", k=5)) for _ in range(80)) for _ in range(20)]
+    docs = clashing(spark, [*enumerate(texts), (20, texts[0]), (21, texts[1] + " more")])
+    own = tuple(docs.first())[5:]
+    for out in (simhash.keep_similar_one(docs, 5, 0.8), mixing.Mix(docs).shuffled(docs), suffix_dedup.without_repeats(docs), quality.keep_good(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(tuple(r)[5:] == own for r in rows)
+    assert sorted(r["doc_id"] for r in simhash.keep_similar_one(docs, 5, 0.8).collect()) == list(range(20))
+    assert len(sharding.shard(docs).collect()) == 22
+
+
+def test_stages_of_empty_tables(spark):
+    empty = clashing(spark, [(1, "x")]).limit(0)
+    for out in (simhash.keep_similar_one(empty, 5, 0.8), mixing.Mix(empty).shuffled(empty), suffix_dedup.without_repeats(empty), quality.keep_good(empty)):
+        assert out.collect() == [] and out.columns == empty.columns
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_equal_rows_fill_all_shards(spark, doc_id):
+    docs = odd_docs(spark, [(doc_id, "the same row again and again")] * 2400)
+    rows = sharding.shard(docs).collect()
+    n = Counter(r["shard"] for r in rows)
+    assert len(n) == 24 and max(n.values()) - min(n.values()) <= 20  # places are hashes of 24 bits
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(k)) for s, k in n.items())
+
+
+def test_equal_rows_are_packed_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    docs = odd_docs(spark, [(7, "the same row again and again")] * 1000)
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == 1000 and all(sorted(x)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:])) for x in by.values())
+    length = rows[0]["length"]
+    assert len(by) == -(-1000 // (1024 // length))
+
+
+def test_fit_equals_dense_products():
+    """The products of patterns that grow with the active set are those of whole columns."""
+    rng = np.random.default_rng(0)
+    have = np.bincount(rng.integers(1, 64, 3000), minlength=65)
+    ways = packing.patterns(64)
+    found = packing.fit(have, ways)
+    m = np.zeros((65, len(found)))
+    for k in range(3):
+        np.add.at(m, (ways[list(found), k], np.arange(len(found))), 1.0)
+    m[0] = 0
+    goal = have.astype(float)
+    goal[0] = 0
+    z = np.linalg.lstsq(m, goal, rcond=None)[0]
+    assert np.allclose(m @ z, m @ np.array(list(found.values())), atol=1e-3) and min(found.values()) > 0

@@ -210,16 +210,20 @@ class Mix:
             "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", "block", "shards", "places"
         )
 
-    def copies(self, docs: DataFrame) -> DataFrame:
-        """The mixed corpus: a row for each taken copy, with docs' columns, its shard and its place key in the shard."""
+    def _copied(self, docs: DataFrame) -> DataFrame:
+        """(row, shard, place) of each taken copy, docs' rows as one column."""
         inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), _key("source").alias("k"))
         some = self._passes(inner.withColumn("h", self._hash())).select("row", F.explode(F.arrays_zip("shards", "places")).alias("x"))
-        return some.select("row.*", F.col("x.shards").alias("_shard"), F.col("x.places").alias("_place"))
+        return some.select("row", F.col("x.shards").alias("shard"), F.col("x.places").alias("place"))
+
+    def copies(self, docs: DataFrame) -> DataFrame:
+        """The mixed corpus: a row for each taken copy, with docs' columns, its shard (_shard) and its place key in the shard (_place)."""
+        return self._copied(docs).select("row.*", F.col("shard").alias("_shard"), F.col("place").alias("_place"))
 
     def shuffled(self, docs: DataFrame) -> DataFrame:
         """The mixed corpus with docs' columns, shard after shard, each in the order of its place keys."""
-        order = ("_shard", "_place")
-        return self.copies(docs).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+        order = ("shard", "place")
+        return self._copied(docs).repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 def _key(column: str) -> Column:

@@ -167,28 +167,33 @@ def fit(wanted: np.ndarray, ways: np.ndarray) -> dict[int, float]:
     active, x = np.zeros(0, np.int64), np.zeros(0)
     allowed = np.flatnonzero((goal[ways[:, 1]] > 0) & (goal[ways[:, 2]] > 0) & ((ways[:, 0] == 0) | (goal[ways[:, 0]] > 0)))
 
-    def matrix(cols: np.ndarray) -> np.ndarray:
-        m = np.zeros((len(goal), len(cols)))
-        for k in range(3):
-            np.add.at(m, (ways[cols, k], np.arange(len(cols))), 1.0)
-        m[0] = 0.0
-        return m
-
-    best, most = (np.inf, active, x), NNLS_COLUMNS
+    def held(cols: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The histogram of these patterns, repeated so often."""
+        out = np.bincount(ways[cols].ravel(), weights=np.repeat(x, 3), minlength=len(goal))
+        out[0] = 0.0
+        return out
+
+    def common(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Products of the patterns' columns: lengths in common, repeats counted."""
+        parts = (ways[some][:, :, None, None] == ways[others].T[None, None]) & (ways[some] > 0)[:, :, None, None]
+        return parts.sum(axis=(1, 2)).astype(float)
+
+    gram = np.zeros((0, 0))  # of the active patterns; grows and shrinks with them
+    best, most = (np.inf, active, x, gram), NNLS_COLUMNS
     while True:
-        left = goal - matrix(active) @ x if len(active) else goal.copy()
+        left = goal - held(active, x)
         left[0] = 0.0
         error = left @ left
         if error > (1 - NNLS_TOLERANCE) * best[0]:  # the columns let in bring the histogram hardly nearer: fewer at a time, from the best so far
-            best = min(best, (error, active, x), key=lambda e: e[0])
+            best = min(best, (error, active, x, gram), key=lambda e: e[0])
             if most == 1:
                 break
-            _, active, x = best
+            _, active, x, gram = best
             most = max(1, most // 4)
-            left = goal - matrix(active) @ x
+            left = goal - held(active, x)
             left[0] = 0.0
         else:
-            best = (error, active, x)
+            best = (error, active, x, gram)
         gain = left[ways[allowed]].sum(axis=1)
         gain[np.isin(allowed, active)] = 0.0
         used, new = set(), []
@@ -201,10 +206,11 @@ def fit(wanted: np.ndarray, ways: np.ndarray) -> dict[int, float]:
                 new.append(allowed[j])
         if not new:
             break
+        more = common(active, np.array(new))
+        gram = np.block([[gram, more], [more.T, common(np.array(new), np.array(new))]])
         active, x = np.concatenate([active, new]), np.concatenate([x, np.zeros(len(new))])
         while len(active):
-            m = matrix(active)
-            z = np.linalg.solve(m.T @ m + 1e-9 * np.eye(len(active)), m.T @ goal)
+            z = np.linalg.solve(gram + 1e-9 * np.eye(len(active)), goal[ways[active]].sum(axis=1))
             if (z > 0).all():
                 x = z
                 break
@@ -213,7 +219,7 @@ def fit(wanted: np.ndarray, ways: np.ndarray) -> dict[int, float]:
             x = x + step * (z - x)
             stay = x > 1e-9
             stay[np.flatnonzero(bad)[np.argmin(x[bad])]] = False
-            active, x = active[stay], x[stay]
+            active, x, gram = active[stay], x[stay], gram[np.ix_(stay, stay)]
     return dict(zip(best[1].tolist(), best[2].tolist()))
 
 
@@ -291,17 +297,17 @@ def _slots(chosen: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.nd
 
 def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end: int = END_ID, ranks: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = saved(pieces(docs, tokenizer, sequence, end, ranks), "pieces")
+    cut = saved(pieces(docs, tokenizer, sequence, end, ranks).withColumn("tie", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    whole = cut.filter(F.col("length") == sequence).select("*", (F.monotonically_increasing_id() + F.lit(WHOLE)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = cut.filter(F.col("length") == sequence).drop("tie").select("*", (F.monotonically_increasing_id() + F.lit(WHOLE)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     keys, bases, offsets = _slots(plan(histogram, sequence))
     parts = F.array(*[F.lit(max(1, histogram.get(length, 0) // PART_ROWS)) for length in range(1, sequence + 1)])
-    placed = cut.filter(F.col("length") < sequence).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts, F.col("length").cast("int"))))
+    placed = cut.filter(F.col("length") < sequence).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "tie"), F.element_at(parts, F.col("length").cast("int"))))
     counts = placed.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = placed.join(starts, ["length", "part"]).select(*cut.columns, (F.col("before") + F.row_number().over(inside) - 1).alias("rank"))
+    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "tie")
+    ranked = placed.join(starts, ["length", "part"]).select(*whole.columns[:-2], (F.col("before") + F.row_number().over(inside) - 1).alias("rank"))
 
     def rows(batches):
         for batch in batches:

@@ -9,7 +9,8 @@ a leaf holds the target bytes of one shard.
 Quantiles are found by digits: one aggregation gives the bytes of each of 4096 intervals, for all
 nodes and dimensions of a level at once; the interval that holds the quantile is cut again.
 Within one value of a dimension documents are ordered by text checksum, so that equal texts stay
-together, and a group of equal texts too large for that is cut by a hash of doc_id.
+together; a group of equal texts too large for that is cut by a hash of doc_id, and one of equal rows by
+a hash of the place that a row has where the points are written.
 
 The driver holds histograms and at most HEAVIEST values of a dimension, never documents. The points
 are written once; a document's node is an expression of the cuts made so far. The law is "bytes".
@@ -37,8 +38,8 @@ SLOT_ROWS = 20_000
 PLACES = 1 << 28
 HEAVIEST = 4_096
 DIMENSIONS = ("d_size", "d_lang", "d_source")
-#: Digits of a key: 60 bits of the dimension's value and checksum, then 48 of a hash of doc_id.
-DIGITS = 9
+#: Digits of a key: 60 bits of the dimension's value and checksum, 48 of a hash of doc_id, 24 of a hash of the row's place.
+DIGITS = 11
 _MASK = (1 << DIGIT_BITS) - 1
 
 
@@ -61,31 +62,38 @@ def _placed(rows: DataFrame, column: str, total: int) -> DataFrame:
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, crc, own (a hash of doc_id) and the keys of the dimensions, written out."""
+    """doc_id, size, crc, own (a hash of doc_id), tie (one of the row's place) and the keys of the dimensions, written out."""
     size = utf8_size(F.col("text")) + ROW_BYTES
     own = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 16)
-    base = saved(docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("crc"), own.alias("own"), _name("lang").alias("lang"), _name("source").alias("source")), "kd")
+    base = saved(docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("crc"), own.alias("own"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 24)).alias("tie"), _name("lang").alias("lang"), _name("source").alias("source")), "kd")
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     for column in ("lang", "source"):
         base = _placed(base, column, total)
     wide = F.least(F.floor((F.log2(F.col("size").cast("double")) - 3) * (PLACES / 20)), F.lit(PLACES - 1)).cast("long")  # 8 bytes to 8 MB and over
     key = lambda value: F.shiftleft(value, 32).bitwiseOR(F.col("crc"))
-    return saved(base.select("doc_id", "size", "crc", key(wide).alias("d_size"), key(F.col("lang")).alias("d_lang"), key(F.col("source")).alias("d_source"), "own"), "kd")
+    return saved(base.select("doc_id", "size", "crc", key(wide).alias("d_size"), key(F.col("lang")).alias("d_lang"), key(F.col("source")).alias("d_source"), "own", "tie"), "kd")
+
+
+#: The columns that a key's digits come from after the dimension's own: (column, digits up to here).
+_PARTS = (("own", 9), ("tie", DIGITS))
 
 
 def _digit(dim: str, k: int) -> Column:
-    """The k-th 12-bit digit: five of the dimension's key, then four of the document's own hash."""
-    at, bits = (F.col(dim), 60 - DIGIT_BITS * (k + 1)) if k < 5 else (F.col("own"), 48 - DIGIT_BITS * (k - 4))
-    return F.shiftrightunsigned(at, bits).bitwiseAND(_MASK).cast("int")
+    """The k-th 12-bit digit: five of the dimension's key, four of the document's own hash, two of the row's."""
+    at, end = next(((c, end) for c, end in ((dim, 5), *_PARTS) if k < end))
+    return F.shiftrightunsigned(F.col(at), DIGIT_BITS * (end - 1 - k)).bitwiseAND(_MASK).cast("int")
 
 
 def _below(dim: str, path: list[int]) -> Column:
     """Whether a point lies before the cut that these digits name."""
-    head = reduce(lambda a, d: a << DIGIT_BITS | d, path[:5], 0) << DIGIT_BITS * (5 - min(5, len(path)))
-    if len(path) <= 5:
-        return F.col(dim) < F.lit(head)
-    tail = reduce(lambda a, d: a << DIGIT_BITS | d, path[5:], 0) << DIGIT_BITS * (9 - len(path))
-    return (F.col(dim) < F.lit(head)) | (F.col(dim) == F.lit(head)) & (F.col("own") < F.lit(tail))
+    out, equal, begin = F.lit(False), F.lit(True), 0
+    for column, end in ((dim, 5), *_PARTS):
+        own = path[begin:end]
+        if own:
+            head = F.lit(reduce(lambda a, d: a << DIGIT_BITS | d, own, 0) << DIGIT_BITS * (end - begin - len(own)))
+            out, equal = out | equal & (F.col(column) < head), equal & (F.col(column) == head)
+        begin = end
+    return out
 
 
 def _case(column: str, choices: list[tuple[int, Column]], other: Column) -> Column:
@@ -204,14 +212,14 @@ def _node(cuts: dict[tuple[int, int], _Cut], at: int, n: int) -> Column:
 
 def _slotted(rows: DataFrame, shards: int) -> DataFrame:
     """Number each shard's rows without a gap: in parts of about SLOT_ROWS, each starting where the parts before it end."""
-    placed = rows.select("doc_id", "size", "crc", F.col("node").alias("shard"), "own")
+    placed = rows.select("doc_id", "size", "crc", F.col("node").alias("shard"), "own", "tie")
     n = placed.count()
     parts = max(1, n // (shards * SLOT_ROWS))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("own", "crc"), F.lit(parts)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("own", "crc", "tie"), F.lit(parts)))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "part").orderBy("own", "doc_id")
+    inside = Window.partitionBy("shard", "part").orderBy("own", "tie", "doc_id")
     return placed.join(starts, ["shard", "part"]).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("start") + F.row_number().over(inside) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -237,9 +237,10 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with two hashes of the whole row, _k1 and _k2."""
+    """(row, doc_id, text, _k1, _k2): docs' rows as one column, whatever their columns are called, and two hashes of each."""
     columns = [docs[c] for c in docs.columns] + [docs[c].isNull() for c in docs.columns]
-    return docs.withColumns({"_k1": F.xxhash64(*columns), "_k2": F.xxhash64(F.lit(SEED), *columns)})
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return docs.select(row, docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.xxhash64(*columns).alias("_k1"), F.xxhash64(F.lit(SEED), *columns).alias("_k2"))
 
 
 def set_marks(keyed: DataFrame, shingle: int) -> DataFrame:
@@ -348,4 +349,4 @@ def keep_similar_one(docs: DataFrame, shingle: int, similarity: float) -> DataFr
     kept = classes.join(roots, classes["node"] == roots["own"], "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("x")).select("x._k1", "x._k2")
     out = keyed.join(kept, ["_k1", "_k2"], "left_semi")
     counts = own.agg(F.count("*").alias("n"), F.count_distinct("_k1", "_k2").alias("rows")).first()
-    return (out if counts["n"] == counts["rows"] else out.dropDuplicates(["_k1", "_k2"])).select(*docs.columns)
+    return (out if counts["n"] == counts["rows"] else out.dropDuplicates(["_k1", "_k2"])).select("row.*")
