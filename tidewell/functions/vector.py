@@ -41,9 +41,11 @@ def search_score(a, b) -> Column:
 
 
 def fake_embedding(text, dimension: int) -> Column:
-    """A unit vector that depends on the text alone: normal numbers made of its hashes, by a generator of our own. For tests and trials."""
-    uniform = lambda i, salt: (F.pmod(F.xxhash64(_c(text), i, F.lit(salt)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-    normal = F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(2 * F.pi() * uniform(i, 2)))
+    """A unit vector that depends on the text alone: normal numbers from digests of the text's md5 and their place. For tests and trials."""
+    digest = lambda i: F.md5(F.concat_ws(":", F.md5(_c(text)), i.cast("string")))
+    uniform = lambda d, at: (F.conv(F.substring(d, at, 12), 16, 10).cast("double") + 1) / float((1 << 48) + 1)
+    digests = F.transform(F.sequence(F.lit(1), F.lit(dimension)), digest)
+    normal = F.transform(digests, lambda d: F.sqrt(-2 * F.log(uniform(d, 1))) * F.cos(2 * F.pi() * uniform(d, 13)))
     return unit(normal).cast("array<float>")
 
 

@@ -31,6 +31,20 @@ def step_seconds(span: Column) -> Column:
     return F.greatest(F.lit(STEP_LEAST), F.round(span / STEP_DIVISOR)).cast("int")
 
 
+def series_caps(samples: DataFrame, by: list[str], keys: list[str], name: str, most: int = SERIES_MOST) -> DataFrame:
+    """Per group: series, whether they are over the cap, and the metric names that a refusal lists (sorted, NAMES_MOST at most)."""
+    each = samples.select(*by, name, *[k for k in keys if k != name]).distinct()
+    names = F.slice(F.array_sort(F.collect_set(name)), 1, NAMES_MOST)
+    out = each.groupBy(*by).agg(F.count("*").alias("series"), names.alias("names"))
+    return out.select(*by, "series", (F.col("series") > most).alias("refused"), F.when(F.col("series") > most, F.array_join("names", ", ")).alias("names"))
+
+
+def window_problem(start: Column, end: Column, most: int = 6 * 3600) -> Column:
+    """What check_window would refuse, as a code, or null."""
+    span = (F.unix_micros(end) - F.unix_micros(start)) / 1_000_000
+    return F.when(start.isNull() != end.isNull(), "together").when(span <= 0, "order").when(span > most, "range")
+
+
 def check_window(start, end, most: int = 6 * 3600) -> None:
     if (start is None) != (end is None):
         raise Refusal("start and end go together")

@@ -119,6 +119,15 @@ def keep_newest(events: DataFrame, key: str, most: int, *order: Column) -> DataF
     return events.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
 
+def table_lines(rows: DataFrame, *order: str) -> DataFrame:
+    """(n, line) of a report's table: the head, then a line for each row of an aggregate in this order."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = rows.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("n"), line.alias("line"))
+    head = rows.sparkSession.createDataFrame([(0, f"| {' | '.join(rows.columns)} |"), (1, f"|{'---|' * len(rows.columns)}")], "n LONG, line STRING")
+    return head.unionByName(body)
+
+
 def markdown_table(rows: DataFrame) -> str:
     """A report's table, of an aggregate that fits the driver."""
     head = f"| {' | '.join(rows.columns)} |\n|{'---|' * len(rows.columns)}\n"

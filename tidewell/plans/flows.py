@@ -22,47 +22,43 @@ def step_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.children(turns, 7, "turn").select("conv_id", "turn", "role")
 
 
-@query("""SELECT 'item' || item_id || '.txt' AS filename, strlen(text) + 1 AS size_bytes, sha256(text || chr(10)) AS content_sha256, CASE WHEN item_id % 2 = 0 THEN 'runbook' ELSE 'postmortem' END AS document_type FROM benchmark""")
+@query("""SELECT source || '-' || doc_id // 100 || '.txt' AS filename, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS content_sha256, CASE WHEN doc_id // 100 % 2 = 0 THEN 'runbook' ELSE 'postmortem' END AS document_type
+FROM documents GROUP BY source, doc_id // 100""")
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of files with a manifest, read back with sizes and hashes."""
+    """Files of up to a hundred documents of a source, listed in a manifest of lines, read back with sizes and hashes."""
     folder = _folder(spark, "corpus")
-    items = table(spark, sf_dir, "benchmark")
-    items.select(F.concat(F.lit("item"), "item_id", F.lit(".txt")).alias("name"), "text").repartition("name").write.partitionBy("name").text(folder)
-    kind = F.when(F.col("item_id") % 2 == 0, "runbook").otherwise("postmortem")
-    listed = items.agg(F.to_json(F.struct(F.collect_list(F.struct(F.concat(F.lit("item"), "item_id", F.lit(".txt")).alias("source"), F.lit("s").alias("service"), kind.alias("document_type"))).alias("documents"))).alias("value"))
-    listed.coalesce(1).write.text(folder + "-manifest")
-    found = files.binary_files(spark, folder + "/*/*.txt").withColumn("filename", F.regexp_extract("path", "name=([^/]+)/", 1))
-    joined = files.corpus(found, files.manifest(spark, folder + "-manifest"))
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string")).alias("name"), "doc_id", "text")
+    docs.repartition("name").sortWithinPartitions("name", "doc_id").select("name", "text").write.partitionBy("name").text(folder)
+    kind = F.when(F.floor(F.min("doc_id") / 100) % 2 == 0, "runbook").otherwise("postmortem")
+    listed = docs.groupBy("name").agg(kind.alias("document_type")).select(F.concat("name", F.lit(".txt")).alias("source"), F.lit("s").alias("service"), "document_type")
+    listed.write.json(folder + "-manifest")
+    found = files.binary_files(spark, folder + "/*/*.txt").withColumn("filename", F.concat(F.regexp_extract("path", "name=([^/]+)/", 1), F.lit(".txt")))
+    joined = files.corpus(found, files.manifest_lines(spark, folder + "-manifest"))
     return joined.select("filename", "size_bytes", "content_sha256", "document_type")
 
 
 @query("""SELECT item_id AS n, text AS query, CAST(unnest(range(1, item_id % 3 + 2)) AS VARCHAR) AS source FROM benchmark""")
 def evaluation_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of twenty queries a file."""
     folder = _folder(spark, "eval")
     labels = F.transform(F.sequence(F.lit(1), (F.col("item_id") % 3 + 1).cast("int")), lambda i: F.struct(i.cast("string").alias("source"), F.lit("").alias("must_contain")))
     q = F.struct(F.col("text").alias("query"), F.col("item_id").cast("string").alias("note"), labels.alias("relevant"))
-    table(spark, sf_dir, "benchmark").agg(F.to_json(F.struct(F.collect_list(q).alias("queries")))).coalesce(1).write.text(folder)
+    sets = table(spark, sf_dir, "benchmark").groupBy(F.floor(F.col("item_id") / 20).alias("part")).agg(F.to_json(F.struct(F.collect_list(q).alias("queries"))).alias("value"))
+    sets.repartition("part").write.partitionBy("part").text(folder)
     return files.eval_set(spark, folder).select(F.col("note").cast("long").alias("n"), "query", "source")
 
 
 @query("""WITH l AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
-SELECT 'user' || user_id AS service, CAST(2 * n - 1 AS BIGINT) AS line_no, 'line ' || event_id AS raw FROM l""")
+SELECT 'user ' || user_id AS service, CAST(2 * n - 1 AS BIGINT) AS line_no, 'line ' || event_id AS raw FROM l""")
 def log_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log file for each user, a blank line before each record; line numbers count blank ones, from 0."""
     folder = _folder(spark, "logs")
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("user"), "user_id").alias("service"), F.explode(F.array(F.lit(""), F.concat(F.lit("line "), "event_id"))).alias("raw"), "event_id")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("user "), "user_id").alias("service"), F.explode(F.array(F.lit(""), F.concat(F.lit("line "), "event_id"))).alias("raw"), "event_id")
     e.repartition("service").sortWithinPartitions("service", "event_id", "raw").drop("event_id").write.partitionBy("service").text(folder)
-    lines = files.log_files(spark, folder + "/*/*.txt")
-    return _with_service(spark, lines, folder)
+    return files.log_files(spark, folder + "/*/*.txt").select("service", "line_no", "raw")
 
 
-def _with_service(spark: SparkSession, lines: DataFrame, folder: str) -> DataFrame:
-    """Spark names files itself; the folder's name stands for the file's here, known by any of its lines."""
-    named = spark.read.text(folder).select("service", F.col("value").alias("raw")).filter("raw <> ''")
-    return lines.drop("service").join(named, "raw").select("service", "line_no", "raw")
-
-
-@query("SELECT event_id, strlen(event_type) > 5 AS malformed, user_id FROM events WHERE strlen(event_type) <= 5")
+@query("SELECT event_id, event_type AS trace, user_id FROM events WHERE strlen(event_type) <= 5")
 def followed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages produced with headers, followed as a stream; malformed ones are passed over."""
     folder = _folder(spark, "messages")
@@ -76,7 +72,7 @@ def followed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages.produce(rows, folder)
     messages.check_partitions(spark.read.parquet(folder), 3)
     got = run.drained(messages.follow(messages.log_stream(spark, folder), "document_id"))
-    return got.select(F.col("offset").alias("event_id"), (F.length(F.col("headers")["trace"]) > 5).alias("malformed"), F.col("key").cast("long").alias("user_id"))
+    return got.select(F.col("offset").alias("event_id"), F.col("headers")["trace"].alias("trace"), F.col("key").cast("long").alias("user_id"))
 
 
 @query("""SELECT event_type AS name, user_id, epoch_us(ts) // 1000000 * 1000000 AS at, value FROM events UNION ALL SELECT 'scalar', NULL, 1700000000000000, 2.5""")
@@ -240,10 +236,13 @@ def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select(F.col("id").cast("long").alias("doc_id"), "status", "chunk_count", "failure_reason")
 
 
-@query("SELECT doc_id, true AS unit_length, true AS same_again FROM documents")
+@query("""WITH d AS (SELECT doc_id, unnest(range(1, 17)) AS i, md5(md5(text) || ':' || unnest(range(1, 17))) AS h FROM documents),
+n AS (SELECT doc_id, i, sqrt(-2 * ln((('0x' || h[1:12])::BIGINT + 1) / 281474976710657.0::DOUBLE)) * cos(2 * pi() * (('0x' || h[13:24])::BIGINT + 1) / 281474976710657.0::DOUBLE) AS x FROM d),
+u AS (SELECT doc_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM n)
+SELECT doc_id, round(max(x) FILTER (WHERE i = 1), 4) AS x1, round(max(x) FILTER (WHERE i = 9), 4) AS x9, round(max(x) FILTER (WHERE i = 16), 4) AS x16 FROM u GROUP BY 1""")
 def fake_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "documents").select("doc_id", vector.fake_embedding("text", 16).alias("a"), vector.fake_embedding(F.concat("text", F.lit("")), 16).alias("b"))
-    return e.select("doc_id", (F.abs(vector.norm("a") - 1) < 1e-6).alias("unit_length"), (F.col("a") == F.col("b")).alias("same_again"))
+    e = table(spark, sf_dir, "documents").select("doc_id", vector.fake_embedding("text", 16).alias("v"))
+    return e.select("doc_id", *[F.round(F.col("v")[i - 1].cast("double"), 4).alias(f"x{i}") for i in (1, 9, 16)])
 
 
 @query("SELECT doc_id, lang FROM documents WHERE source = 'src1'")

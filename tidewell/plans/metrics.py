@@ -57,6 +57,23 @@ def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.status_summary(samples(spark, sf_dir).withColumn("status", status), ["user_id"])
 
 
+@query("""WITH s AS (SELECT DISTINCT CAST(ts AS DATE) AS day, event_type, user_id FROM events), g AS (SELECT day, count(*) AS series, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS names FROM s GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS day, series, series > 50 AS refused, CASE WHEN series > 50 THEN names END AS names FROM g""")
+def capped_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's series are user and type; over fifty are refused with the names there are."""
+    s = samples(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
+    return metrics.series_caps(s, ["day"], ["event_type", "user_id"], "event_type")
+
+
+@query("""WITH w AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN ts END AS s, CASE WHEN event_id % 7 <> 0 THEN ts + to_minutes(CAST(event_id % 600 - 60 AS INTEGER)) END AS e FROM events)
+SELECT event_id, CASE WHEN (s IS NULL) <> (e IS NULL) THEN 'together' WHEN e <= s THEN 'order' WHEN e - s > INTERVAL 6 HOUR THEN 'range' END AS problem FROM w""")
+def checked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = samples(spark, sf_dir)
+    start = F.when(F.col("event_id") % 5 != 0, F.col("ts"))
+    end = F.when(F.col("event_id") % 7 != 0, F.timestamp_micros(F.unix_micros("ts") + (F.col("event_id") % 600 - 60) * 60_000_000))
+    return e.select("event_id", metrics.window_problem(start, end).alias("problem"))
+
+
 @query("""SELECT user_id, event_type, round(sum(value) FILTER (WHERE ts >= TIMESTAMP '2024-01-16'), 4) AS d_value FROM events GROUP BY 1, 2
 HAVING count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') > 0""")
 def counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:

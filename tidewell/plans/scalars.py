@@ -138,14 +138,13 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", T.sse_frame("id", "event_type", "props").alias("frame"), T.resume_after(seen).alias("after"))
 
 
-@query("""SELECT event_id, event_id % 4 = 0 AS ulid, event_id % 4 <> 1 AS request_id, event_id % 4 = 2 AS service FROM events""")
+@query("""SELECT event_id, event_id % 4 = 0 AS ulid, event_id % 4 <> 1 AS request_id, event_id % 4 IN (0, 2) AS service FROM events""")
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id").cast("string")
     cases = [F.concat(F.lit("01"), F.lpad(n, 24, "0")), F.concat(n, F.lit(" x")), F.concat(F.lit("svc-"), n), F.concat(F.lit("A_"), n)]
     v = F.element_at(F.array(*cases), (F.col("event_id") % 4 + 1).cast("int"))
     e = table(spark, sf_dir, "events").select("event_id", v.alias("v"))
-    # a ULID of digits is also a service name's alphabet, but begins a row of its own here
-    return e.select("event_id", T.is_ulid("v").alias("ulid"), T.is_request_id("v").alias("request_id"), (T.is_service("v") & ~T.is_ulid("v")).alias("service"))
+    return e.select("event_id", T.is_ulid("v").alias("ulid"), T.is_request_id("v").alias("request_id"), T.is_service("v").alias("service"))
 
 
 @query("""SELECT conv_id, turn, printf('Step %d/8, tool calls %d/5. ', turn + 1, turn // 2) || CASE WHEN turn >= 7 THEN 'No step is left after this: finish.' WHEN turn = 6 THEN 'One more step is left: finish unless it decides the matter.' ELSE printf('%d more steps are left.', 7 - turn) END AS budget,

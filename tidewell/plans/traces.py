@@ -88,19 +88,36 @@ def budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.budget_use(_outcomes(spark, sf_dir), o.select(action.alias("action_type"), F.when(F.col("o_orderpriority") == "1-URGENT", "REFUSED").otherwise("OK").alias("tool_status")))
 
 
-_CAUSES = [
-    (0, "the payment pool is exhausted", "payment-service", "payment", [["pool", "connection"]], ["cpu"], False),
-    (1, "payment is not cpu bound; the pool is exhausted", "payment-service", "payment", [["pool"]], ["cpu"], False),
-    (2, "cpu saturation, not the pool", "payment-service", "payment", [["cpu"]], ["pool"], False),
-    (3, "everything operates; no root cause", "", "payment", [], ["pool"], True),
-    (4, "the pool is exhausted", "checkout-service", "payment", [["pool"]], [], False),
-    (5, " ", "payment-service", "payment", [["pool"]], [], False),
-    (6, "slow disk", "payment-service", "payment", [["pool", "connection"]], [], False),
+#: (scenario, service, cause, whether it is right, how its reason begins): each failure mode of a mark.
+_ANSWERS = [
+    ("payment-latency", "payment-service", "The card processor that it calls is slow, so its connection pool fills up.", True, ""),
+    ("payment-latency", "payment-service", "All connections of the pool wait for a slow downstream call.", True, ""),
+    ("payment-latency", "payment-service (in fact the card processor behind it)", "The card processor is slow.", True, ""),
+    ("payment-latency", "checkout-service", "The client's timeout is too short.", False, 'named "checkout-service"'),
+    ("payment-latency", "payment-service", "Its CPU is saturated, so each request is slow.", False, "the diagnosis names"),
+    ("payment-cpu", "payment-service", "It is CPU saturated; the card processor is fine.", True, ""),
+    ("payment-latency", "payment-service", "It is slow.", False, "the diagnosis names none of"),
+    ("baseline", "", "Nothing is wrong: latency and errors are within budget.", True, ""),
+    ("baseline", "payment-service", "No root cause: both services are operating normally.", True, ""),
+    ("baseline", "payment-service", "Connection pool exhaustion slows checkout down.", False, ""),
+    ("baseline", "checkout-service", "It is not clear what is happening.", False, ""),
+    ("payment-latency", "", "  ", False, "the run produced no diagnosis"),
 ]
+_MARKS = ", ".join(f"({n}, {str(right).lower()}, '{why}')" for n, (_, _, _, right, why) in enumerate(_ANSWERS))
 
 
-@query("""SELECT CAST(n AS INTEGER) AS n, correct, why FROM (VALUES (0, true, ''), (1, true, ''), (2, true, ''), (3, true, ''),
-(4, false, 'named "checkout-service", want payment'), (5, false, 'the run produced no diagnosis'), (6, false, 'the diagnosis names none of: pool, connection')) v(n, correct, why)""")
+@query(f"""SELECT c_custkey, correct, why AS reason_begins FROM customer JOIN (VALUES {_MARKS}) v(n, correct, why) ON c_custkey % {len(_ANSWERS)} = n""")
 def mark_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_CAUSES, "n INT, root_cause STRING, affected_service STRING, service STRING, any_groups ARRAY<ARRAY<STRING>>, not_terms ARRAY<STRING>, healthy BOOLEAN")
-    return rows.select("n", scoring.mark().alias("m")).select("n", "m.correct", "m.why")
+    """Customers give twelve answers in turn, each marked by its scenario."""
+    rows = spark.createDataFrame([(n, *x) for n, x in enumerate(_ANSWERS)], "n INT, scenario STRING, affected_service STRING, root_cause STRING, right BOOLEAN, begins STRING")
+    given = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(_ANSWERS)).cast("int").alias("n")).join(F.broadcast(rows), "n")
+    marked = traces.rescored(given, scoring.scenarios(spark), scoring.mark())
+    why = F.coalesce("mark.why", F.lit(""))
+    return marked.select("c_custkey", "mark.correct", F.when(F.startswith(why, "begins"), F.col("begins")).otherwise(why).alias("reason_begins"))
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS scenario, count(*) AS runs, count(*) FILTER (WHERE c_acctbal > 2000) AS correct FROM customer GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY scenario) AS n FROM s)
+SELECT CAST(0 AS BIGINT) AS n, '| scenario | runs | correct |' AS line UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT n + 1, '| ' || scenario || ' | ' || runs || ' | ' || correct || ' |' FROM n""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("scenario")).agg(F.count("*").alias("runs"), F.count_if(F.col("c_acctbal") > 2000).alias("correct"))
+    return traces.table_lines(c, "scenario")

@@ -19,7 +19,7 @@ def binary_files(spark: SparkSession, path: str, most: int = UPLOAD_BYTES) -> Da
 
 
 def log_files(spark: SparkSession, path: str) -> DataFrame:
-    """service, line_no, raw: one row a line in file order; the service is the file's name.
+    """service, line_no, raw: one row a line in file order; the service is that of the file's folder (service=<name>), else the file's name.
 
     Files are read in splits; lines are numbered in their split, and splits in their file.
     """
@@ -29,7 +29,8 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.withColumn("n", F.row_number().over(inside.orderBy("at")) - 1)
     sizes = lines.groupBy("path", "block").agg(F.count("*").alias("lines"))
     before = sizes.select("path", "block", (F.sum("lines").over(Window.partitionBy("path").orderBy("block")) - F.col("lines")).alias("before"))
-    service = F.regexp_replace(F.substring_index("path", "/", -1), r"\.log$", "")
+    folder = F.regexp_extract("path", r"/service=([^/]+)/[^/]*$", 1)
+    service = F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_replace(F.substring_index("path", "/", -1), r"\.log$", ""))
     return lines.join(before, ["path", "block"]).filter("raw <> ''").select(service.alias("service"), (F.col("before") + F.col("n")).alias("line_no"), "raw")
 
 
@@ -61,6 +62,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("documents ARRAY<STRUCT<source: STRING, service: STRING, document_type: STRING>>").json(path, multiLine=True).select(F.inline("documents"))
 
 
+def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest of JSON lines, in as many files as it takes."""
+    return spark.read.schema("source STRING, service STRING, document_type STRING").json(path)
+
+
 def corpus(files: DataFrame, listed: DataFrame) -> DataFrame:
     """files joined to their manifest entry; raises if a file isn't listed."""
     unlisted = [r["filename"] for r in files.join(listed, files["filename"] == listed["source"], "left_anti").select("filename").limit(5).collect()]
