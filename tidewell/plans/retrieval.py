@@ -66,7 +66,7 @@ def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = 'src' || (b.item_id % 5) AND contains(d.text, b.text))")
 def unresolved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 5).alias("source"), F.col("text").alias("must_contain"))
-    return retrieval.unresolved_labels(labels, table(spark, sf_dir, "documents").select("source", F.col("text").alias("content"))).select("item_id")
+    return retrieval.unresolved_labels(labels, table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("content")), "doc_id").select("item_id")
 
 
 @query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
