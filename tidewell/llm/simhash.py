@@ -258,16 +258,16 @@ def set_marks(keyed: DataFrame, shingle: int) -> DataFrame:
 
 
 def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
-    """(node, members, sketch) of each distinct set of shingles."""
+    """(node, members, sketch, bands) of each distinct set of shingles, bands being its keys as bytes."""
 
     def rows(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(x, shingle)) for x in batch.column("text").to_pylist()]
             ids = np.array([_set_id(x) for x in sets], dtype=np.uint64).view(np.int64)
-            columns = [pa.array(ids, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(sketch, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "members", "sketch"])
+            columns = [pa.array(ids, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(sketch, sets), pa.binary()), pa.array([band_keys(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "members", "sketch", "bands"])
 
-    return keyed.select("text").mapInArrow(rows, "node long, members array<long>, sketch binary")
+    return keyed.select("text").mapInArrow(rows, "node long, members array<long>, sketch binary, bands binary")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -278,17 +278,20 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _asked(met: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, best: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components that can have that similarity; with best only each member's likeliest."""
+    """Pairs (a, b) of a bucket in different components that can have that similarity; with best only each member's likeliest.
+
+    Two members that share several buckets are a pair of the first one only.
+    """
     roots = roots.withColumnsRenamed({"node": "own"})
     tagged = saved(met.drop("a").join(roots, met["node"] == roots["own"], "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "fp"), "simhash-tagged")
     mixed = tagged.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("key")
-    rest = tagged.join(mixed, "key", "left_semi").join(sets.select("node", "sketch"), "node")
-    rest = rest.select("key", "root", "node", "n", "fp", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    rest = tagged.join(mixed, "key", "left_semi").join(sets.select("node", "sketch", "bands"), "node")
+    rest = rest.select("key", "root", "node", "n", "fp", "sketch", "bands").repartition("key").sortWithinPartitions("key", "node")
 
     def rows(batches):
-        for key, root, node, n, fp, marks in whole_runs(batches, ("key", "root", "node", "n", "fp", "sketch"), 1):
+        for key, root, node, n, fp, marks, bands in whole_runs(batches, ("key", "root", "node", "n", "fp", "sketch", "bands"), 1):
             i, step, u = np.arange(len(key)), 0, np.ascontiguousarray(fp).view(np.uint64)
-            marks = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, SKETCH)
+            marks, bands = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, SKETCH), np.frombuffer(b"".join(bands), np.int64).reshape(-1, BANDS)
             likest, partner = np.full(len(key), -1.0), np.zeros(len(key), np.int64)
             while True:
                 step += 1
@@ -301,6 +304,9 @@ def _asked(met: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float,
                 at = i[near]
                 like, meets = sketches_meet(marks[at], marks[at + step], n[at] + n[at + step], similarity)
                 at, like = at[meets], like[meets]
+                if not best:
+                    first = (bands[at] == bands[at + step]).argmax(axis=1)
+                    at = at[bands[at, first] == key[at]]
                 if best:
                     for x, y in ((at, at + step), (at + step, at)):
                         more = like > likest[x]
