@@ -55,6 +55,7 @@ def mark(root_cause: str = "root_cause", affected: str = "affected_service", ser
     calm = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in HEALTHY_TERMS])
     out = lambda good, s, c, why: F.struct(F.lit(good).alias("correct"), F.lit(s).alias("service_ok"), F.lit(c).alias("cause_ok"), (why if isinstance(why, Column) else F.lit(why)).alias("why"))
     shown = F.when(named == "", F.lit("nothing")).otherwise(quoted_name(affected))
+    # the sentences are fixed values
     return (
         F.when(F.trim(text) == "", out(False, False, False, "the run produced no diagnosis"))
         .when(F.col(healthy) & rested.isNotNull(), out(False, True, False, F.concat(F.lit("invented a root cause: "), rested)))

@@ -219,6 +219,7 @@ def containing(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text
 def prefix_that_fits(hits: DataFrame, group: str, rank: str = "rank", size: str = "bytes", most: int = CAP_BYTES) -> DataFrame:
     """Per group, how many leading hits fit when a notice is added if any is left out: shown, total."""
     w = Window.partitionBy(group).orderBy(rank)
+    # the notice is a fixed value
     notice = F.octet_length(F.format_string("\n\n(%d of %d hits shown; the rest did not fit)", F.col("_n"), F.col("total")))
     run = (
         hits.withColumn("_n", F.row_number().over(w)).withColumn("total", F.count("*").over(Window.partitionBy(group)))

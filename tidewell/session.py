@@ -60,7 +60,12 @@ class Settings:
         return self._read(key, default, _seconds, "a duration such as 30s or 5m, not below 0")
 
     def one_of(self, key: str, default: str, *allowed: str) -> str:
-        return self._read(key, default, lambda v: next(x for x in allowed if x == v.lower()) if v.lower() in allowed else int("no"), "one of " + ", ".join(allowed))
+        def chosen(value: str) -> str:
+            if value.lower() not in allowed:
+                raise ValueError(value)
+            return value.lower()
+
+        return self._read(key, default, chosen, "one of " + ", ".join(allowed))
 
     def names(self, key: str) -> list[str]:
         """A comma list; empty items don't count."""
@@ -82,7 +87,9 @@ class Settings:
 
 
 def _flag(value: str) -> bool:
-    return {"1": True, "t": True, "true": True, "0": False, "f": False, "false": False}.get(value.lower()) if value.lower() in ("1", "t", "true", "0", "f", "false") else bool(int("no"))
+    if value.lower() not in ("1", "t", "true", "0", "f", "false"):
+        raise ValueError(value)
+    return value.lower() in ("1", "t", "true")
 
 
 def _seconds(value: str) -> float:
