@@ -159,3 +159,21 @@ def test_sketches_never_part_sets_that_are_alike():
             apart += not simhash.sketches_meet(marks[0], marks[2], np.array([len(x) + len(z)]), 0.8)[1].all()
         assert apart == 40 or size < 5
     assert simhash.sketch(np.zeros(0, np.uint64)) == bytes(simhash.SKETCH)
+
+
+def test_near_copies_go_through_blocks_and_pivots(spark, monkeypatch):
+    """Close fingerprints share a bucket of blocks, also where no band of least hashes meets; the pivot table is asked."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    fp, near = simhash.majority(base), 0
+    for k in range(40):
+        other = base.copy()
+        other[rng.integers(0, 4000, 60)] ^= np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)
+        if (fp ^ simhash.majority(other)).bit_count() <= simhash.MOST_BITS:
+            near += 1
+            assert set(simhash.set_keys(base)[simhash.BANDS :].tolist()) & set(simhash.set_keys(other)[simhash.BANDS :].tolist())
+    assert near > 5 and len(simhash.set_keys(base)) == simhash.KEYS and not len(simhash.set_keys(base[:0]))
+    asked, pivots = [], simhash.pivots
+    monkeypatch.setattr(simhash, "pivots", lambda *a: asked.append(1) or pivots(*a))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z u v w")], "doc_id LONG, text STRING")
+    assert sorted(r["doc_id"] for r in simhash.keep_similar_one(docs, 5, 0.8).collect()) == [1, 3] and asked

@@ -11,8 +11,10 @@ the same links. Only a spanning forest of a batch's links leaves the task.
 
 The pipeline's stage has another rule, links between texts whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more (keep_similar_one). Their fingerprints differ in 10 bits on
-average, for which blocks of bits and pivots discard next to nothing; so buckets are bands of least
-hashes there, and candidates are verified by their sets.
+average, so blocks of bits alone would miss most of them: a set goes to the fifteen buckets of its
+fingerprint and to buckets that are bands of least hashes. Pairs with a bucket's smallest member are
+verified at once; of the others the pivot table discards, Hamming distances and sketches screen what
+is left, and the sets verify the survivors.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked
 like any other; repeated rows share their fingerprint; component_id is the smallest doc_id that can
@@ -42,6 +44,8 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 BATCH_HASHES = 200_000
 #: Of similar_links: BANDS keys of ROWS least hashes each. Sets of similarity 0.8 share no key with a chance of (1 - 0.8^4)^20 = 0.00003.
 BANDS, ROWS = 20, 4
+#: Keys of a set: its bands' and those of fifteen choices of blocks.
+KEYS = BANDS + 15
 #: Fingerprints of sets with similarity 0.8 differ in 10 bits on average, deviation 3.
 WIDE_BITS = 24
 #: A set's sketch has the least hash of each of SKETCH ranges. The share of equal ones among ranges in use estimates the
@@ -232,6 +236,15 @@ def sketches_meet(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: f
 
 
 
+def set_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set's buckets: its bands' and those of its fingerprint's blocks; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    fp = majority(hashes)
+    blocks = [xxhash.xxh64_intdigest((fp & m).to_bytes(8, "little"), BANDS + k) for k, m in enumerate(bucket_masks())]
+    return np.concatenate([band_keys(hashes), np.array(blocks, dtype=np.uint64)])
+
+
 def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
 
@@ -244,13 +257,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def set_marks(keyed: DataFrame, shingle: int) -> DataFrame:
-    """Per row its keys, doc_id, and of its set of shingles: an id, the size, the fingerprint and the band keys."""
+    """Per row its keys, doc_id, and of its set of shingles: an id, the size, the fingerprint and the keys of its buckets."""
 
     def rows(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(x, shingle)) for x in batch.column("text").to_pylist()]
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64())
-            bands = [band_keys(x).view(np.int64) for x in sets]
+            bands = [set_keys(x).view(np.int64) for x in sets]
             columns = [signed([_set_id(x) for x in sets]), pa.array(map(len, sets), pa.int64()), signed([majority(x) for x in sets]), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), batch.column("doc_id"), *columns], names=["_k1", "_k2", "doc_id", "node", "n", "fp", "bands"])
 
@@ -264,7 +277,7 @@ def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x, shingle)) for x in batch.column("text").to_pylist()]
             ids = np.array([_set_id(x) for x in sets], dtype=np.uint64).view(np.int64)
-            columns = [pa.array(ids, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(sketch, sets), pa.binary()), pa.array([band_keys(x).tobytes() for x in sets], pa.binary())]
+            columns = [pa.array(ids, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(sketch, sets), pa.binary()), pa.array([set_keys(x).tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "members", "sketch", "bands"])
 
     return keyed.select("text").mapInArrow(rows, "node long, members array<long>, sketch binary, bands binary")
@@ -288,10 +301,13 @@ def _asked(met: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float,
     rest = tagged.join(mixed, "key", "left_semi").join(sets.select("node", "sketch", "bands"), "node")
     rest = rest.select("key", "root", "node", "n", "fp", "sketch", "bands").repartition("key").sortWithinPartitions("key", "node")
 
+    references = pivots()
+
     def rows(batches):
         for key, root, node, n, fp, marks, bands in whole_runs(batches, ("key", "root", "node", "n", "fp", "sketch", "bands"), 1):
             i, step, u = np.arange(len(key)), 0, np.ascontiguousarray(fp).view(np.uint64)
-            marks, bands = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, SKETCH), np.frombuffer(b"".join(bands), np.int64).reshape(-1, BANDS)
+            marks, bands = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, SKETCH), np.frombuffer(b"".join(bands), np.int64).reshape(-1, KEYS)
+            table = np.bitwise_count(u[:, None] ^ references[None, :]).astype(np.int8)
             likest, partner = np.full(len(key), -1.0), np.zeros(len(key), np.int64)
             while True:
                 step += 1
@@ -300,8 +316,10 @@ def _asked(met: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float,
                 if not len(i):
                     break
                 j = i + step
-                near = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count(u[i] ^ u[j]) <= WIDE_BITS)
+                near = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
                 at = i[near]
+                at = at[np.abs(table[at] - table[at + step]).max(axis=1) <= WIDE_BITS]
+                at = at[np.bitwise_count(u[at] ^ u[at + step]) <= WIDE_BITS]
                 like, meets = sketches_meet(marks[at], marks[at + step], n[at] + n[at + step], similarity)
                 at, like = at[meets], like[meets]
                 if not best:
