@@ -1,10 +1,12 @@
 """Operators on golden values."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions import vector
 from tidewell.operators import chunking, lifecycle, logs, metrics, retrieval, store, traces
 from tidewell.sources import files, messages
 
@@ -266,3 +268,13 @@ def test_files(spark, tmp_path):
         files.eval_set(spark, str(tmp_path / "bad.json"))
     b = files.binary_files(spark, str(tmp_path / "pay.log"), most=10).first()
     assert b["too_large"] and b["content"] is None
+
+
+def test_a_fake_embedding_hashes_its_text_once(spark):
+    """A digest for each use of each place would hash this text 8,000 times. No text, no vector."""
+    text = "x" * 4_000_000
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text STRING")
+    began = time.monotonic()
+    out = [r["v"] for r in df.select(vector.fake_embedding("text", 64).alias("v")).collect()]
+    assert time.monotonic() - began < 30 and out[1] is None and len(out[0]) == len(out[2]) == 64
+    assert abs(sum(x * x for x in out[0]) - 1) < 1e-5

@@ -16,6 +16,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(x, use: Callable[[Column], Column]) -> Column:
+    """use(x), x being computed once a row however often use names it; inside a lambda a plain column would be computed for each element."""
+    return F.get(F.transform(F.array(_c(x)), use), F.lit(0))
+
+
 def dot(a, b) -> Column:
     pairs = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
@@ -27,8 +32,7 @@ def norm(a) -> Column:
 
 def unit(a) -> Column:
     """The vector at unit length, as doubles; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: x.cast("double") / n))
+    return _once(a, lambda v: _once(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))))
 
 
 def cosine(a, b) -> Column:
@@ -42,9 +46,9 @@ def search_score(a, b) -> Column:
 
 def fake_embedding(text, dimension: int) -> Column:
     """A unit vector that depends on the text alone: normal numbers from digests of the text's md5 and their place. For tests and trials."""
-    digest = lambda i: F.md5(F.concat_ws(":", F.md5(_c(text)), i.cast("string")))
+    places = F.sequence(F.lit(1), F.lit(dimension))
     uniform = lambda d, at: (F.conv(F.substring(d, at, 12), 16, 10).cast("double") + 1) / float((1 << 48) + 1)
-    digests = F.transform(F.sequence(F.lit(1), F.lit(dimension)), digest)
+    digests = _once(F.md5(_c(text)), lambda own: F.transform(places, lambda i: F.md5(F.concat(own, F.lit(":"), i.cast("string")))))
     normal = F.transform(digests, lambda d: F.sqrt(-2 * F.log(uniform(d, 1))) * F.cos(2 * F.pi() * uniform(d, 13)))
     return unit(normal).cast("array<float>")
 
