@@ -7,6 +7,7 @@ import time
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,6 +287,38 @@ def test_timeline_changes(spark, tmp_path):
     assert {k: v for k, v in last.items() if v} == {(r["run_id"], r["step_number"]): r["data"] for r in want}
 
 
+def test_timeline_writes_its_state_once_a_batch():
+    """A call of the state is a message to the executor: as many as there are steps, not events. Two starts in one batch drop no mark."""
+    calls = []
+
+    class Value:
+        def exists(self):
+            return True
+
+        def get(self):
+            return (1,)
+
+        def update(self, x):
+            calls.append(x)
+
+    class Steps(dict):
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+        def clear(self):
+            calls.append("clear")
+            dict.clear(self)
+
+    t = runs.Timeline()
+    t.attempt, t.steps = Value(), Steps({(1,): (0, 0, "a"), (9,): (0, 0, "z")})
+    came = [(i, i, "step.completed", i % 3, str(i)) for i in range(300)] + [(300, 300, "run.started", None, None), (301, 301, "run.started", None, None)]
+    came += [(i, i, "step.completed", i % 2, str(i)) for i in range(302, 400)]
+    (out,) = t.handleInputRows(("r",), iter([pd.DataFrame(came, columns=["ms", "seq", "event", "step_number", "data"])]), None)
+    assert len(calls) == 4 and t.steps == {(0,): (398, 398, "398"), (1,): (399, 399, "399")}
+    assert sorted((r.step_number, r.data, r.gone, r.attempt) for r in out.itertuples()) == [(0, "398", False, 3), (1, "399", False, 3), (2, None, True, 3), (9, None, True, 3)]
+
+
 def test_retention_is_bounded_and_ends(spark, tmp_path):
     schema = "run_id STRING, ts TIMESTAMP, ms LONG, seq LONG, id STRING"
     at = lambda run_id, s: (run_id, T0 + timedelta(seconds=s), int((T0.timestamp() + s) * 1000), 0, f"{s}")

@@ -87,19 +87,27 @@ class Timeline(StatefulProcessor):
         self.steps = handle.getMapState("steps", "step INT", "ms LONG, seq LONG, data STRING")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        attempt = self.attempt.get()[0] if self.attempt.exists() else 0
+        # each call of the state is a message to the executor: one reads it, and only what is left at the end is written
+        old = self.attempt.exists()
+        attempt = self.attempt.get()[0] if old else 0
         came = pd.concat(rows).sort_values(["ms", "seq"], kind="stable")
         changed: dict[int, tuple] = {}
+        known = {k[0] for k in self.steps.keys()} if old else set()
+        cleared = False
         for ms, seq, event, step, data in zip(came["ms"], came["seq"], came["event"], came["step_number"], came["data"]):
             if event == "run.started":
                 attempt += 1
-                known = {k[0] for k in self.steps.keys()} | {s for s, x in changed.items() if not x[4]}
-                changed = {s: (key[0], attempt, s, None, True, int(ms), int(seq)) for s in known}
-                self.steps.clear()
+                changed = {s: (key[0], attempt, s, None, True, int(ms), int(seq)) for s in known | changed.keys()}  # also where two attempts begin at once
+                known, cleared = set(), True
             elif event == "step.completed":
-                self.steps.updateValue((int(step),), (int(ms), int(seq), data))
+                known.add(int(step))
                 changed[int(step)] = (key[0], attempt, int(step), data, False, int(ms), int(seq))
         self.attempt.update((attempt,))
+        if cleared and old:
+            self.steps.clear()
+        for step, x in changed.items():
+            if not x[4]:
+                self.steps.updateValue((step,), (x[5], x[6], x[3]))
         if changed:
             yield pd.DataFrame(list(changed.values()), columns=_CHANGE)
 
