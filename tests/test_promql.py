@@ -232,3 +232,16 @@ def test_filters_reach_the_scan(spark, samples, tmp_path):
 def test_no_samples(spark, samples):
     assert promql.instant(samples.limit(0), "sum(rate(c_total[5m]))", T0).collect() == []
     assert promql.instant(samples, "missing", T0).collect() == []
+
+
+def test_tasks_grow_in_number_not_in_size(spark, monkeypatch):
+    """A range vector's samples are dealt by how many there are: with a task's share a tenth of them there are at least ten tasks, and the same values."""
+    rows = [("m", {"i": str(i)}, datetime(2024, 1, 1, tzinfo=UTC) + timedelta(minutes=k), float(k)) for i in range(30) for k in range(20)]
+    s = spark.createDataFrame(rows, "name STRING, labels MAP<STRING, STRING>, ts TIMESTAMP, value DOUBLE")
+    found = []
+    for most in (promql.TASK_SAMPLES, 30):
+        monkeypatch.setattr(promql, "TASK_SAMPLES", most)
+        e = promql._Evaluation(s, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 20), 300, 300)
+        dealt, _, _ = e.dealt(promql.Selector("m", [], 600.0), 600.0)
+        found.append((dealt.rdd.getNumPartitions(), sorted(map(str, promql.evaluate(s, "sum by (i) (rate(m[10m]))", datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 20), 300).collect()))))
+    assert found[0][1] == found[1][1] and found[1][0] >= 30 > found[0][0]

@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import metrics
-from tidewell.operators.store import Refusal
+from tidewell.operators.store import Refusal, dealt_out
 
 LOOK_BACK = 300.0
 #: A slab of steps is so many times as long as the window that its first step needs.
 SLAB = 10
+#: Samples of a task, counted once for each step that sees them; a task's memory follows from it, whatever the input's size.
+TASK_SAMPLES = 400_000
 SERIES = "array<struct<key: string, value: string>>"
 
 # What a text says.
@@ -339,6 +341,8 @@ class _Evaluation:
         slabs = F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))
         dealt = seen.withColumn("slab", F.explode(slabs))
         dealt = dealt.withColumns({"low": F.greatest("low", F.col("slab") * size), "high": F.least("high", (F.col("slab") + 1) * size - 1)})
+        seeing = max(1, min(self.steps, round(window / self.step)))
+        dealt = dealt_out(dealt, rows.count() * seeing, TASK_SAMPLES, "series", "slab")
         return dealt, Window.partitionBy("series", "slab").orderBy("at"), size
 
     @staticmethod

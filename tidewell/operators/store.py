@@ -81,6 +81,13 @@ def top_per_category(rows: DataFrame, category: str | Column, order: str, n: int
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def dealt_out(rows: DataFrame, n: int, most: int, *keys: str) -> DataFrame:
+    """rows by their keys, in so many partitions that one has about `most` of the n rows. Spark's own number is fixed, so that a task's memory grows with the input."""
+    if n <= most:
+        return rows
+    return rows.repartition(min(100_000, max(-(-n // most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))), *keys)
+
+
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The last version of each key: an upsert read back."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import metrics
+from tidewell.operators.promql import TASK_SAMPLES
+from tidewell.operators.store import dealt_out
 from tidewell.plans.registry import query, table
 from tidewell.streaming import windows
 
@@ -15,10 +17,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def by_series(rows: DataFrame) -> DataFrame:
+    return dealt_out(rows, rows.count(), TASK_SAMPLES, "user_id", "event_type")
+
+
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter per user and type that grows by each value and starts anew after every tenth event."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts")
-    s = samples(spark, sf_dir).withColumn("life", F.floor((F.row_number().over(w) - 1) / 10))
+    s = by_series(samples(spark, sf_dir)).withColumn("life", F.floor((F.row_number().over(w) - 1) / 10))
     grown = F.sum("value").over(Window.partitionBy("user_id", "event_type", "life").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     return s.withColumn("value", F.round(grown, 2)).drop("life")
 

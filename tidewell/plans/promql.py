@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import promql
-from tidewell.plans.metrics import _COUNTERS, counters, samples
+from tidewell.plans.metrics import _COUNTERS, by_series, counters, samples
 from tidewell.plans.registry import query
 
 BOUNDS = (1.0, 5.0, 10.0, 50.0, 100.0, 500.0)
@@ -25,7 +25,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, kind = F.col("user_id").cast("string"), F.col("event_type")
     reason, job = F.concat(F.lit("reason"), F.col("user_id") % 3), F.element_at(F.array(*map(F.lit, JOBS)), (F.col("user_id") % len(JOBS) + 1).cast("int"))
     events, upto = samples(spark, sf_dir), Window.partitionBy("user_id", "event_type").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    counts = events.select("*", *[F.count_if(F.col("value") <= b).over(upto).alias(f"c{i}") for i, b in enumerate((*BOUNDS, float("inf")))])
+    counts = by_series(events).select("*", *[F.count_if(F.col("value") <= b).over(upto).alias(f"c{i}") for i, b in enumerate((*BOUNDS, float("inf")))])
     each = F.array(*[F.struct(F.lit("+Inf" if b == float("inf") else f"{b:g}").alias("le"), F.col(f"c{i}").alias("n")) for i, b in enumerate((*BOUNDS, float("inf")))])
     buckets = counts.select("user_id", "event_type", "ts", F.inline(each))
     return (
