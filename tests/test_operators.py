@@ -278,3 +278,14 @@ def test_a_fake_embedding_hashes_its_text_once(spark):
     out = [r["v"] for r in df.select(vector.fake_embedding("text", 64).alias("v")).collect()]
     assert time.monotonic() - began < 30 and out[1] is None and len(out[0]) == len(out[2]) == 64
     assert abs(sum(x * x for x in out[0]) - 1) < 1e-5
+
+
+def test_evidence_is_dealt_by_its_rows(spark, monkeypatch):
+    """Tasks grow in number with the rows, with the same result."""
+    steps = spark.createDataFrame([(r, s, "x", "retrieve" if s % 2 else "tool_call", "t", "") for r in range(5) for s in range(4)], "run_id INT, step_number INT, step_id STRING, action_type STRING, tool_name STRING, summary STRING")
+    hits = spark.createDataFrame([(r, s, d, k, f"{d}-{k}", "") for r in range(5) for s in range(4) for d in range(5) for k in (2, 1)], "run_id INT, step_number INT, document_id INT, rank INT, source STRING, content STRING")
+    cited = hits.select("run_id", F.col("step_number").alias("step"), "document_id", F.lit("").alias("note")).distinct()
+    monkeypatch.setattr(store, "TASK_ROWS", 10)
+    few, many = store.resolve_evidence(cited, steps, hits), store.resolve_evidence(cited, steps, hits, 200)
+    assert many.rdd.getNumPartitions() >= 20 > few.rdd.getNumPartitions()
+    assert rows(few) == rows(many) and many.count() == 100 and {r["source_ref"] for r in many.collect() if r["source_type"] == "retrieval"} == {f"{d}-1" for d in range(5)}

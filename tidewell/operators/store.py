@@ -81,6 +81,10 @@ def top_per_category(rows: DataFrame, category: str | Column, order: str, n: int
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+#: Rows of a task where joins are dealt by the number of rows.
+TASK_ROWS = 500_000
+
+
 def dealt_out(rows: DataFrame, n: int, most: int, *keys: str) -> DataFrame:
     """rows by their keys, in so many partitions that one has about `most` of the n rows. Spark's own number is fixed, so that a task's memory grows with the input."""
     if n <= most:
@@ -128,14 +132,17 @@ def run_timeline(steps: DataFrame, tool_calls: DataFrame, evidence: DataFrame) -
     return out.withColumn("evidence", F.coalesce("evidence", F.array().cast(dict(out.dtypes)["evidence"])))
 
 
-def resolve_evidence(citations: DataFrame, steps: DataFrame, hits: DataFrame) -> DataFrame:
+def resolve_evidence(citations: DataFrame, steps: DataFrame, hits: DataFrame, n: int = 0) -> DataFrame:
     """Citations (run_id, step, document_id, note) resolved against steps (run_id, step_number, step_id, action_type, tool_name, summary).
 
     A citation of an unknown step is dropped; a retrieval step's document is its first hit (run_id, step_number, document_id, rank, source, content) by rank.
+    n: the rows of the longest of the three, if known; joins are dealt by it, TASK_ROWS a task.
     """
-    first = latest(hits, ["run_id", "step_number", "document_id"], F.asc("rank")).select("run_id", F.col("step_number").alias("step"), "document_id", F.col("source").alias("_source"), F.col("content").alias("_content"))
+    dealt = lambda rows, *keys: dealt_out(rows, n, TASK_ROWS, "run_id", *keys)
+    first = latest(dealt(hits, "step_number", "document_id"), ["run_id", "step_number", "document_id"], F.asc("rank")).select("run_id", F.col("step_number").alias("step"), "document_id", F.col("source").alias("_source"), F.col("content").alias("_content"))
     known = steps.withColumnRenamed("step_number", "step")
-    out = citations.join(known, ["run_id", "step"]).join(first, ["run_id", "step", "document_id"], "left")
+    out = dealt(citations, "step").join(dealt(known, "step"), ["run_id", "step"])
+    out = dealt(out, "step", "document_id").join(first, ["run_id", "step", "document_id"], "left")
     retrieval = F.col("action_type") == "retrieve"
     return out.select(
         "run_id", "step", "step_id",

@@ -120,7 +120,10 @@ def resolve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are steps, finished ones retrievals; their lines are hits, of which the smallest supplier ranks first, and are cited once each."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("step_number"), "o_orderstatus", "o_orderpriority")
     steps = orders.select("run_id", "step_number", F.lit("s").alias("step_id"), F.when(F.col("o_orderstatus") == "F", "retrieve").otherwise("tool_call").alias("action_type"), F.col("o_orderpriority").alias("tool_name"), F.lit("").alias("summary"))
-    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("step_number"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    n = lines.count()
+    lines = store.dealt_out(lines, n, store.TASK_ROWS, "l_orderkey").join(store.dealt_out(orders, n, store.TASK_ROWS, "step_number"), F.col("l_orderkey") == F.col("step_number"))
     hits = lines.select("run_id", "step_number", F.col("l_partkey").alias("document_id"), F.col("l_suppkey").alias("rank"), F.col("l_suppkey").cast("string").alias("source"), F.lit("").alias("content"))
-    cited = lines.select("run_id", F.col("step_number").alias("step"), F.col("l_partkey").alias("document_id"), F.lit("").alias("note")).distinct()
-    return store.resolve_evidence(cited, steps, hits).select("run_id", "step", "source_type", "source_ref", "document_id")
+    cited = lines.select("run_id", F.col("step_number").alias("step"), F.col("l_partkey").alias("document_id"), F.lit("").alias("note"))
+    cited = store.dealt_out(cited, n, store.TASK_ROWS, "run_id", "step", "document_id").distinct()
+    return store.resolve_evidence(cited, steps, hits, n).select("run_id", "step", "source_type", "source_ref", "document_id")
