@@ -289,3 +289,13 @@ def test_evidence_is_dealt_by_its_rows(spark, monkeypatch):
     few, many = store.resolve_evidence(cited, steps, hits), store.resolve_evidence(cited, steps, hits, 200)
     assert many.rdd.getNumPartitions() >= 20 > few.rdd.getNumPartitions()
     assert rows(few) == rows(many) and many.count() == 100 and {r["source_ref"] for r in many.collect() if r["source_type"] == "retrieval"} == {f"{d}-1" for d in range(5)}
+
+
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    """Small files aren't gathered in one task for their few bytes; each is whole, its lines in order."""
+    df = spark.range(400).selectExpr("concat('s', id % 40) AS service", "id", "cast(id AS string) AS raw")
+    files.write_files(df, "service", "raw", str(tmp_path / "w"), "id")
+    parts = [p for p in (tmp_path / "w").glob("*/*.txt")]
+    assert len(parts) == 40 and len({p.name.split("-")[1] for p in parts}) > 2
+    got = files.log_files(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["service"], r["line_no"], r["raw"]) for r in got) == sorted((f"s{i % 40}", i // 40, str(i)) for i in range(400))

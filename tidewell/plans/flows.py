@@ -28,11 +28,11 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of up to a hundred documents of a source, listed in a manifest of lines, read back with sizes and hashes."""
     folder = _folder(spark, "corpus")
     docs = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string")).alias("name"), "doc_id", "text")
-    docs.repartition("name").sortWithinPartitions("name", "doc_id").select("name", "text").write.partitionBy("name").text(folder)
+    files.write_files(docs, "name", "text", folder, "doc_id")
     kind = F.when(F.floor(F.min("doc_id") / 100) % 2 == 0, "runbook").otherwise("postmortem")
     listed = docs.groupBy("name").agg(kind.alias("document_type")).select(F.concat("name", F.lit(".txt")).alias("source"), F.lit("s").alias("service"), "document_type")
     listed.write.json(folder + "-manifest")
-    found = files.binary_files(spark, folder + "/*/*.txt").withColumn("filename", F.concat(F.regexp_extract("path", "name=([^/]+)/", 1), F.lit(".txt")))
+    found = files.binary_files(spark, folder).withColumn("filename", F.concat(F.regexp_extract("path", "name=([^/]+)/", 1), F.lit(".txt")))
     joined = files.corpus(found, files.manifest_lines(spark, folder + "-manifest"))
     return joined.select("filename", "size_bytes", "content_sha256", "document_type")
 
@@ -54,8 +54,8 @@ def log_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log file for each user, a blank line before each record; line numbers count blank ones, from 0."""
     folder = _folder(spark, "logs")
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("user "), "user_id").alias("service"), F.explode(F.array(F.lit(""), F.concat(F.lit("line "), "event_id"))).alias("raw"), "event_id")
-    e.repartition("service").sortWithinPartitions("service", "event_id", "raw").drop("event_id").write.partitionBy("service").text(folder)
-    return files.log_files(spark, folder + "/*/*.txt").select("service", "line_no", "raw")
+    files.write_files(e, "service", "raw", folder, "event_id", "raw")
+    return files.log_files(spark, folder).select("service", "line_no", "raw")
 
 
 @query("SELECT event_id, event_type AS trace, user_id FROM events WHERE strlen(event_type) <= 5")

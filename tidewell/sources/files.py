@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPLOAD_BYTES = 10 << 20
+#: All files below a folder, which is listed in parallel; a glob over its folders is listed by the driver alone, one by one. Their names are no columns.
+INSIDE = {"recursiveFileLookup": "true"}
+
+
+def write_files(rows: DataFrame, by: str, text: str, folder: str, *order: str) -> None:
+    """A text file in a folder of its own for each value of `by`, its lines in this order.
+
+    Files cost more than their bytes, by which Spark would gather them in a task or two; so the number of tasks is given.
+    Tasks move their own files into place; else the driver moves all of them, one by one.
+    """
+    session = rows.sparkSession
+    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.repartition(tasks, by).sortWithinPartitions(by, *order).select(by, text)
+    placed.write.partitionBy(by).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
 
 
 def binary_files(spark: SparkSession, path: str, most: int = UPLOAD_BYTES) -> DataFrame:
     """path, filename, content, size_bytes, content_sha256, too_large; a file over the limit keeps no content."""
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").options(**INSIDE).load(path)
     over = F.col("length") > most
     return files.select(
         "path", F.substring_index("path", "/", -1).alias("filename"), F.when(~over, F.col("content")).alias("content"), F.col("length").alias("size_bytes"),
@@ -24,7 +38,7 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
     Files are read in splits; lines are numbered in their split, and splits in their file.
     """
     meta = "_metadata.file_path", "_metadata.file_block_start"
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col(meta[0]).alias("path"), F.col(meta[1]).alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    lines = spark.read.options(**INSIDE).option("lineSep", "\n").text(path).select(F.col(meta[0]).alias("path"), F.col(meta[1]).alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
     inside = Window.partitionBy("path", "block")
     lines = lines.withColumn("n", F.row_number().over(inside.orderBy("at")) - 1)
     sizes = lines.groupBy("path", "block").agg(F.count("*").alias("lines"))
