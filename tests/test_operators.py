@@ -1,6 +1,7 @@
 """Operators on golden values."""
 
 import time
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import vector
 from tidewell.operators import chunking, lifecycle, logs, metrics, retrieval, store, traces
+from tidewell.plans import flows
 from tidewell.sources import files, messages
 
 
@@ -299,3 +301,30 @@ def test_files_are_written_by_many_tasks(spark, tmp_path):
     assert len(parts) == 40 and len({p.name.split("-")[1] for p in parts}) > 2
     got = files.log_files(spark, str(tmp_path / "w")).collect()
     assert sorted((r["service"], r["line_no"], r["raw"]) for r in got) == sorted((f"s{i % 40}", i // 40, str(i)) for i in range(400))
+
+
+def test_pairs_of_equal_values_take_few_bytes(spark, tmp_path):
+    """Copies of orders and parts: the pairs grow with the product, the bytes of a pair fall."""
+    spark.range(20_000).selectExpr("hash(id) AS o_orderkey", "100000 + cast(id % 40 AS double) * 9 AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(3_000).selectExpr("hash(id, 1) AS p_partkey", "1000 + cast(id % 40 AS double) / 8 AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    flows.range_join(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    o, p = ([tuple(r) for r in spark.read.parquet(str(tmp_path / n)).collect()] for n in ("orders.parquet", "part.parquet"))
+    low, high = (Counter(f(v) for _, v in x) for x, f in ((o, float), (p, lambda v: v * 100)))
+    n = sum(m * k for v, m in low.items() for w, k in high.items() if w <= v < w + 50)
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n > 5_000_000 and size < n / 2
+
+
+def test_points_in_intervals(spark, monkeypatch):
+    """Common values are cut into packs and dealt to tasks; equal keys and null ones stay, null values meet nothing."""
+    points = [(k if k % 7 else None, 10.0 if k % 3 else float(k % 50)) for k in range(90)] + [(1, None), (2, -0.0), (2, -0.0), (3, float("nan")), (4, -7.5)]
+    intervals = [(k % 20 if k % 5 else None, [-10.0, 0.0, 4.0, 10.0, 44.0][k % 5 if k % 2 else 3]) for k in range(60)] + [(1, None), (2, float("nan"))]
+    p, i = spark.createDataFrame(points, "point INT, at DOUBLE"), spark.createDataFrame(intervals, "interval INT, low DOUBLE")
+    want = sorted(repr((a, b)) for a, x in points for b, y in intervals if x is not None and y is not None and y <= x < y + 6)
+    for pack, most in ((512, 8_000_000), (4, 50)):
+        monkeypatch.setattr(store, "PACK", pack)
+        monkeypatch.setattr(store, "TASK_PAIRS", most)
+        got = store.in_intervals(p, "at", "point", i, "low", "interval", 6)
+        assert sorted(repr(tuple(r)) for r in got.collect()) == want and (got.rdd.getNumPartitions() > 20) == (pack == 4)
+    assert store.packed(p, "at", "point").filter("at = 10").select(F.max(F.size("_keys"))).first()[0] < 20
+    assert store.in_intervals(p.limit(0), "at", "point", i, "low", "interval", 6).collect() == []

@@ -123,6 +123,45 @@ def insert_unless_active(table: DataFrame, new: DataFrame, owner: str, key: str,
     return out.withColumn("conflict", clash).drop("_owner", "_n")
 
 
+#: Keys of one value that travel as one row.
+PACK = 512
+#: Pairs of rows and keys that a task is dealt where packs are paired.
+TASK_PAIRS, TASK_KEYS = 8_000_000, 1_000_000
+
+
+def packed(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """value, _slot, _keys: the keys of equal values in arrays of about PACK; null values have none."""
+    rows = rows.filter(F.col(value).isNotNull()).select(value, key)
+    common = rows.groupBy(value).agg(F.ceil(F.count("*") / PACK).alias("_slots")).filter("_slots > 1")  # at most a PACKth of the rows
+    slot = F.pmod(F.xxhash64(key), F.coalesce("_slots", F.lit(1)))
+    null = F.array_repeat(F.lit(None).cast(dict(rows.dtypes)[key]), F.count_if(F.col(key).isNull()).cast("int"))  # collect_list leaves them out
+    return rows.join(F.broadcast(common), value, "left").groupBy(value, slot.alias("_slot")).agg(F.concat(F.collect_list(key), null).alias("_keys"))
+
+
+def in_intervals(points: DataFrame, at: str, point: str, intervals: DataFrame, low: str, interval: str, width: int) -> DataFrame:
+    """(point, interval): each point's key with those of the intervals [low, low + width) that hold its place `at`.
+
+    Intervals meet points by buckets of their width: an interval touches two, a point lies in one. Equal
+    places and equal intervals meet once, as packs of keys, so that what is shuffled grows with the
+    tables though the pairs grow with their product. Packs are dealt to as many tasks as the pairs ask
+    for, a bucket's together, and written out there pack by pack: the keys repeat, and files hold them in few bytes.
+    """
+    bucket = lambda x: F.floor(F.col(x) / width)
+
+    def meet(p: DataFrame, i: DataFrame) -> DataFrame:
+        i = i.withColumn("_b", F.explode(F.array(bucket(low), bucket(low) + 1)))
+        return p.withColumn("_b", bucket(at)).join(i, "_b").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(low) + width))
+
+    counts = meet(points.groupBy(at).agg(F.count("*").alias("_m")), intervals.groupBy(low).agg(F.count("*").alias("_n")))
+    m, n = F.col("_m").cast("double"), F.col("_n").cast("double")
+    packs = (1 + m / PACK) * (1 + n / PACK)
+    tasks = counts.agg(F.ceil(F.sum(m * n / TASK_PAIRS + packs * (F.least(m, F.lit(PACK)) + F.least(n, F.lit(PACK))) / TASK_KEYS)).alias("n")).first()["n"] or 1
+    p = packed(points, at, point).select(at, F.col("_slot").alias("_of"), F.col("_keys").alias("_points"))
+    i = packed(intervals, low, interval).select(low, "_slot", F.col("_keys").alias("_intervals"))
+    met = meet(p, i).repartition(tasks, "_b", "_of", "_slot").sortWithinPartitions("_b", "_slot", low, "_of", at)
+    return met.select(F.explode("_points").alias(point), "_intervals").select(point, F.explode("_intervals").alias(interval))
+
+
 def run_timeline(steps: DataFrame, tool_calls: DataFrame, evidence: DataFrame) -> DataFrame:
     """Each step with its tool call (the last by id) and its evidence in id order, [] if none."""
     call = latest(tool_calls, ["step_id"], F.desc("id")).select("step_id", F.struct(*[c for c in tool_calls.columns if c not in ("step_id", "run_id")]).alias("tool_call"))

@@ -174,11 +174,9 @@ def page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 50""")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of 50 meet values by buckets of 50: an interval touches two, a value lies in one."""
-    low = F.col("p_retailprice") * 100
-    parts = table(spark, sf_dir, "part").select("p_partkey", low.alias("low"), F.explode(F.array(F.floor(low / 50), F.floor(low / 50) + 1)).alias("b"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.floor(F.col("o_totalprice") / 50).alias("b"))
-    return orders.join(parts, "b").filter((F.col("o_totalprice") >= F.col("low")) & (F.col("o_totalprice") < F.col("low") + 50)).select("o_orderkey", "p_partkey")
+    """Each part's price, times 100, begins an interval of 50."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"))
+    return store.in_intervals(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", parts, "low", "p_partkey", 50)
 
 
 @query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS active FROM customer""")
