@@ -92,6 +92,35 @@ def test_more_queries_than_a_broadcast_takes(spark, index):
     assert got.filter(F.col("chunk_id") == F.floor(F.col("query_id") / 8)).count() == many.count()
 
 
+def test_python_holds_one_slot_however_many_queries_ask(spark, index, monkeypatch):
+    """An Arrow batch of packed slots and blocks would hold each slot's vectors once for every block; here rows are single vectors, a slot's once."""
+    path, chunks = index
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(vector_index, "BATCH", 2)
+    queries, seen = asked(spark, chunks), spark.sparkContext.accumulator(0)
+    mapped = type(chunks).mapInArrow
+
+    def counted(self, f, *a, **b):
+        def g(batches):
+            def each():
+                for x in batches:
+                    seen.add(x.nbytes)
+                    yield x
+
+            yield from f(each())
+
+        return mapped(self, g, *a, **b)
+
+    monkeypatch.setattr(type(chunks), "mapInArrow", counted)
+    found = vector_index.search(spark, path, queries, 10, 24)
+    monkeypatch.undo()
+    before = seen.value  # of the lists' choice
+    got = sorted(tuple(r) for r in found.select("query_id", "rank", "chunk_id").collect())
+    rows, pairs = chunks.count(), queries.count() * 24
+    assert seen.value - before < 2 * (rows + pairs) * 16 * 8  # once, not once for each block
+    assert got == sorted(tuple(r) for r in retrieval.knn_batch(chunks, queries, 10).select("query_id", "rank", "chunk_id").collect())
+
+
 def test_index_of_odd_tables(spark, tmp_path):
     empty = spark.createDataFrame([], CHUNKS)
     vector_index.build(empty, str(tmp_path / "e"))

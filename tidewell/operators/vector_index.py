@@ -2,9 +2,10 @@
 
 The index holds every row, whatever the sample that its centroids come from. A list is cut into
 slots of about SLOT rows, so one that holds a third of all rows is many tasks' work. A search deals
-(query, list) pairs to the slots of their lists in blocks, multiplies block by block in Arrow tasks
-and keeps each block's best k, before the last ranking shuffles k rows a query and slot. Probing
-all lists is the exact way.
+(query, list) pairs to the slots of their lists. A task's rows come slot by slot, a slot's own vectors
+before its queries: Python holds one slot and one Arrow batch, however many there are, multiplies
+BATCH queries at a time and keeps the best k, before the last ranking shuffles k rows a query and slot.
+Probing all lists is the exact way.
 
 Layout below a folder: rows/list=<n>/..., centroids (list, centroid, n), and schema, the rows' columns. Scores are those of
 retrieval.knn: (1 + cosine) / 2. A null, empty or zero vector, or one with a null or non-finite component, isn't indexed.
@@ -28,9 +29,11 @@ from tidewell.operators.retrieval import clamp_k
 #: Centroids are trained on about so many rows for each list.
 TRAINED = 256
 LISTS_MOST = 65_536
-SLOT, QUERY_BLOCK = 4_096, 1_024
-#: Query x list pairs are scored in numpy for so many queries at a time.
-BATCH = 512
+SLOT = 4_096
+#: Lists are chosen for so many queries at a time, and their vectors scored in numpy for so many.
+QUERY_BLOCK, BATCH = 512, 128
+#: More than a product of unit vectors can be off by.
+NOISE = 1e-9
 
 
 def _usable(x: Column) -> Column:
@@ -74,8 +77,8 @@ def probed(spark: SparkSession, path: str, queries: DataFrame, probes: int) -> D
 
     def rows(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                own = batch.slice(at, BATCH)
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                own = batch.slice(at, QUERY_BLOCK)
                 q = np.array(own.column("_q").to_pylist())
                 far = (centroids * centroids).sum(axis=1)[None, :] - 2 * q @ centroids.T
                 chosen = np.argpartition(far, min(probes, len(ids)) - 1, axis=1)[:, :probes]
@@ -100,30 +103,45 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int | None = N
     for column, value in equal.items():
         if value not in (None, ""):
             table = table.filter(F.col(column) == value)
-    slots = table.select("list", F.col(key).alias("key"), F.col("_unit").alias("u"), "_slot").join(F.broadcast(known), "list").withColumn("slot", F.col("_slot") % F.col("_slots"))
-    packed = slots.groupBy("list", "slot").agg(F.collect_list(F.struct("key", "u")).alias("rows"))
-    asked = pairs.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_blocks")).join(F.broadcast(known), "list")
-    blocks = pairs.join(F.broadcast(asked), "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")))
-    blocks = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
-    blocks = blocks.groupBy("list", "slot", "block").agg(F.collect_list(F.struct("query_id", F.col("_q").alias("u"))).alias("queries"))
+    kinds = {**dict(table.dtypes), **dict(queries.dtypes)}
+    none = lambda kind: F.lit(None).cast(kind)
+    own = table.join(F.broadcast(known), "list").select("list", (F.col("_slot") % F.col("_slots")).alias("slot"), F.lit(False).alias("asks"), F.col(key).alias("key"), none(kinds["query_id"]).alias("query_id"), F.col("_unit").alias("u"))
+    slots = F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))
+    asked = pairs.join(F.broadcast(known), "list").select("list", slots.alias("slot"), F.lit(True).alias("asks"), none(kinds[key]).alias("key"), "query_id", F.col("_q").alias("u"))
+    dealt = own.unionByName(asked).repartition("list", "slot").sortWithinPartitions("list", "slot", "asks", "key")
 
     def best(batches):
+        slot, held = None, []  # the slot's own keys, in order, and vectors
         for batch in batches:
-            for one, asked in zip(batch.column("rows"), batch.column("queries")):
-                one, asked = one.values, asked.values
-                v, q = (np.asarray(x.field("u").flatten()).reshape(len(x), -1) for x in (one, asked))
-                keys, ids = one.field("key"), asked.field("query_id")
-                order = np.argsort(np.array(keys.to_pylist()), kind="stable") if keys.null_count == 0 else np.arange(len(v))
-                v, keys = v[order], keys.take(pa.array(order))
-                for at in range(0, len(q), BATCH):
-                    score = (1 + q[at : at + BATCH] @ v.T) / 2
-                    chosen = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties to the smaller key
-                    n = chosen.shape[1]
-                    take = np.repeat(np.arange(at, at + len(score)), n)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), keys.take(pa.array(chosen.ravel())), pa.array(np.take_along_axis(score, chosen, axis=1).ravel())], names=["query_id", key, "score"])
-
-    kinds = {**dict(table.dtypes), **dict(queries.dtypes)}
-    found = packed.join(blocks, ["list", "slot"]).select("rows", "queries").mapInArrow(best, f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, score double")
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("list", "slot", "asks")])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1), batch.num_rows] if batch.num_rows else [0]
+            for low, high in zip(cuts, cuts[1:]):
+                part = batch.slice(low, high - low)
+                x = np.asarray(part.column("u").flatten()).reshape(high - low, -1)
+                if slot != (slot := tuple(place[:2, low])):
+                    held = []
+                if not place[2, low]:
+                    held.append((part.column("key").take(pa.array(np.arange(high - low))), x.copy()))  # copies, which don't keep the batch
+                elif held:
+                    if len(held) > 1:
+                        held = [(pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
+                    yield from nearest(part.column("query_id"), x, *held[0])
+
+    def nearest(ids, q, keys, v):
+        n = min(k, len(v))
+        for at in range(0, len(q), BATCH):
+            some, picked, scores = q[at : at + BATCH], [], []
+            rough = some @ v.T  # equal vectors may differ in the last bits here, by their place
+            least = np.partition(rough, len(v) - n, axis=1)[:, len(v) - n] - NOISE
+            for one, near in zip(some, (np.flatnonzero(r >= x) for r, x in zip(rough, least))):
+                exact = (v[near] * one).sum(axis=1)
+                order = np.argsort(-exact, kind="stable")[:n]  # ties to the smaller key
+                picked.append(near[order])
+                scores.append((1 + exact[order]) / 2)
+            take = pa.array(np.repeat(np.arange(at, at + len(some)), n))
+            yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(pa.array(np.concatenate(picked))), pa.array(np.concatenate(scores))], names=["query_id", key, "score"])
+
+    found = dealt.mapInArrow(best, f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
