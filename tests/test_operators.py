@@ -315,6 +315,32 @@ def test_pairs_of_equal_values_take_few_bytes(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == n > 5_000_000 and size < n / 2
 
 
+def test_pairs_of_very_common_values_take_few_bytes(spark, tmp_path):
+    """Values that fill more than one pack: keys still repeat at short distances, byte by byte."""
+    points = spark.range(1_000).selectExpr("id * 7 AS point", "cast(id % 10 * 10 AS double) AS at")
+    intervals = spark.range(12_000).selectExpr("id * 11 AS interval", "cast(id % 10 * 10 AS double) AS low")
+    store.in_intervals(points, "at", "point", intervals, "low", "interval", 50).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    n = sum(100 * 1_200 for v in range(10) for w in range(10) if 0 <= v - w < 5)
+    assert got.count() == got.distinct().count() == n == 4_800_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < n / 5
+
+
+def test_points_meet_intervals_in_one_cell(spark, monkeypatch):
+    """A bucket of many cells gives each pair once; what lies in no interval is left out: NaN, infinity, numbers that a width doesn't change."""
+    odd = [float("nan"), float("inf"), float("-inf"), 1e300, -1e300, 4e18, None]
+    points = [(k, float(k % 8) if k % 2 else k / 3) for k in range(120)] + [(k, x) for k, x in enumerate(odd)]
+    intervals = [(k, float(k % 5) - 2 if k % 3 else k / 7) for k in range(100)] + [(k, x) for k, x in enumerate(odd)]
+    p, i = spark.createDataFrame(points, "point INT, at DOUBLE"), spark.createDataFrame(intervals, "interval INT, low DOUBLE")
+    want = sorted((a, b) for a, x in points for b, y in intervals if x is not None and y is not None and y <= x < y + 6)
+    for pack, cell in ((8, 5), (3, 7), (256, 4096)):
+        monkeypatch.setattr(store, "PACK", pack)
+        monkeypatch.setattr(store, "CELL", cell)
+        monkeypatch.setattr(store, "TASK_PAIRS", 500)
+        assert sorted(tuple(r) for r in store.in_intervals(p, "at", "point", i, "low", "interval", 6).collect()) == want
+    assert store.in_intervals(p, "at", "point", i.limit(0), "low", "interval", 6).collect() == []
+
+
 def test_points_in_intervals(spark, monkeypatch):
     """Common values are cut into packs and dealt to tasks; equal keys and null ones stay, null values meet nothing."""
     points = [(k if k % 7 else None, 10.0 if k % 3 else float(k % 50)) for k in range(90)] + [(1, None), (2, -0.0), (2, -0.0), (3, float("nan")), (4, -7.5)]

@@ -123,42 +123,57 @@ def insert_unless_active(table: DataFrame, new: DataFrame, owner: str, key: str,
     return out.withColumn("conflict", clash).drop("_owner", "_n")
 
 
-#: Keys of one value that travel as one row.
-PACK = 512
-#: Pairs of rows and keys that a task is dealt where packs are paired.
-TASK_PAIRS, TASK_KEYS = 8_000_000, 1_000_000
+#: Keys of one value that travel as one row: a multiple of 8, so that their places in a file's dictionary repeat byte by byte.
+PACK = 256
+#: Keys of either side that meet in a cell; pairs and keys that a task is dealt.
+CELL, TASK_PAIRS, TASK_KEYS = 4096, 8_000_000, 1_000_000
 
 
 def packed(rows: DataFrame, value: str, key: str) -> DataFrame:
-    """value, _slot, _keys: the keys of equal values in arrays of about PACK; null values have none."""
+    """value, _n, _keys: the keys of equal values in arrays of PACK and one of what is left, told apart by _n; null values have none."""
     rows = rows.filter(F.col(value).isNotNull()).select(value, key)
-    common = rows.groupBy(value).agg(F.ceil(F.count("*") / PACK).alias("_slots")).filter("_slots > 1")  # at most a PACKth of the rows
+    common = rows.groupBy(value).agg(F.ceil(F.count("*") / CELL).alias("_slots")).filter("_slots > 1")  # at most a CELLth of the rows
     slot = F.pmod(F.xxhash64(key), F.coalesce("_slots", F.lit(1)))
     null = F.array_repeat(F.lit(None).cast(dict(rows.dtypes)[key]), F.count_if(F.col(key).isNull()).cast("int"))  # collect_list leaves them out
-    return rows.join(F.broadcast(common), value, "left").groupBy(value, slot.alias("_slot")).agg(F.concat(F.collect_list(key), null).alias("_keys"))
+    keys = rows.join(F.broadcast(common), value, "left").groupBy(value, slot.alias("_slot")).agg(F.sort_array(F.concat(F.collect_list(key), null)).alias("_all"))
+    starts = keys.select(value, "_slot", "_all", F.explode(F.sequence(F.lit(1), F.size("_all"), F.lit(PACK))).alias("_at"))
+    return starts.select(value, F.xxhash64(value, "_slot", "_at").alias("_n"), F.slice("_all", F.col("_at"), PACK).alias("_keys"))
 
 
 def in_intervals(points: DataFrame, at: str, point: str, intervals: DataFrame, low: str, interval: str, width: int) -> DataFrame:
     """(point, interval): each point's key with those of the intervals [low, low + width) that hold its place `at`.
 
-    Intervals meet points by buckets of their width: an interval touches two, a point lies in one. Equal
-    places and equal intervals meet once, as packs of keys, so that what is shuffled grows with the
-    tables though the pairs grow with their product. Packs are dealt to as many tasks as the pairs ask
-    for, a bucket's together, and written out there pack by pack: the keys repeat, and files hold them in few bytes.
+    Intervals meet points by buckets of their width: an interval touches two, a point lies in one. Keys
+    of equal places and of equal intervals travel as packs. A bucket is a grid of cells; a pack of points
+    goes to a row of it and one of intervals to a column, so that each pair meets in one cell and a
+    key is sent once for CELL of the other side. Cells are dealt to as many tasks as the pairs ask
+    for and written pack by pack: keys repeat at short distances, and files hold them in few bytes.
     """
     bucket = lambda x: F.floor(F.col(x) / width)
-
-    def meet(p: DataFrame, i: DataFrame) -> DataFrame:
-        i = i.withColumn("_b", F.explode(F.array(bucket(low), bucket(low) + 1)))
-        return p.withColumn("_b", bucket(at)).join(i, "_b").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(low) + width))
-
-    counts = meet(points.groupBy(at).agg(F.count("*").alias("_m")), intervals.groupBy(low).agg(F.count("*").alias("_n")))
-    m, n = F.col("_m").cast("double"), F.col("_n").cast("double")
-    packs = (1 + m / PACK) * (1 + n / PACK)
-    tasks = counts.agg(F.ceil(F.sum(m * n / TASK_PAIRS + packs * (F.least(m, F.lit(PACK)) + F.least(n, F.lit(PACK))) / TASK_KEYS)).alias("n")).first()["n"] or 1
-    p = packed(points, at, point).select(at, F.col("_slot").alias("_of"), F.col("_keys").alias("_points"))
-    i = packed(intervals, low, interval).select(low, "_slot", F.col("_keys").alias("_intervals"))
-    met = meet(p, i).repartition(tasks, "_b", "_of", "_slot").sortWithinPartitions("_b", "_slot", low, "_of", at)
+    known = lambda rows, x: rows.filter((F.col(x) / width).between(-(2.0**62), 2.0**62))  # noqa: E731  NaN, infinity and what `width` doesn't change lie in no interval
+    both = lambda i: i.withColumn("_b", F.explode(F.array(bucket(low), bucket(low) + 1)))
+
+    points, intervals = known(points, at).select(at, point), known(intervals, low).select(low, interval)
+    held = points.agg(F.min(at).alias("a"), F.max(at).alias("b")).join(intervals.agg(F.min(low).alias("c"), F.max(F.col(low) + width).alias("d"))).first()
+    points = points.filter((F.col(at) >= F.lit(held["c"])) & (F.col(at) < F.lit(held["d"])))
+    intervals = intervals.filter((F.col(low) <= F.lit(held["b"])) & (F.col(low) + width > F.lit(held["a"])))
+
+    m, n = points.groupBy(bucket(at).alias("_b")).agg(F.count("*").alias("_m")), both(intervals).groupBy("_b").agg(F.count("*").alias("_n"))
+    grid = m.join(n, "_b").withColumns({"_rows": F.ceil(F.col("_m") / CELL), "_columns": F.ceil(F.col("_n") / CELL)})
+    pairs = F.sum(F.col("_m").cast("double") * F.col("_n") / 2)  # of an interval's two buckets half is its own
+    sent = F.sum(F.col("_m") * F.col("_columns") + F.col("_n") * F.col("_rows"))
+    tasks = grid.agg(F.ceil(pairs / TASK_PAIRS + sent / TASK_KEYS).alias("n")).first()["n"] or 1
+    large = F.broadcast(grid.filter("_rows > 1 OR _columns > 1").select("_b", "_rows", "_columns"))  # at most a CELLth of the rows
+
+    def dealt(packs: DataFrame, own: str, other: str) -> DataFrame:
+        """To one cell of `own` and all of `other`."""
+        one = F.coalesce(F.pmod("_n", F.col(own)), F.lit(0))
+        packs = packs.join(large, "_b", "left").withColumn(own, one).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return packs.drop("_n").repartition(tasks, "_b", "_rows", "_columns")
+
+    p = dealt(packed(points, at, point).withColumnRenamed("_keys", "_points").withColumn("_b", bucket(at)), "_rows", "_columns")
+    i = dealt(both(packed(intervals, low, interval)).withColumnRenamed("_keys", "_intervals"), "_columns", "_rows")
+    met = i.join(p.hint("merge"), ["_b", "_rows", "_columns"]).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(low) + width))  # a pack of intervals with packs of points
     return met.select(F.explode("_points").alias(point), "_intervals").select(point, F.explode("_intervals").alias(interval))
 
 
