@@ -165,15 +165,18 @@ def in_intervals(points: DataFrame, at: str, point: str, intervals: DataFrame, l
     tasks = grid.agg(F.ceil(pairs / TASK_PAIRS + sent / TASK_KEYS).alias("n")).first()["n"] or 1
     large = F.broadcast(grid.filter("_rows > 1 OR _columns > 1").select("_b", "_rows", "_columns"))  # at most a CELLth of the rows
 
-    def dealt(packs: DataFrame, own: str, other: str) -> DataFrame:
-        """To one cell of `own` and all of `other`."""
+    cell = ["_b", "_rows", "_columns"]
+
+    def dealt(packs: DataFrame, value: str, own: str, other: str) -> DataFrame:
+        """To one cell of `own` and all of `other`, where packs are numbered by value: the join reads them in this order."""
         one = F.coalesce(F.pmod("_n", F.col(own)), F.lit(0))
         packs = packs.join(large, "_b", "left").withColumn(own, one).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
-        return packs.drop("_n").repartition(tasks, "_b", "_rows", "_columns")
+        return packs.repartition(tasks, *cell).withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy(value, "_n")))
 
-    p = dealt(packed(points, at, point).withColumnRenamed("_keys", "_points").withColumn("_b", bucket(at)), "_rows", "_columns")
-    i = dealt(both(packed(intervals, low, interval)).withColumnRenamed("_keys", "_intervals"), "_columns", "_rows")
-    met = i.join(p.hint("merge"), ["_b", "_rows", "_columns"]).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(low) + width))  # a pack of intervals with packs of points
+    p = dealt(packed(points, at, point).withColumnRenamed("_keys", "_points").withColumn("_b", bucket(at)), at, "_rows", "_columns")
+    i = dealt(both(packed(intervals, low, interval)).withColumnRenamed("_keys", "_intervals"), low, "_columns", "_rows")
+    inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(low) + width) & (F.col("_of") > 0) & (F.col("_n") > 0)  # numbers that nothing reads would not be made
+    met = i.join(p.withColumnRenamed("_n", "_of").hint("merge"), cell).filter(inside)  # a pack of intervals with packs of points
     return met.select(F.explode("_points").alias(point), "_intervals").select(point, F.explode("_intervals").alias(interval))
 
 
